@@ -103,7 +103,7 @@ def score_vocabulary(df: DataFrame, row: str, query: str, truth: str, vocabulary
     blocks = max(1, -(-n // block))
     packed = vocabulary.select(F.pmod(F.xxhash64(item), F.lit(blocks)).alias("_b"), F.struct(F.col(item).alias("k"), F.col(vector).alias("v")).alias("_s")) \
         .groupBy("_b").agg(F.collect_list("_s").alias("_items"))  # about ``block`` items each
-    q = df.select(row, truth, unit(F.col(query)).alias("_q")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    q = df.select(row, truth, unit(F.col(query)).alias("_q")).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     logit = lambda s: dot(F.col("_q"), s["v"]) / F.lit(temperature)
     scored = q.join(packed, "_b").withColumn("_l", F.transform("_items", lambda s: F.struct(logit(s).alias("z"), s["k"].alias("k"))))
     peak = F.array_max(F.transform("_l", lambda s: s["z"]))
@@ -133,7 +133,7 @@ def fit_logistic(df: DataFrame, vector: str, label: str):
 
     train = balanced_weights(df, label).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"), "weight")
     mass = train.agg(F.sum("weight")).first()[0]
-    return LogisticRegression(family="multinomial", weightCol="weight", standardization=False, regParam=1.0 / mass, maxIter=200, tol=1e-8).fit(train)
+    return LogisticRegression(family="multinomial", weightCol="weight", standardization=False, regParam=1.0 / mass, maxIter=200, tol=1e-6).fit(train)
 
 
 def apply_logistic(model, df: DataFrame, vector: str, out: str = "prediction") -> DataFrame:

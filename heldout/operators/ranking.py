@@ -133,41 +133,50 @@ def _join_group(a: DataFrame, b: DataFrame, group: list[str]) -> DataFrame:
     return a.join(F.broadcast(b))  # one row: the grand total
 
 
-def exact_quantiles(df, group, value: str, probs: dict[str, float], rule: str = "linear") -> DataFrame:
-    """One row per group with exact quantiles named by ``probs``.
+def order_statistics(df, group, value: str, probs: dict[str, float], rule: str = "linear") -> DataFrame:
+    """Per group and name: the two neighbouring order statistics and the weight between them.
 
-    Rules: ``linear`` interpolates at p(n-1); ``lower`` takes the ceil(pn)-th
-    smallest; ``floor_index`` takes the element at index floor(p(n-1)).
-    NULL values are left out. The sort is spread by range.
+    Columns ``<name>_lo``, ``<name>_hi``, ``<name>_at``. Rules: ``linear``
+    interpolates at p(n-1); ``lower`` takes the ceil(pn)-th smallest;
+    ``floor_index`` the element at index floor(p(n-1)). NULLs are left out.
+    Equal values merge first and the sort is spread by range.
     """
     clean = df.select(*group, F.col(value).alias("_x")).filter(F.col("_x").isNotNull())
     cum, total = value_ranks(clean, group, "_x")
     cum = _join_group(cum, total, group)
     last = F.col("_total") - 1
+    start = F.col("_cum") - F.col("_n")
+    pick = lambda i: F.max(F.when((start <= i) & (i < F.col("_cum")), F.col("_x")))
     aggs = []
     for name, p in probs.items():
         if rule == "lower":
             lo = hi = F.greatest(F.ceil(F.lit(p) * F.col("_total")) - 1, F.lit(0))
-            frac = F.lit(0.0)
+            at = F.lit(0.0)
         elif rule == "floor_index":
             quarters = round(p * 4)
             lo = hi = F.floor(last * quarters / 4) if abs(p * 4 - quarters) < 1e-12 else F.floor(last * p)
-            frac = F.lit(0.0)
-        else:
-            at = last.cast("double") * F.lit(p)
-            lo, hi = F.floor(at), F.ceil(at)
-            frac = at - F.floor(at)
-        start = F.col("_cum") - F.col("_n")
-        holds = lambda i: (start <= i) & (i < F.col("_cum"))
-        vlo = F.max(F.when(holds(lo), F.col("_x")))
-        if rule == "linear":
-            vhi = F.max(F.when(holds(hi), F.col("_x")))
-            aggs.append((vlo + (vhi - vlo) * F.max(frac)).alias(name))
+            at = F.lit(0.0)
         else:
-            aggs.append(vlo.alias(name))
+            spot = last.cast("double") * F.lit(p)
+            lo, hi, at = F.floor(spot), F.ceil(spot), spot - F.floor(spot)
+        aggs += [pick(lo).alias(f"{name}_lo"), pick(hi).alias(f"{name}_hi"), F.max(at).alias(f"{name}_at")]
     return cum.groupBy(*group).agg(*aggs)
 
 
+def between(name: str, change=lambda c: c) -> Column:
+    """The quantile from its two order statistics, each passed through ``change`` first."""
+    lo, hi = change(F.col(f"{name}_lo")), change(F.col(f"{name}_hi"))
+    return lo + (hi - lo) * F.col(f"{name}_at")
+
+
+def exact_quantiles(df, group, value: str, probs: dict[str, float], rule: str = "linear") -> DataFrame:
+    """One row per group with exact quantiles named by ``probs``; see ``order_statistics``."""
+    stats = order_statistics(df, group, value, probs, rule)
+    if rule == "linear":
+        return stats.select(*group, *[between(n).alias(n) for n in probs])
+    return stats.select(*group, *[F.col(f"{n}_lo").alias(n) for n in probs])
+
+
 def average_ranks(df, group, value: str, out: str = "rank") -> DataFrame:
     """Ranks from 1 with ties given their mean rank."""
     cum, _ = value_ranks(df, group, value)

@@ -36,11 +36,11 @@ PERM = """perm as (select vec_id, label, embedding, list_transform(list_sort(lis
  blk as (select vec_id, label, embedding, flatten(list_transform(range(8), lambda j: embedding[o[list_position(o, j) % 8 + 1] * 8 + 1 : o[list_position(o, j) % 8 + 1] * 8 + 8])) moved from perm)"""
 
 
-@query("block_permutation", "with " + PERM + """ select vec_id, moved[1]::double first, moved[9]::double second, moved[64]::double last, round(list_sum(list_transform(list_zip(embedding, moved), lambda z: z[1]::double * z[2]::double)), 6) overlap from blk""")
+@query("block_permutation", "with " + PERM + """ select vec_id, moved[1]::double first_value, moved[9]::double block_value, moved[64]::double last_value, round(list_sum(list_transform(list_zip(embedding, moved), lambda z: z[1]::double * z[2]::double)), 6) overlap from blk""")
 def block_permutation(t):
     b = nulls.block_permutation(t.embeddings, "embedding", 8, 8, SEED, "vec_id", "moved")
     at = lambda i: F.element_at("moved", i).cast("double")
-    return b.select("vec_id", at(1).alias("first"), at(9).alias("second"), at(64).alias("last"), F.round(dot(F.col("embedding"), F.col("moved")), 6).alias("overlap"))
+    return b.select("vec_id", at(1).alias("first_value"), at(9).alias("block_value"), at(64).alias("last_value"), F.round(dot(F.col("embedding"), F.col("moved")), 6).alias("overlap"))
 
 
 @query("donor_matching")
@@ -78,9 +78,9 @@ def position_resampling(t):
 
 
 @query("four_arm_support", "with " + UNITS + ", a as (" + cyc("record_id", "within") + "), b as (" + cyc("subject_id", "entity") + """), x as (
- select a1.event_id, a1.value v_real, case when a1.n > 1 then a2.value end within, (select null) z from a a1 join a a2 on a1.record_id = a2.record_id and a2.p = (a1.p + 1) % a1.n),
- y as (select b1.event_id, b2.value entity from b b1 join b b2 on b1.subject_id = b2.subject_id and b2.p = (b1.p + 1) % b1.n where b1.n > 1),
- l as (select unnest([{'arm': 'real', 'x': v_real}, {'arm': 'within', 'x': within}, {'arm': 'entity', 'x': entity}]) s from x join y using (event_id) where within is not null)
+ select a1.event_id, a1.value v_real, case when a1.n > 1 then a2.value end w_value from a a1 join a a2 on a1.record_id = a2.record_id and a2.p = (a1.p + 1) % a1.n),
+ y as (select b1.event_id, b2.value e_value from b b1 join b b2 on b1.subject_id = b2.subject_id and b2.p = (b1.p + 1) % b1.n where b1.n > 1),
+ l as (select unnest([{'arm': 'real', 'x': v_real}, {'arm': 'within', 'x': w_value}, {'arm': 'entity', 'x': e_value}]) s from x join y using (event_id) where w_value is not null)
  select s.arm arm, count(*)::bigint n, round(avg(s.x), 6) mean_x from l group by 1""")
 def four_arm_support(t):
     u = fx.units(t).select("event_id", "record_id", "subject_id", "value")
