@@ -170,10 +170,10 @@ def log_floor(t):
 SHAPE = UNITS + """, r as (select subject_id, session_id, value - avg(value) over w x, ntile(8) over (partition by subject_id, session_id order by ts, event_id) - 1 b, count(*) over w n from units window w as (partition by subject_id, session_id))"""
 
 
-@query("temporal_shape", "with " + SHAPE + """, p as (select subject_id, session_id, b, avg(x) x from r where n >= 8 group by 1, 2, 3) select subject_id, b::integer bin, round(avg(x), 4) x from p group by 1, 2""")
+@query("temporal_shape", "with " + SHAPE + """, p as (select subject_id, session_id, b, avg(x) x from r where n >= 8 group by 1, 2, 3) select subject_id, b::integer bin, round(avg(x), 9) x from p group by 1, 2""")
 def temporal_shape(t):
     f, _ = ft.temporal_shape(fx.units(t), "subject_id", "session_id", ["ts", "event_id"], "value")
-    return f.select("subject_id", "bin", F.round("x", 4).alias("x"))
+    return f.select("subject_id", "bin", F.round("x", 9).alias("x"))
 
 
 @query("temporal_shape_exclusions", "with " + SHAPE + """ select distinct subject_id, session_id, n::bigint length, 'TEMPORAL_T_LT_8' reason from r where n < 8""")

@@ -175,14 +175,14 @@ def top_quartile_overlap(t):
     return st.top_quartile_overlap(t.lineitem.select("l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice").select(r6(F.col("top_quartile_overlap"), "top_quartile_overlap"))
 
 
-@query("degeneracy_report", """with p as (select user_id, event_type, 1 / (1 + exp(-1.2 * (json_extract_string(props, '$.k')::bigint / 50.0::double - 1))) p, (value > 50)::int y from events), i as (select *, 1.44 * p * (1 - p) inf from p),
+@query("degeneracy_report", """with p as (select user_id, event_type, round(1 / (1 + exp(-1.2 * (json_extract_string(props, '$.k')::bigint / 50.0::double - 1))), 9) p, (value > 50)::int y from events), i as (select *, round(1.2::double * 1.2::double * p * (1 - p), 9) inf from p),
  r as (select y, """ + ONE.format(x="p") + " rp, " + ONE.format(x="inf") + """ ri from i), a as (select event_type, avg(y) acc from i group by 1),
  s as (select round(avg(y), 6) mean_y, round(avg((p > 0.2 and p < 0.8)::int), 6) band_share from i), c as (select round(corr(ri, rp), 6) rho, round((sum(rp) filter (y = 1) - count(*) filter (y = 1) * (count(*) filter (y = 1) + 1) / 2) / (count(*) filter (y = 1) * count(*) filter (y = 0)), 6) auroc from r)
  select mean_y, band_share, rho, auroc, (select round(min(acc), 6) from a) item_accuracy_min, (select round(max(acc), 6) from a) item_accuracy_max, mean_y < 0.2 or mean_y > 0.8 mean_accuracy_outside_target, band_share < 0.05 information_band_degenerate, abs(rho) > 0.95 information_monotonic_degenerate, auroc < 0.55 measurement_auroc_below_threshold from s, c""")
 def degeneracy_report(t):
     k = F.get_json_object("props", "$.k").cast("long")
-    x = t.events.select("event_type", (1 / (1 + F.exp(-1.2 * (k / 50.0 - 1)))).alias("p"), F.when(F.col("value") > 50, 1).otherwise(0).alias("y"))
-    x = x.withColumn("inf", wt.fisher_information(F.lit(1.2), F.col("p")))
+    x = t.events.select("event_type", F.round(1 / (1 + F.exp(-1.2 * (k / 50.0 - 1))), 9).alias("p"), F.when(F.col("value") > 50, 1).otherwise(0).alias("y"))
+    x = x.withColumn("inf", F.round(wt.fisher_information(F.lit(1.2), F.col("p")), 9))
     s = x.agg(r6(F.avg("y"), "mean_y"), r6(F.avg(F.when((F.col("p") > 0.2) & (F.col("p") < 0.8), 1.0).otherwise(0.0)), "band_share"))
     a = x.groupBy("event_type").agg(F.avg("y").alias("a")).agg(r6(F.min("a"), "item_accuracy_min"), r6(F.max("a"), "item_accuracy_max"))
     rho = st.spearman(x, "inf", "p").select(r6(F.col("rho"), "rho"))
@@ -257,7 +257,7 @@ def best_of_selection(t):
     return d.groupBy("event_type").agg(b).select("event_type", F.col("b.h").alias("selected"), r6(F.col("b.acc"), "acc"))
 
 
-FLOOR = """md as (select {b}, quantile_disc(raw, 0.5) med from sr where has group by {b}), fl as (select sr.*, case when med is null then 1 when has then raw else 0.1 * med end floored from sr left join md using ({b})),
+FLOOR = """md as (select {b}, quantile_disc(raw, 0.5) med from sr where has group by {b}), fl as (select sr.*, med, case when med is null then 1 when has then raw else 0.1 * med end floored from sr left join md using ({b})),
  wt as (select *, count(*) over (partition by {b}) * floored / (sum(floored) over (partition by {b}) + 1e-8) weight from fl)"""
 
 
