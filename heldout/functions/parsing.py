@@ -46,8 +46,15 @@ def path_part(c: Column, pattern: str, group: int) -> Column:
 
 
 def reasons(*rules) -> Column:
-    """Sorted array of the names of the rules that hold; each rule is (condition, name)."""
-    return F.array_sort(F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in rules])))
+    """Sorted array of the names of the rules that hold; each rule is (condition, name).
+
+    The order is settled here, and rows without a fault skip the array work.
+    """
+    rules = sorted(rules, key=lambda r: r[1])
+    none = F.lit(True)
+    for cond, _ in rules:
+        none = none & ~F.coalesce(cond, F.lit(False))
+    return F.when(none, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in rules])))
 
 
 def first_reason(*rules, default=None) -> Column:

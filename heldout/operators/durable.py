@@ -26,3 +26,11 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_root(spark).rstrip('/')}/heldout-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Written table, hinted for broadcast only when its counted size allows; otherwise a plain join side."""
+    from pyspark.sql import functions as F
+
+    table = durable(df)
+    return F.broadcast(table) if table.count() <= rows else table

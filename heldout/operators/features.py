@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.hashing import hash_index
 from ..functions.text import tokens
+from .durable import small
 from .ranking import between, exact_quantiles, order_statistics, positions
 
 
@@ -34,7 +35,7 @@ def fit_robust(train: DataFrame, group: list[str], value: str = "x", median_firs
 
 
 def apply_robust(df: DataFrame, state: DataFrame, group: list[str], value: str = "x", out: str = "z") -> DataFrame:
-    j = df.join(state.drop("raw_iqr"), group)
+    j = df.join(small(state.drop("raw_iqr")), group)
     clipped = F.least(F.greatest(F.col(value), F.col("lower")), F.col("upper"))
     return j.withColumn(out, (clipped - F.col("median")) / F.col("iqr")).drop("lower", "upper", "median", "iqr")
 
@@ -44,7 +45,7 @@ def fit_zscore(train: DataFrame, group: list[str], value: str = "x") -> DataFram
 
 
 def apply_zscore(df: DataFrame, state: DataFrame, group: list[str], value: str = "x", out: str = "z") -> DataFrame:
-    j = df.join(state, group) if group else df.join(F.broadcast(state))  # without a group: one row
+    j = df.join(small(state), group) if group else df.join(F.broadcast(state))  # without a group: one row
     return j.withColumn(out, (F.col(value) - F.col("mean")) / F.col("sd")).drop("mean", "sd")
 
 
@@ -54,7 +55,7 @@ def fit_log_floor(train: DataFrame, group: list[str], value: str = "x") -> DataF
 
 
 def apply_log_floor(df: DataFrame, state: DataFrame, group: list[str], value: str = "x", out: str = "z") -> DataFrame:
-    return df.join(state, group).withColumn(out, F.log(F.col(value) + F.col("epsilon"))).drop("epsilon")
+    return df.join(small(state), group).withColumn(out, F.log(F.col(value) + F.col("epsilon"))).drop("epsilon")
 
 
 def near_equal_bin(position: Column, n: Column, bins: int = 8) -> Column:

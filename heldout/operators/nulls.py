@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import deque
 
 import pandas as pd
@@ -62,66 +63,74 @@ def resample_position(position: Column, own: Column, donor: Column) -> Column:
 
 
 def _flow(classes: list[tuple[str, int, int]]) -> tuple[list[bool], dict[tuple[int, int], int] | None]:
-    """(which classes have a legal donor, class-to-class counts of a perfect assignment or None)."""
+    """(which classes have a legal donor, class-to-class counts of a perfect assignment or None).
+
+    ``classes`` are (group, units, count) sorted by units, so the legal donors
+    of a class are one stretch of the list without its own group.
+    """
     n = len(classes)
-    legal = [
-        [j for j in range(n) if classes[i][0] != classes[j][0] and 3 * classes[i][1] <= 4 * classes[j][1] <= 5 * classes[i][1]]
-        for i in range(n)
-    ]
+    units = [c[1] for c in classes]
+    band = [(bisect_left(units, -(-3 * u // 4)), bisect_right(units, 5 * u // 4)) for u in units]
     active = [True] * n
     changed = True
     while changed:
         changed = False
         for i in range(n):
-            if active[i] and not any(active[j] for j in legal[i]):
-                active[i] = False
-                changed = True
+            if active[i] and not any(active[j] and classes[j][0] != classes[i][0] for j in range(*band[i])):
+                active[i], changed = False, True
     need = [c[2] if active[i] else 0 for i, c in enumerate(classes)]
     free = list(need)
     flow: dict[tuple[int, int], int] = {}
-    edges = [[j for j in legal[i] if active[j]] for i in range(n)]
     givers: list[set[int]] = [set() for _ in range(n)]
+
+    def send(i, j, amount):
+        flow[(i, j)] = flow.get((i, j), 0) + amount
+        givers[j].add(i)
+        if not flow[(i, j)]:
+            del flow[(i, j)]
+            givers[j].discard(i)
+
     for start in range(n):
         while need[start]:
-            came: dict[tuple[str, int], tuple[str, int]] = {}
-            queue, seen_t, end = deque([start]), {start}, None
-            seen_d: set[int] = set()
+            came: dict[tuple[str, int], int] = {}
+            queue, seen, end = deque([start]), {start}, None
+            fresh = list(range(n + 1))  # next donor class not reached yet
+
+            def reach(j):
+                while fresh[j] != j:
+                    fresh[j] = fresh[fresh[j]]
+                    j = fresh[j]
+                return j
+
             while queue and end is None:
                 i = queue.popleft()
-                for j in edges[i]:
-                    if j in seen_d:
-                        continue
-                    seen_d.add(j)
-                    came[("d", j)] = ("t", i)
-                    if free[j]:
-                        end = j
-                        break
-                    for k in givers[j]:
-                        if k not in seen_t:
-                            seen_t.add(k)
-                            came[("t", k)] = ("d", j)
+                j = reach(band[i][0])
+                while j < band[i][1]:
+                    if active[j] and classes[j][0] != classes[i][0]:
+                        fresh[j] = j + 1
+                        came[("d", j)] = i
+                        if free[j]:
+                            end = j
+                            break
+                        for k in givers[j] - seen:
+                            seen.add(k)
+                            came[("t", k)] = j
                             queue.append(k)
+                    j = reach(j + 1)
             if end is None:
                 return active, None
-            path, node = [], ("d", end)
-            while node != ("t", start):
-                path.append(node)
-                node = came[node]
-            path.append(node)
-            path.reverse()  # t, d, t, d, ...
-            amount = min(need[start], free[end])
-            for a in range(1, len(path) - 1, 2):  # flow that is taken back
-                amount = min(amount, flow[(path[a + 1][1], path[a][1])])
-            for a in range(0, len(path) - 1, 2):
-                i, j = path[a][1], path[a + 1][1]
-                flow[(i, j)] = flow.get((i, j), 0) + amount
-                givers[j].add(i)
-                if a + 2 < len(path):
-                    k = path[a + 2][1]
-                    flow[(k, j)] -= amount
-                    if not flow[(k, j)]:
-                        del flow[(k, j)]
-                        givers[j].discard(k)
+            steps, j = [], end
+            while True:
+                i = came[("d", j)]
+                steps.append((i, j))
+                if i == start:
+                    break
+                j = came[("t", i)]
+            amount = min([need[start], free[end]] + [flow[(i, came[("t", i)])] for i, _ in steps if i != start])
+            for i, j in steps:
+                send(i, j, amount)
+                if i != start:
+                    send(i, came[("t", i)], -amount)
             need[start] -= amount
             free[end] -= amount
     return active, flow
@@ -142,11 +151,8 @@ def match_donors(trials: DataFrame, bucket: list[str], record: str, group: str,
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     gtype = schema[group].dataType.simpleString()
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([group, "_u"], kind="mergesort")
-        rows = [(g, int(u), int(n)) for g, u, n in zip(pdf[group], pdf["_u"], pdf["_n"])]
+    def solve(head, rows):
         active, flow = _flow(rows)
-        head = [pdf[b].iloc[0] for b in bucket]
         out = []
         t_at, d_at = [0] * len(rows), [0] * len(rows)
         for i, (g, u, n) in enumerate(rows):
@@ -158,10 +164,29 @@ def match_donors(trials: DataFrame, bucket: list[str], record: str, group: str,
             out.append([*head, rows[i][0], rows[i][1], t_at[i], n, rows[j][0], rows[j][1], d_at[j] - t_at[i], None])
             t_at[i] += n
             d_at[j] += n
-        return pd.DataFrame(out, columns=[*bucket, group, "_u", "_from", "_len", "_dg", "_du", "_shift", "reason"])
-
-    plan = counts.groupBy(*bucket).applyInPandas(
-        solve, f"{fields}, _u long, _from long, _len long, _dg {gtype}, _du long, _shift long, reason string")
+        return out
+
+    def runs(batches):
+        """Buckets follow each other in sorted batches; one bucket's classes are held at a time."""
+        columns = [*bucket, group, "_u", "_from", "_len", "_dg", "_du", "_shift", "reason"]
+        head, rows, out = None, [], []
+        for pdf in batches:
+            for *b, g, u, n in zip(*[pdf[c] for c in [*bucket, group, "_u", "_n"]]):
+                if b != head:
+                    if rows:
+                        out += solve(head, rows)
+                    head, rows = b, []
+                rows.append((g, int(u), int(n)))
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=columns).convert_dtypes()
+                out = []
+        if rows:
+            out += solve(head, rows)
+        if out:
+            yield pd.DataFrame(out, columns=columns).convert_dtypes()
+
+    ordered = counts.repartition(*bucket).sortWithinPartitions(*bucket, "_u", group)
+    plan = ordered.mapInPandas(runs, f"{fields}, _u long, _from long, _len long, _dg {gtype}, _du long, _shift long, reason string")
     ranked = durable(positions(base, [*bucket, group, "_u"], ["_h", record], "_p"))
     targets = ranked.join(plan, [*bucket, group, "_u"]).filter(
         (F.col("_p") >= F.col("_from")) & (F.col("_p") < F.col("_from") + F.col("_len"))

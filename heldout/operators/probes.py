@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, unit
+from .durable import durable, small
 from .splits import cell_roles
 
 
@@ -67,7 +68,7 @@ def solve_ridge(m: DataFrame, group: list[str], d: int, alpha: float = 1.0) -> D
 
 def predict(df: DataFrame, models: DataFrame, on: list[str], x: str, out: str = "prediction") -> DataFrame:
     """Linear predictions with the model of each row's group."""
-    joined = df.join(models.drop("fit_rows"), on)
+    joined = df.join(small(models.drop("fit_rows"), 10_000), on)
     value = F.zip_with("weights", "intercept", lambda w, b: dot(w, F.col(x)) + b)
     return joined.withColumn(out, value).drop("weights", "intercept")
 
@@ -105,7 +106,14 @@ def score_vocabulary(df: DataFrame, row: str, query: str, truth: str, vocabulary
         .groupBy("_b").agg(F.collect_list("_s").alias("_items"))  # about ``block`` items each
     q = df.select(row, truth, unit(F.col(query)).alias("_q")).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     logit = lambda s: dot(F.col("_q"), s["v"]) / F.lit(temperature)
-    scored = q.join(packed, "_b").withColumn("_l", F.transform("_items", lambda s: F.struct(logit(s).alias("z"), s["k"].alias("k"))))
+    packed = durable(packed)
+    if n <= 8 * block:  # a few blocks of bounded size
+        met = q.join(F.broadcast(packed), "_b")
+    else:  # few block numbers, many rows: spread each block over the tasks
+        salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        copies = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = q.withColumn("_salt", F.pmod(F.xxhash64(row), F.lit(salts)).cast("int")).join(copies, ["_b", "_salt"])
+    scored = met.withColumn("_l", F.transform("_items", lambda s: F.struct(logit(s).alias("z"), s["k"].alias("k"))))
     peak = F.array_max(F.transform("_l", lambda s: s["z"]))
     part = scored.select(row, truth, "_l", peak.alias("_m")).select(
         row, truth, "_m",
@@ -123,7 +131,7 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     total = sizes.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
     table = sizes.join(F.broadcast(total)).select(label, (F.col("_n") / (F.col("_k") * F.col("_c"))).alias(out))  # one row
-    return df.join(table, label)
+    return df.join(small(table), label)
 
 
 def fit_logistic(df: DataFrame, vector: str, label: str):
@@ -174,8 +182,6 @@ def fit_two_parameter(df: DataFrame, item: str, q: str, y: str, steps: int = 12,
     Each step is one grouped sum of gradients and curvatures over all items;
     a written table cuts the lineage. Slopes stay in (0, a_max].
     """
-    from .durable import durable
-
     params = df.select(item).distinct().select(item, F.lit(0.6931471805599453).alias("a"), F.lit(0.0).alias("c"))
     for step in range(steps):
         p = 1.0 / (1.0 + F.exp(-(F.col("a") * F.col(q) + F.col("c"))))

@@ -123,7 +123,7 @@ def value_ranks(df, group, value: str) -> tuple[DataFrame, DataFrame]:
     """
     counted = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
     cum = running_sum(counted, group, [value], F.col("_n"), "_cum")
-    total = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_total"))
+    total = cum.groupBy(*group).agg(F.sum("_n").alias("_total"))  # from the written pieces, not the source
     return cum, total
 
 

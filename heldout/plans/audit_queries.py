@@ -102,9 +102,9 @@ def aligned_bundle_check(t):
 
 @query("flatten_and_regroup", "with " + UNITS + """, r as (select record_id, value, row_number() over (partition by record_id order by ts, event_id) - 1 p from units) select record_id || '|' || p observation_id, value from r""")
 def flatten_and_regroup(t):
-    """Pack events per record (a day), then flatten back to id-keyed rows."""
-    u = fx.units(t).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("a"))  # one entity's day
-    return u.select("record_id", F.posexplode("a").alias("p", "s")).select(F.concat_ws("|", "record_id", F.col("p").cast("string")).alias("observation_id"), F.col("s.value").alias("value"))
+    """Id-keyed rows numbered inside their record, without packing a record into one row."""
+    p = positions(fx.units(t).select("record_id", "ts", "event_id", "value"), ["record_id"], ["ts", "event_id"], "p")
+    return p.select(F.concat_ws("|", "record_id", F.col("p").cast("string")).alias("observation_id"), "value")
 
 
 # ---- joins ----
@@ -158,8 +158,7 @@ def dictionary_codes(t):
     return jn.encode(fx.records(t), "record_id")
 
 
-@query("dictionary_decode_faults", "with " + RECORDS + """, n as (select count(*) n from records) select subject_id, (row_number() over (order by record_id) - 1 + n)::bigint code, 'OUT_OF_RANGE' fault from records, n where false union all
- select subject_id, code + 1000000000, 'OUT_OF_RANGE' from (select subject_id, stimulus_id, row_number() over (order by record_id) - 1 code from records) where stimulus_id = '7'""")
+@query("dictionary_decode_faults", "with " + RECORDS + """ select subject_id, code + 1000000000 code, 'OUT_OF_RANGE' fault from (select subject_id, stimulus_id, row_number() over (order by record_id) - 1 code from records) where stimulus_id = '7'""")
 def dictionary_decode_faults(t):
     r = durable(fx.records(t).select("record_id", "subject_id", "stimulus_id"))
     d = durable(jn.encode(r, "record_id"))
@@ -185,12 +184,12 @@ def common_row_retention(t):
 
 # ---- sequences ----
 def material(t):
-    c = t.conversations.select("conv_id", "turn", F.concat_ws("|", "role", F.substring("text", 1, 2)).alias("k"))
-    return c, c.filter(F.col("turn") % 2 == 0)
+    c = t.conversations.select("conv_id", "turn", "role", tx.token_count(F.col("text")).alias("k"))
+    return c.drop("role"), c.filter("role = 'user'").drop("role")
 
 
-@query("sequence_join_proof", """with recursive m as (select conv_id, row_number() over (partition by conv_id order by turn) - 1 pos, role || '|' || substr(text, 1, 2) k, turn from conversations),
- s as (select conv_id, row_number() over (partition by conv_id order by turn) - 1 idx, k, count(*) over (partition by conv_id) n from m where turn % 2 = 0),
+@query("sequence_join_proof", """with recursive m as (select conv_id, row_number() over (partition by conv_id order by turn) - 1 pos, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) k, turn, role from conversations),
+ s as (select conv_id, row_number() over (partition by conv_id order by turn) - 1 idx, k, count(*) over (partition by conv_id) n from m where role = 'user'),
  f as (select conv_id, -1::bigint idx, -1::bigint pos from (select distinct conv_id from s) union all
    select f.conv_id, s.idx, (select min(pos) from m where m.conv_id = f.conv_id and m.pos > f.pos and m.k = s.k) from f join s on s.conv_id = f.conv_id and s.idx = f.idx + 1 where f.pos is not null),
  b as (select conv_id, max(n) idx, 1000000::bigint pos from s group by 1 union all
@@ -203,8 +202,8 @@ def sequence_join_proof(t):
     return sq.prove_sequence_join(m, s, "conv_id", "turn", "k")[0]
 
 
-@query("sequence_join_slots", """with recursive m as (select conv_id, row_number() over (partition by conv_id order by turn) - 1 pos, role || '|' || substr(text, 1, 2) k, turn from conversations),
- s as (select conv_id, row_number() over (partition by conv_id order by turn) - 1 idx, k, count(*) over (partition by conv_id) n from m where turn % 2 = 0),
+@query("sequence_join_slots", """with recursive m as (select conv_id, row_number() over (partition by conv_id order by turn) - 1 pos, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) k, turn, role from conversations),
+ s as (select conv_id, row_number() over (partition by conv_id order by turn) - 1 idx, k, count(*) over (partition by conv_id) n from m where role = 'user'),
  f as (select conv_id, -1::bigint idx, -1::bigint pos from (select distinct conv_id from s) union all
    select f.conv_id, s.idx, (select min(pos) from m where m.conv_id = f.conv_id and m.pos > f.pos and m.k = s.k) from f join s on s.conv_id = f.conv_id and s.idx = f.idx + 1 where f.pos is not null),
  b as (select conv_id, max(n) idx, 1000000::bigint pos from s group by 1 union all
@@ -275,7 +274,7 @@ def table_digest(t):
 @query("digest_verification", f"with r as ({LI}), e as (select g, {DIGEST} d from r group by g) select g l_returnflag, case when g = 'R' then 'HASH_MISMATCH' else 'MATCH' end status from e")
 def digest_verification(t):
     li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
-    a = dg.table_digest(li, li.columns, ["l_returnflag"]) if False else dg.combine_digests(li.select("l_returnflag", sha256("l_orderkey", "l_linenumber").alias("digest")), "digest", ["l_returnflag"])
+    a = dg.combine_digests(li.select("l_returnflag", sha256("l_orderkey", "l_linenumber").alias("digest")), "digest", ["l_returnflag"])
     bad = a.withColumn("table_digest", F.when(F.col("l_returnflag") == "R", "0").otherwise(F.col("table_digest")))
     return dg.verify_digests(a, bad, "l_returnflag", "table_digest").select("l_returnflag", "status")
 
@@ -377,16 +376,16 @@ def roles(t):
 
 
 def spoiled(r):
-    """In cell (0, 0) the smallest test entity is moved to train for stimuli starting with 1."""
+    """In cell (0, 0) the smallest test entity is moved to train for its repeated records."""
     first = r.filter("cell_subject = 0 and cell_text = 0 and role = 'test'").agg(F.min("subject_id").alias("_s"))
-    bad = (F.col("cell_subject") == 0) & (F.col("cell_text") == 0) & (F.col("role") == "test") & (F.col("subject_id") == F.col("_s")) & F.col("stimulus_id").startswith("1")
+    bad = (F.col("cell_subject") == 0) & (F.col("cell_text") == 0) & (F.col("role") == "test") & (F.col("subject_id") == F.col("_s")) & (F.col("trials") > 1)
     return r.join(F.broadcast(first)).withColumn("role", F.when(bad, "train").otherwise(F.col("role"))).drop("_s")  # one row
 
 
 ROLES = FOLDS + """, roles0 as (select a.*, cell_subject, cell_text, case when subject_fold = cell_subject and text_fold = cell_text then 'test' when subject_fold <> cell_subject and text_fold <> cell_text then 'train' else 'held_out_only' end r0
    from assigned a, (select s.range::integer cell_subject, t.range::integer cell_text from range(6) s, range(5) t)),
  vic as (select min(subject_id) s from roles0 where cell_subject = 0 and cell_text = 0 and r0 = 'test'),
- roles as (select *, case when cell_subject = 0 and cell_text = 0 and r0 = 'test' and subject_id = (select s from vic) and stimulus_id like '1%' then 'train' else r0 end "role" from roles0)"""
+ roles as (select *, case when cell_subject = 0 and cell_text = 0 and r0 = 'test' and subject_id = (select s from vic) and trials > 1 then 'train' else r0 end "role" from roles0)"""
 
 
 @query("isolation_violations", "with recursive " + ROLES + """, sub as (select cell_subject, cell_text, subject_id m from roles group by 1, 2, 3 having bool_or(role = 'train') and bool_or(role = 'test')), sti as (select cell_subject, cell_text, stimulus_id m from roles group by 1, 2, 3 having bool_or(role = 'train') and bool_or(role = 'test')),
@@ -401,7 +400,7 @@ def isolation_violations(t):
 @query("run_ledger_errors", "with recursive " + ROLES + """ select 'run|0|0' run_id, 'model_fit' stage_type, e error, count(*)::bigint records from roles, (select unnest(['FIT_OUTSIDE_TRAIN', 'OUTER_TEST_IN_FIT_OR_SELECTION']) e) where cell_subject = 0 and cell_text = 0 and r0 = 'test' and role = 'train' group by all""")
 def run_ledger_errors(t):
     """A ledger written from spoiled roles is judged against the true ones."""
-    r = durable(roles(t).select("cell_subject", "cell_text", "record_id", "subject_id", "stimulus_id", "role"))
+    r = durable(roles(t).select("cell_subject", "cell_text", "record_id", "subject_id", "trials", "role"))
     ledger = au.build_ledger(spoiled(r), ["cell_subject", "cell_text"], "record_id", "run")
     return au.validate_ledger(ledger, r, ["cell_subject", "cell_text"])
 
@@ -424,7 +423,7 @@ def scope_overlaps(t):
 @query("audit_report", "with recursive " + ROLES + """, v as (select count(*) n from (select cell_subject, cell_text, subject_id from roles group by 1, 2, 3 having bool_or(role = 'train') and bool_or(role = 'test')))
  select 'clean_split' "check", 0::bigint violations, 'PASS' outcome union all select 'spoiled_split', n, case when n = 0 then 'PASS' else 'FAIL' end from v union all select 'overall', n, case when n = 0 then 'PASS' else 'FAIL' end from v""")
 def audit_report(t):
-    r = durable(roles(t).select("cell_subject", "cell_text", "subject_id", "stimulus_id", "role"))
+    r = durable(roles(t).select("cell_subject", "cell_text", "subject_id", "trials", "role"))
     c = ["cell_subject", "cell_text"]
     return au.overall(au.check_rows({"clean_split": au.crossing(r, c, "subject_id"), "spoiled_split": au.crossing(spoiled(r), c, "subject_id")}))
 

@@ -200,10 +200,10 @@ def signature_uniformity(t):
         .select("label", "widths", F.col("low").alias("width"), "status")
 
 
-@query("page_crossing", """with s as (select conv_id, substr(text, 1, 1) sentence, count(distinct turn // 4)::bigint pages from conversations group by 1, 2)
+@query("page_crossing", """with s as (select conv_id, length(text) sentence, count(distinct turn // 4)::bigint pages from conversations group by 1, 2)
  select conv_id, count(*)::bigint sentences, count(*) filter (pages > 1)::bigint crossing, count(*) filter (pages = 1)::bigint single from s group by 1""")
 def page_crossing(t):
-    c = t.conversations.select("conv_id", F.substring("text", 1, 1).alias("sentence"), F.floor(F.col("turn") / 4).alias("page"))
+    c = t.conversations.select("conv_id", F.char_length("text").alias("sentence"), F.floor(F.col("turn") / 4).alias("page"))
     s = c.groupBy("conv_id", "sentence").agg(F.count_distinct("page").alias("pages"))
     return s.groupBy("conv_id").agg(pf.n_rows().alias("sentences"), pf.count_when(F.col("pages") > 1).alias("crossing"), pf.count_when(F.col("pages") == 1).alias("single"))
 
