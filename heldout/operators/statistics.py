@@ -97,12 +97,17 @@ def rank_columns(df: DataFrame, values: list[str], group=()) -> DataFrame:
     return df
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation; NULL when a column is constant."""
+    return F.covar_pop(a, b) / F.nullif(F.sqrt(F.var_pop(a) * F.var_pop(b)), F.lit(0.0))
+
+
 def spearman(df: DataFrame, a: str, b: str, group=()) -> DataFrame:
     """Rank correlation per group: NULL below two rows, 0 for a constant column."""
     r = rank_columns(df.select(*group, a, b), [a, b], group)
     n = F.count(F.lit(1))
     flat = (F.min(f"{a}_rank") == F.max(f"{a}_rank")) | (F.min(f"{b}_rank") == F.max(f"{b}_rank"))
-    return r.groupBy(*group).agg(F.when(n < 2, None).when(flat, 0.0).otherwise(F.corr(f"{a}_rank", f"{b}_rank")).alias("rho"), n.alias("n"))
+    return r.groupBy(*group).agg(F.when(n < 2, None).when(flat, 0.0).otherwise(correlation(f"{a}_rank", f"{b}_rank")).alias("rho"), n.alias("n"))
 
 
 def partial_spearman(df: DataFrame, a: str, b: str, controls: list[str]) -> DataFrame:
@@ -131,7 +136,7 @@ def rank_stability(df: DataFrame, replicate: str, item: str, value: str) -> Data
     ranked = durable(average_ranks(df.select(replicate, item, value), [replicate], value, "_rank").select(replicate, item, "_rank"))
     left = ranked.select(F.col(replicate).alias("_a"), item, F.col("_rank").alias("_x"))
     right = ranked.select(F.col(replicate).alias("_b"), item, F.col("_rank").alias("_y"))
-    pairs = left.join(right, item).filter("_a < _b").groupBy("_a", "_b").agg(F.corr("_x", "_y").alias("rho"))
+    pairs = left.join(right, item).filter("_a < _b").groupBy("_a", "_b").agg(F.coalesce(correlation("_x", "_y"), F.lit(0.0)).alias("rho"))
     # one value per pair of replicates
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.min("rho").alias("pairwise_min"), F.percentile("rho", F.lit(0.5)).alias("pairwise_median"), F.max("rho").alias("pairwise_max"))
 

@@ -20,7 +20,7 @@ def frame():
 
 
 def as_df(spark, frame):
-    return spark.createDataFrame([tuple(r) for r in frame.assign(x=frame["x"].map(list), y=frame["y"].map(list)).itertuples(index=False)],
+    return spark.createDataFrame([tuple(r) for r in frame.assign(x=frame["x"].map(lambda a: a.tolist()), y=frame["y"].map(lambda a: a.tolist())).itertuples(index=False)],
                                  "row long, e string, sf int, tf int, x array<double>, y array<double>, v double")
 
 
