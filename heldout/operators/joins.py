@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsing import first_reason
 from .durable import durable
+from .profiles import every_pair
 from .ranking import positions
 
 
@@ -63,10 +64,10 @@ def decode(codes: DataFrame, dictionary: DataFrame, code: str, item: str, per: l
 def record_table(slots: DataFrame, entities: DataFrame, validity: DataFrame, slot: str, entity: str) -> DataFrame:
     """Every proven slot for every entity, with validity and a reason where it is missing.
 
-    The full table is the result by definition; entities are few against slots.
+    The full table is the result by definition.
     """
     v = validity.select(slot, entity, "valid_trials")
-    grid = slots.crossJoin(entities.select(entity).distinct()).join(v, [slot, entity], "left")
+    grid = every_pair(slots, entities.select(entity).distinct()).join(v, [slot, entity], "left")
     n = F.coalesce("valid_trials", F.lit(0))
     return grid.withColumn("valid_trials", n).withColumn("eligible", n > 0).withColumn("reason", F.when(n == 0, "NO_VALID_TRIAL")) \
         .withColumn("record_id", F.concat_ws("|", F.col(entity).cast("string"), F.col(slot).cast("string")))
@@ -86,9 +87,3 @@ def common_rows(tables: dict[str, DataFrame], row: str, group: str) -> tuple[Dat
         out = r if out is None else out.unionByName(r)
     return common, out
 
-
-def any_of(*conditions: Column) -> Column:
-    out = F.lit(False)
-    for c in conditions:
-        out = out | c
-    return out

@@ -121,13 +121,24 @@ def coverage_levels(df, levels: list[list[str]], available: Column) -> DataFrame
     return out.withColumn("coverage", F.col("available") / F.col("targets"))
 
 
+def every_pair(left: DataFrame, right: DataFrame, width: int = 1000) -> DataFrame:
+    """Each left row with each right row, for results that are a full grid by definition.
+
+    The right side is dealt into numbered buckets of about ``width`` rows and
+    each left row visits every bucket by an equi-join, so the work spreads.
+    """
+    buckets = max(1, -(-right.count() // width))
+    dealt = right.withColumn("_bucket", F.pmod(F.xxhash64(*right.columns), F.lit(buckets)).cast("int"))
+    return left.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).join(dealt, "_bucket").drop("_bucket")
+
+
 def full_grid(left: DataFrame, right: DataFrame, facts: DataFrame, keys: list[str], reason: str = "MISSING") -> DataFrame:
     """All combinations of two dimension tables with counts, a covered flag and a reason.
 
-    The grid is the result by definition; both sides must be distinct dimension keys.
+    Both sides must be distinct dimension keys.
     """
     counts = facts.groupBy(*keys).agg(n_rows().alias("n"))
-    grid = left.crossJoin(right).join(counts, keys, "left")
+    grid = every_pair(left, right).join(counts, keys, "left")
     return grid.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("covered"),
                        F.when(F.col("n").isNull(), reason).alias("reason"))
 

@@ -316,7 +316,7 @@ def sidecar_signatures(t):
 
 @query("forbidden_payload_keys", """select 'k' payload_key, count(*)::bigint n from events""")
 def forbidden_payload_keys(t):
-    return scans.forbidden_payload_keys(t.events, "props", ["k", "eeg"])
+    return scans.forbidden_payload_keys(t.events, "props", ["k", "outcome"])
 
 
 @query("numbered_row_scan", r"""select count(*)::bigint n, sum(length(regexp_replace(text, '\s+', ' ', 'g')))::bigint characters, true numbering_complete from documents""")

@@ -49,7 +49,7 @@ GREEDY = """ranked as (select {cell} cell, group_key, size, row_number() over (p
 FOLDS = ELIGIBLE + f""", subj as (
   select subject_id, sum(trials)::bigint trials, ((row_number() over (order by sum(trials) desc, subject_id) - 1) % {KS})::integer subject_fold
   from eligible group by subject_id),
-  sizes as (select group_key, count(distinct stimulus_id)::bigint size, sha256(concat_ws('|', {SEED}, 'tpch', 'TSR', group_key)) group_hash from eligible group by group_key),
+  sizes as (select group_key, count(distinct stimulus_id)::bigint size, sha256(concat_ws('|', {SEED}, 'tpch', 'T1', group_key)) group_hash from eligible group by group_key),
   """ + GREEDY.format(cell="1", k=KT) + """, grp as (select group_key, size, fold text_fold from walk where rn > 0),
   assigned as (select e.*, subject_fold, text_fold from eligible e join subj using (subject_id) join grp using (group_key))"""
 
@@ -59,7 +59,7 @@ INNER = FOLDS + f""", cells as (select s.range::integer cell_subject, t.range::i
      ((row_number() over (partition by cell_subject, cell_text order by sum(trials) desc, subject_id) - 1) % {{k}})::integer inner_subject_fold
      from otrain group by cell_subject, cell_text, subject_id),
   isizes as (select cell_subject || '_' || cell_text cell, group_key, count(distinct stimulus_id)::bigint size,
-     sha256(concat_ws('|', {SEED}, 'TSR|outer_s' || cell_subject || '_t' || cell_text, 'inner', group_key)) group_hash from otrain group by cell_subject, cell_text, group_key),
+     sha256(concat_ws('|', {SEED}, 'T1|outer_s' || cell_subject || '_t' || cell_text, 'inner', group_key)) group_hash from otrain group by cell_subject, cell_text, group_key),
   """ + GREEDY.replace("ranked", "iranked").replace("walk", "iwalk").replace("from sizes", "from isizes").format(cell="cell", k="{k}") + """,
   igrp as (select split_part(cell, '_', 1)::integer cell_subject, split_part(cell, '_', 2)::integer cell_text, group_key, size, fold inner_text_fold from iwalk where rn > 0),
   iassigned as (select o.*, inner_subject_fold, inner_text_fold from otrain o

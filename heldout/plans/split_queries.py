@@ -9,7 +9,7 @@ from . import fixtures as fx
 from .fixtures import ELIGIBLE, FOLDS, INNER, KS, KT, RECORDS, SEED, UNITS
 from .registry import query
 
-SPLIT = dict(seed=SEED, dataset="tpch", task="TSR", ks=KS, kt=KT)
+SPLIT = dict(seed=SEED, dataset="tpch", task="T1", ks=KS, kt=KT)
 
 
 def split(t):
@@ -18,7 +18,7 @@ def split(t):
 
 def inner(t, k=3):
     a = durable(split(t)["assigned"])
-    return a, splits.inner_assignments(a, seed=SEED, task="TSR", k=k, ks=KS, kt=KT)
+    return a, splits.inner_assignments(a, seed=SEED, task="T1", k=k, ks=KS, kt=KT)
 
 
 @query("exclusion_ledger", "with " + RECORDS + """
