@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import sha256
 from ..functions.parsing import reasons
-from .durable import durable, small
+from .durable import durable
 from .ranking import exact_quantiles, positions
 
 # Join states that count as verified.
@@ -92,12 +92,14 @@ def balanced_group_folds(groups: DataFrame, group: str, size: str, digest: str,
         f"{f.name} {f.dataType.simpleString()}" for f in groups.select(*within, size).schema.fields
     )
     steps = spark.createDataFrame(plan, f"{fields}, _head array<int>, _cycle array<int>")
+    if len(plan) <= 100_000:
+        steps = F.broadcast(steps)
     ranked = positions(groups, [*within, size], [digest, group], "_p")
     at = F.col("_p") - F.size("_head")
     fold = F.when(at < 0, F.element_at("_head", (F.col("_p") + 1).cast("int"))).otherwise(
         F.element_at("_cycle", (at % k + 1).cast("int"))
     )
-    return ranked.join(small(steps), [*within, size]).withColumn(out, fold).drop("_p", "_head", "_cycle")
+    return ranked.join(steps, [*within, size]).withColumn(out, fold).drop("_p", "_head", "_cycle")
 
 
 def entity_folds(records: DataFrame, k: int) -> DataFrame:

@@ -290,9 +290,10 @@ def run_metadata_stamp(t):
     return dg.stamp(t.events.groupBy("event_type").agg(one()), seed=20260813, fold="0", method="probe", config={"folds": 3, "alpha": 1.0})
 
 
-@query("snapshot_contract", """select count(*)::bigint "rows", count(distinct n_regionkey)::bigint regions, case when count(distinct n_regionkey) <> 6 then 'regions' else '' end failed, 'BLOCKED' outcome from nation""")
+@query("snapshot_contract", """select count(distinct o_orderpriority)::bigint priorities, count(distinct o_orderstatus)::bigint statuses, case when min(o_orderkey) <> 0 then 'first_key,statuses' else 'statuses' end failed, 'BLOCKED' outcome, min(o_orderkey) first_key from orders""")
 def snapshot_contract(t):
-    s = dg.snapshot_contract(t.nation, {"rows": (F.count(F.lit(1)), 25), "regions": (F.count_distinct("n_regionkey"), 6)})
+    """Three frozen values, one of them wrong on purpose."""
+    s = dg.snapshot_contract(t.orders, {"priorities": (F.count_distinct("o_orderpriority"), 5), "statuses": (F.count_distinct("o_orderstatus"), 4), "first_key": (F.min("o_orderkey"), 0)})
     return s.withColumn("failed", F.array_join("failed", ","))
 
 
