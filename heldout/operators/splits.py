@@ -121,7 +121,8 @@ def joint_split(records: DataFrame, *, seed: int, dataset: str, task: str, ks: i
 
     Roles are a predicate on the two numbers, so no cell x record table is needed.
     """
-    marked = durable(exclusion_reasons(records))  # read by four plans below
+    # both are read by several plans below; writing them spares as many evaluations of the source
+    marked = durable(exclusion_reasons(durable(records)))
     eligible = marked.filter(F.size("reasons") == 0).drop("reasons")
     subjects = entity_folds(eligible, ks)
     groups = material_folds(eligible, kt, seed, dataset, task)
