@@ -33,11 +33,14 @@ def role_violations(roles: DataFrame, records: DataFrame, cell: list[str], recor
     for rule, column in members.items():
         v = crossing(roles, cell, column).groupBy(*cell).agg(n_rows().alias("violations")).withColumn("rule", F.lit(rule))
         out = v if out is None else out.unionByName(v)
-    twice = roles.groupBy(*cell, record).agg(n_rows().alias("_n")).filter("_n > 1").groupBy(*cell).agg(n_rows().alias("violations")).withColumn("rule", F.lit("record_in_two_roles"))
+    # one pass over (cell, record) serves both record rules
+    per = roles.groupBy(*cell, record).agg(n_rows().alias("_n")).groupBy(*cell).agg(n_rows().alias("_have"), count_when(F.col("_n") > 1).alias("_twice"))
     total = records.agg(n_rows().alias("_all"))
-    have = roles.groupBy(*cell, record).agg(F.lit(1).alias("_x")).groupBy(*cell).agg(n_rows().alias("_have"))
-    gaps = have.join(F.broadcast(total)).filter("_have <> _all").select(*cell, F.abs(F.col("_all") - F.col("_have")).alias("violations"), F.lit("records_not_covered").alias("rule"))  # one row
-    return out.unionByName(twice).unionByName(gaps).select(*cell, "rule", "violations")
+    found = per.join(F.broadcast(total)).select(*cell, F.explode(F.array(  # one row
+        F.struct(F.lit("record_in_two_roles").alias("rule"), F.col("_twice").alias("violations")),
+        F.struct(F.lit("records_not_covered").alias("rule"), F.abs(F.col("_all") - F.col("_have")).alias("violations")))).alias("_r"))
+    records_rules = found.select(*cell, "_r.rule", "_r.violations").filter("violations > 0")
+    return out.unionByName(records_rules).select(*cell, "rule", "violations")
 
 
 def build_ledger(roles: DataFrame, cell: list[str], record: str, run: str) -> DataFrame:
@@ -51,7 +54,21 @@ def build_ledger(roles: DataFrame, cell: list[str], record: str, run: str) -> Da
 def validate_ledger(ledger: DataFrame, roles: DataFrame, cell: list[str], record: str = "record_id") -> DataFrame:
     """Errors per (run, stage type, error) with the number of offending records."""
     r = roles.select(*cell, F.col(record).alias("record_id"), "role")
-    j = ledger.join(r, [*cell, "record_id"], "left")
+    return _ledger_errors(ledger.join(r, [*cell, "record_id"], "left"))
+
+
+def validate_ledger_by_folds(ledger: DataFrame, assigned: DataFrame, cell: list[str], record: str, folds: list[str]) -> DataFrame:
+    """The same checks for a two-way split, with roles told from each record's two fold numbers.
+
+    Joins on the record alone, so no cell x record role table is built or shuffled.
+    """
+    r = assigned.select(F.col(record).alias("record_id"), F.col(folds[0]).alias("_sf"), F.col(folds[1]).alias("_tf"))
+    same_s, same_t = F.col("_sf") == F.col(cell[0]), F.col("_tf") == F.col(cell[1])
+    role = F.when(same_s & same_t, "test").when(~same_s & ~same_t, "train").when(F.col("_sf").isNotNull(), "held_out_only")
+    return _ledger_errors(ledger.join(r, "record_id", "left").withColumn("role", role).drop("_sf", "_tf"))
+
+
+def _ledger_errors(j: DataFrame) -> DataFrame:
     kind, stage, role = F.col("kind"), F.col("stage_type"), F.col("role")
     is_role = lambda x: F.coalesce(role == x, F.lit(False))
     tests = [
@@ -65,7 +82,7 @@ def validate_ledger(ledger: DataFrame, roles: DataFrame, cell: list[str], record
         F.when((stage != "final_scoring") & (kind == "outer_test_read"), "OUTER_TEST_READ_EARLY"),
     ]
     single = j.select("run_id", "stage_type", F.explode(F.array_compact(F.array(*tests))).alias("error")).groupBy("run_id", "stage_type", "error").agg(n_rows().alias("records"))
-    both = ledger.groupBy("run_id", "record_id").agg(F.bool_or(kind == "fit").alias("_f"), F.bool_or(kind == "selection").alias("_s")).filter("_f and _s")
+    both = j.filter(kind.isin("fit", "selection")).groupBy("run_id", "record_id").agg(F.bool_or(kind == "fit").alias("_f"), F.bool_or(kind == "selection").alias("_s")).filter("_f and _s")
     mixed = both.groupBy("run_id").agg(n_rows().alias("records")).select("run_id", F.lit("*").alias("stage_type"), F.lit("INNER_VALIDATION_ENTERS_FIT").alias("error"), "records")
     return single.unionByName(mixed)
 

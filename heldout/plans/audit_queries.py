@@ -394,16 +394,17 @@ ROLES = FOLDS + """, roles0 as (select a.*, cell_subject, cell_text, case when s
  select cell_subject, cell_text, 'subject_isolation' "rule", count(*)::bigint violations from sub group by 1, 2 union all select cell_subject, cell_text, 'stimulus_isolation', count(*) from sti group by 1, 2 union all select cell_subject, cell_text, 'group_isolation', count(*) from gr group by 1, 2""")
 def isolation_violations(t):
     r = roles(t)
-    return au.role_violations(spoiled(r), r.select("record_id").distinct(), ["cell_subject", "cell_text"], "record_id",
+    return au.role_violations(spoiled(r), r.filter("cell_subject = 0 and cell_text = 0").select("record_id"), ["cell_subject", "cell_text"], "record_id",
                               {"subject_isolation": "subject_id", "stimulus_isolation": "stimulus_id", "group_isolation": "group_key"})
 
 
 @query("run_ledger_errors", "with recursive " + ROLES + """ select 'run|0|0' run_id, 'model_fit' stage_type, e error, count(*)::bigint records from roles, (select unnest(['FIT_OUTSIDE_TRAIN', 'OUTER_TEST_IN_FIT_OR_SELECTION']) e) where cell_subject = 0 and cell_text = 0 and r0 = 'test' and role = 'train' group by all""")
 def run_ledger_errors(t):
-    """A ledger written from spoiled roles is judged against the true ones."""
-    r = durable(roles(t).select("cell_subject", "cell_text", "record_id", "subject_id", "trials", "role"))
-    ledger = au.build_ledger(spoiled(r), ["cell_subject", "cell_text"], "record_id", "run")
-    return au.validate_ledger(ledger, r, ["cell_subject", "cell_text"])
+    """A ledger written from spoiled roles is judged against the true folds."""
+    a = durable(split(t)["assigned"].select("record_id", "subject_id", "trials", "subject_fold", "text_fold"))
+    cell = ["cell_subject", "cell_text"]
+    ledger = au.build_ledger(spoiled(splits.cell_roles(a, KS, KT)), cell, "record_id", "run")
+    return au.validate_ledger_by_folds(ledger, a, cell, "record_id", ["subject_fold", "text_fold"])
 
 
 @query("ledger_accounting", "with recursive " + ROLES + """ select 30::bigint runs, 0::bigint runs_without_fit, 0::bigint early_reads, 0::bigint calibration_rows, true accounting_exact""")
