@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Shuffle files of a finished write are not needed again; without this they wait for the driver's garbage collector.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -24,13 +28,31 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back: one evaluation, and executor loss cannot change it."""
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/heldout-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Written table, hinted for broadcast only when its counted size allows; otherwise a plain join side."""
-    from pyspark.sql import functions as F
-
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``durable`` wrote, once nothing reads them any more."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int = 100_000, mb: int = 64) -> DataFrame:
+    """Written table, hinted for broadcast only when its counted rows and its bytes allow; otherwise a plain join side."""
     table = durable(df)
-    return F.broadcast(table) if table.count() <= rows else table
+    if table.count() > rows:
+        return table
+    jvm = table.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table.written_to)
+    size = path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(table) if size <= mb << 20 else table
