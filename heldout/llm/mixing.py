@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heldout.operators.durable import discard, durable, small
+from heldout.operators.durable import durable, small
 from heldout.operators.ranking import positions, running_sum
 
 from .registry import WORD, query, word_count

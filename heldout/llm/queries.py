@@ -5,7 +5,7 @@ import importlib.util
 
 from .registry import ORACLES, QUERIES
 
-for _name in ("mixing", "bpe"):
+for _name in ("mixing", "bpe", "secret_ledger", "sharding"):
     importlib.import_module(f"heldout.llm.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]
