@@ -131,7 +131,7 @@ SQL = rf"""with rows_ as (
  from at_"""
 
 
-@query("op1_mixing", "documents", SQL)
+@query("op1_mixing", "documents", sql=SQL)
 def op1(documents: DataFrame) -> DataFrame:
     """Words each document gives to the mix, in training order; documents not reached come last."""
     out = mix(documents).select("doc_id", "size", "source_size", "target", "taken", "position")

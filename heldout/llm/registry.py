@@ -15,12 +15,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def query(name: str, table: str, sql: str | None = None):
-    """Register ``fn(table) -> DataFrame`` under ``name`` over one whole given table."""
+def query(name: str, *tables: str, sql: str | None = None):
+    """Register ``fn(*tables) -> DataFrame`` under ``name`` over whole given tables."""
 
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            return fn(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables])
 
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run

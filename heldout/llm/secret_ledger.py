@@ -120,7 +120,7 @@ SQL = (
 )
 
 
-@query("op10_secrets", "documents", SQL)
+@query("op10_secrets", "documents", sql=SQL)
 def op10(documents: DataFrame) -> DataFrame:
     """Secrets of every document, each distinct text scanned once."""
     paths = durable(content_address(documents))
