@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import array
 import functools
 import heapq
 import json
@@ -10,15 +11,16 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from .registry import query
 
-#: Encoded chunks that a task keeps; the store is emptied when it is full.
-KEPT_CHUNKS, KEPT_LENGTH = 200_000, 64
+#: Encoded chunks and words that a task keeps; a store is emptied when it is full. Rows a task holds encoded at once.
+KEPT, KEPT_LENGTH, ROWS = 400_000, 64, 500
 BLANK = r"\t\n\v\f\r \x85\xa0  -     　"
 
 
@@ -48,8 +50,10 @@ class Encoder:
         self.end = tables["model"]["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in tables["added_tokens"]}
         self.text_of = {i: s for s, i in (*self.ids.items(), *self.special.items())}
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in tables["model"]["merges"])
-        self.merged = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in tables["model"]["merges"]]
+        self.pair = [self.ids[a] << 20 | self.ids[b] for a, b in merges]
+        self.new = [self.ids[a + b] for a, b in merges]
+        self.rank = {pair: rank for rank, pair in enumerate(self.pair)}
         alphabet = byte_alphabet()
         self.inner = [self.ids[c] for c in alphabet]
         self.last = [self.ids[c + self.end] for c in alphabet]
@@ -60,42 +64,61 @@ class Encoder:
         self.piece = regex.compile(pattern)
         self.chunk = re.compile(f"[^{BLANK}]+")
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.store: dict[str, tuple[bytes, str]] = {}
+        self.chunks: dict[str, tuple[bytes, str]] = {}
+        self.words: dict[str, tuple[bytes, str]] = {}
 
     def word(self, data: bytes) -> list[int]:
-        """Merge the lowest rank first, the leftmost on ties."""
-        symbol = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
-        n = len(symbol)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(*self.merged[pair], i, pair) for i, pair in enumerate(zip(symbol, symbol[1:], strict=False)) if pair in self.merged]
-        heapq.heapify(heap)
-        heap = [(rank, i, new, pair) for rank, new, i, pair in heap]
+        """Merge the lowest rank first, the leftmost on ties. Heap entries are rank and place in one number."""
+        symbol = [self.inner[b] for b in data]
+        symbol[-1] = self.last[data[-1]]
+        n, rank, pair, push = len(symbol), self.rank.get, self.pair, heapq.heappush
+        heap = [r << 32 | i for i in range(n - 1) if (r := rank(symbol[i] << 20 | symbol[i + 1])) is not None]
+        if not heap:
+            return symbol
         heapq.heapify(heap)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         while heap:
-            _, i, new, pair = heapq.heappop(heap)
+            top = heapq.heappop(heap)
+            r, i = top >> 32, top & 0xFFFFFFFF
             j = after[i]
-            if j < 0 or symbol[i] < 0 or (symbol[i], symbol[j]) != pair:
+            if j < 0 or symbol[i] < 0 or symbol[i] << 20 | symbol[j] != pair[r]:
                 continue  # stale: one side has been merged meanwhile
-            symbol[i], symbol[j] = new, -1
+            symbol[i], symbol[j] = self.new[r], -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-            for x, y in ((before[i], i), (i, k)):
-                if x >= 0 and y >= 0 and (found := self.merged.get((symbol[x], symbol[y]))):
-                    heapq.heappush(heap, (found[0], x, found[1], (symbol[x], symbol[y])))
+                if (r := rank(symbol[i] << 20 | symbol[k])) is not None:
+                    push(heap, r << 32 | i)
+            if (h := before[i]) >= 0 and (r := rank(symbol[h] << 20 | symbol[i])) is not None:
+                push(heap, r << 32 | h)
         return [s for s in symbol if s >= 0]
 
-    def pieces(self, chunk: str) -> tuple[bytes, str]:
-        """Packed ids and decoded text of a chunk without white space."""
-        found = self.store.get(chunk)
+    def piece_codes(self, piece: str) -> tuple[bytes, str]:
+        found = self.words.get(piece)
         if found is None:
-            plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # str.lower looks around a capital sigma
-            ids = [i for p in self.piece.findall(plain.lower()) for i in self.word(p.encode())]
-            found = struct.pack(f"<{len(ids)}I", *ids), " ".join([self.text_of[i] for i in ids])
-            if len(chunk) <= KEPT_LENGTH:
-                if len(self.store) >= KEPT_CHUNKS:
-                    self.store.clear()
-                self.store[chunk] = found
+            ids = self.word(piece.encode())
+            found = array.array("I", ids).tobytes(), " ".join([self.text_of[i] for i in ids])
+            if len(piece) <= KEPT_LENGTH:
+                if len(self.words) >= KEPT:
+                    self.words.clear()
+                self.words[piece] = found
+        return found
+
+    def chunk_codes(self, chunk: str) -> tuple[bytes, str]:
+        """Packed ids and decoded text of a chunk without white space."""
+        plain = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")  # str.lower looks around a capital sigma
+        plain = plain.lower()
+        letters = plain.rstrip(".,;:!?")
+        if letters.isalpha():  # the usual case: a word, then marks
+            pieces = [letters, plain[len(letters) :]] if len(letters) < len(plain) else [letters]
+        else:
+            pieces = self.piece.findall(plain)
+        got = [self.piece_codes(p) for p in pieces]
+        found = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), " ".join([g[1] for g in got]))
+        if len(chunk) <= KEPT_LENGTH:
+            if len(self.chunks) >= KEPT:
+                self.chunks.clear()
+            self.chunks[chunk] = found
         return found
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
@@ -105,7 +128,8 @@ class Encoder:
             if k % 2:
                 got = [(struct.pack("<I", self.special[part]), part)]
             else:
-                got = [self.pieces(c) for c in self.chunk.findall(part)]
+                known, make = self.chunks.get, self.chunk_codes
+                got = [known(c) or make(c) for c in self.chunk.findall(part)]
             ids += [g[0] for g in got]
             words += [g[1] for g in got if g[0]]
         return b"".join(ids), " ".join(words)
@@ -124,13 +148,19 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
 
     late = late_code_points()
 
-    @F.pandas_udf("ids binary, decoded string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(content.value, late)
-        for texts in batches:
-            yield pd.DataFrame([encoder.encode(t) for t in texts], columns=["ids", "decoded"])
+    kept = [f for f in df.schema.fields if f.name not in (ids, decoded)]
+    names = [f.name for f in kept] + [ids, decoded]
 
-    return df.withColumn("_bpe", run(text)).withColumns({ids: F.col("_bpe.ids"), decoded: F.col("_bpe.decoded")}).drop("_bpe")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(content.value, late)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                done = [encoder.encode(t.as_py()) for t in part.column(part.schema.get_field_index(text))]
+                new = [pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(f.name)) for f in kept] + new, names=names)
+
+    return df.mapInArrow(run, StructType([*kept, StructField(ids, BinaryType()), StructField(decoded, StringType())]))
 
 
 def vocabulary_file() -> str:
