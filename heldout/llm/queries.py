@@ -5,7 +5,7 @@ import importlib.util
 
 from .registry import ORACLES, QUERIES
 
-for _name in ("mixing", "bpe", "quality_rules", "metric_tree", "ngram_join", "suffix_dedup", "secret_ledger", "sharding"):
+for _name in ("mixing", "bpe", "quality_rules", "metric_tree", "line_dedup", "ngram_join", "suffix_dedup", "secret_ledger", "sharding"):
     importlib.import_module(f"heldout.llm.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]
