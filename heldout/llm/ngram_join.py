@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heldout.operators.durable import durable, small
@@ -71,7 +71,7 @@ def _least(n, percent):
 
 
 #: A shingle counts as this common at most; one as common within a batch needs no counting elsewhere.
-COMMON, SETTLED = 16, 65535
+COMMON, SETTLED = 255, 65535
 PARTS = pa.schema([("group", pa.int64()), ("frag", pa.int64()), ("batch", pa.int64()), ("low", pa.binary()), ("at", pa.binary()), ("df", pa.binary()), ("ids", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("place", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32()))])
 PARTS_SQL = "group long, frag long, batch long, low binary, at binary, df binary, ids array<long>, docs array<long>, place array<int>, sizes array<int>"
 
@@ -231,7 +231,7 @@ def similar(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tupl
     bits = max(6, int(np.ceil(np.log2(max(1.0, size / 6 / FRAGMENT)))))
     counted = durable(_count(_cut(docs, min(bits, 31), width)))
     sets = durable(_rarest(counted, percent))
-    members = sets.filter("keys is not null").select(F.explode("keys").alias("key"), F.col("set_id").alias("id"))
+    members = sets.filter("keys is not null").select(F.explode("keys").alias("key"), F.col("set_id").alias("id"), F.col("n_shingles").alias("n"))
     met = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     members = durable(members.join(met, "key"))
     per_set = sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
@@ -241,12 +241,15 @@ def similar(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tupl
     def verify(pairs: DataFrame) -> DataFrame:
         left = pieces.select(F.col("id").alias("a"), F.col("n").alias("na"), "piece", F.col("tokens").alias("ta"))
         right = pieces.select(F.col("id").alias("b"), F.col("n").alias("nb"), "piece", F.col("tokens").alias("tb"))
-        both = pairs.join(left, "a").join(right, ["b", "piece"]).filter(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
+        both = pairs.join(left, "a").join(right, ["b", "piece"])
         parts = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("shared"))
         sums = parts.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("s"))
         return sums.filter(F.lit(100) * F.col("s") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("s"))).select("a", "b")
 
-    links, labels = link(members, verify)
+    def possible(m: Column, n: Column) -> Column:
+        return F.lit(100) * F.least(m, n) >= F.lit(percent) * F.greatest(m, n)
+
+    links, labels = link(members, verify, possible)
     degree = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("n_links"))
     per_set = per_set.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").join(degree, "set_id", "left")
     per_set = durable(per_set.withColumn("component", F.coalesce("component", "set_id")).filter("rows > 1 or n_links > 0"))
