@@ -38,43 +38,47 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[[Column, Column], Column] = lambda m, n: F.lit(True), rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], possible: Callable[[Column, Column], Column] = lambda m, n: F.lit(True), stars: int = 2, shares: tuple[int, ...] = (16, 4, 1)) -> tuple[DataFrame, DataFrame]:
     """(verified links, components) of ids that share a key of ``members`` (key, id, n); ``verify`` keeps true pairs (a, b).
 
-    ``possible`` tells from two sizes ``n`` whether a pair can be true at all; others are never made.
-    In each star round the smallest id of a key is compared with the members
-    that are not yet in its component, and leaves the key. Keys whose members
-    have all met drop out, so a large group of copies costs pairs in proportion
-    to its size. What is left after ``rounds`` is compared in full, except pairs
-    that are connected already: no two ids that share a key and lie in different
+    ``possible`` tells from what two members of a key carry in ``n`` whether the pair can be true and this its first
+    common key; others are not made here.
+    In each of ``stars`` rounds the smallest id of a key is compared with the
+    members that are not yet in its component, and leaves the key. Keys whose
+    members have all met drop out, so a large group of copies costs pairs in
+    proportion to its size. Then every pair that is left has its turn, unless
+    the two have become connected: first a sixteenth of them by hash, then a
+    quarter, then the rest, so that most of a dense group is connected before
+    its pairs come up. No two ids that share a key and lie in different
     components at the end have gone without a comparison.
     """
     alive = durable(members.select("key", "id", "n").distinct())
     links = tried = labels = None
-    for k in range(rounds + 1):
+    for part in (*[0] * stars, *shares):
         now = alive.withColumn("c", F.col("id")) if labels is None else alive.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
         keys = now.groupBy("key").agg(F.min(F.struct("id", "c", "n")).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key", "lead")
         open_ = durable(now.join(keys, "key"))
         discard(alive)
-        if k < rounds:
+        if not part:
             pairs = open_.filter((F.col("c") != F.col("lead.c")) & possible(F.col("n"), F.col("lead.n"))).select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
         else:
             other = open_.select("key", F.col("id").alias("b"), F.col("c").alias("d"), F.col("n").alias("m"))
             both = open_.select("key", F.col("id").alias("a"), "c", "n").join(other, "key").filter("a < b and c <> d")
+            both = both.filter(F.pmod(F.xxhash64("a", "b"), F.lit(part)) == 0)
             pairs = both.filter(possible(F.col("n"), F.col("m"))).select("a", "b")
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = durable(pairs)
         if not pairs.head(1):
-            if not open_.head(1) or k == rounds:
+            if not open_.head(1):
                 break
         else:
             found = durable(verify(pairs))
             links = found if links is None else links.union(found)
             tried = pairs if tried is None else tried.union(pairs)
             labels = durable(components(links))
-        alive = durable(open_.filter("id <> lead.id").select("key", "id", "n"))
+        alive = durable((open_ if part else open_.filter("id <> lead.id")).select("key", "id", "n"))
         discard(open_)
     spark = members.sparkSession
     kind = dict(members.dtypes)["id"]

@@ -10,6 +10,7 @@ time is the training order.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heldout.operators.durable import durable, small
@@ -96,16 +97,16 @@ def training_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """
     names = docs.columns
     key = lambda i, s, n: [F.coalesce(i.cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("+"), s), F.lit("-")), n]
-    entry = mixed.select(*[c.alias(f"_k{j}") for j, c in enumerate(key(F.col("doc_id"), F.col("source"), F.col("size")))], "passes").groupBy("_k0", "_k1", "_k2").agg(F.collect_list("passes").alias("_all"))
+    entry = durable(mixed.select(*[c.alias(f"_k{j}") for j, c in enumerate(key(F.col("doc_id"), F.col("source"), F.col("size")))], "passes").groupBy("_k0", "_k1", "_k2").agg(F.collect_list("passes").alias("_all")))
     left = docs.select(F.struct(*names).alias("_row"), *[c.alias(f"_k{j}") for j, c in enumerate(key(F.col("doc_id"), F.col("source"), word_count(F.col("text"))))])
-    several = entry.filter(F.size("_all") > 1)
-    once = left.join(entry.filter(F.size("_all") == 1), ["_k0", "_k1", "_k2"]).select("_row", F.get("_all", F.lit(0)).alias("_steps"))
-    from pyspark.sql import Window
-
-    numbered = left.join(several, ["_k0", "_k1", "_k2"]).withColumn("_n", F.row_number().over(Window.partitionBy("_k0", "_k1", "_k2").orderBy(F.xxhash64("_row.text"))))
-    rows = once.unionByName(numbered.select("_row", F.get("_all", F.col("_n") - 1).alias("_steps")))
+    both = left.join(entry, ["_k0", "_k1", "_k2"])
+    if entry.filter(F.size("_all") > 1).head(1):
+        order = W.partitionBy("_k0", "_k1", "_k2").orderBy(F.xxhash64("_row.text"))
+        rows = both.select("_row", F.get("_all", F.row_number().over(order) - 1).alias("_steps"))
+    else:
+        rows = both.select("_row", F.get("_all", F.lit(0)).alias("_steps"))
     given = rows.select("_row", F.explode("_steps").alias("_step"))
-    head = F.regexp_extract(F.col("_row.text"), F.concat(F.lit(r"^([\x20\x09-\x0D]*(?:"), F.lit(WORD), F.lit(r"[\x20\x09-\x0D]*+){"), F.col("_step.taken").cast("string"), F.lit("})")), 1)
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), 0), F.lit(1), F.col("_step.taken").cast("int")), "")
     text = F.when(F.col("_step.taken") < word_count(F.col("_row.text")), head).otherwise(F.col("_row.text"))
     return given.orderBy("_step.position", "_row.doc_id").select(*[text.alias(n) if n == "text" else F.col(f"_row.{n}").alias(n) for n in names])
 

@@ -218,7 +218,7 @@ def _fragments(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def similar(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """(documents with doc_id, set_id, n_shingles, component_id and n_links; verified links of set ids).
+    """(documents with doc_id, set_id, n_shingles and component_id; links of set ids that were needed to connect them).
 
     A-Z are lower-cased; a text of fewer than ``width`` words is one shingle; one
     without words, or NULL, is the empty set and linked with nothing. Documents
@@ -231,7 +231,10 @@ def similar(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tupl
     bits = max(6, int(np.ceil(np.log2(max(1.0, size / 6 / FRAGMENT)))))
     counted = durable(_count(_cut(docs, min(bits, 31), width)))
     sets = durable(_rarest(counted, percent))
-    members = sets.filter("keys is not null").select(F.explode("keys").alias("key"), F.col("set_id").alias("id"), F.col("n_shingles").alias("n"))
+    placed = sets.filter("keys is not null").select(F.posexplode("keys").alias("at", "key"), F.col("set_id").alias("id"), "n_shingles", F.size("keys").alias("_k"))
+    # shingles of the set from this one on, in the common order
+    left = F.col("_k") - 1 + F.ceil(F.col("n_shingles") * percent / F.lit(100)) - F.col("at")
+    members = placed.select("key", "id", F.struct(F.col("n_shingles").alias("n"), left.alias("left")).alias("n"))
     met = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     members = durable(members.join(met, "key"))
     per_set = sets.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
@@ -246,20 +249,20 @@ def similar(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tupl
         sums = parts.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("s"))
         return sums.filter(F.lit(100) * F.col("s") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("s"))).select("a", "b")
 
-    def possible(m: Column, n: Column) -> Column:
-        return F.lit(100) * F.least(m, n) >= F.lit(percent) * F.greatest(m, n)
+    def possible(x: Column, y: Column) -> Column:
+        # if this is the first shingle that the two share, no more than those from here on can be shared
+        return F.lit(100 + percent) * F.least(x["left"], y["left"]) >= F.lit(percent) * (x["n"] + y["n"])
 
     links, labels = link(members, verify, possible)
-    degree = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("n_links"))
-    per_set = per_set.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").join(degree, "set_id", "left")
-    per_set = durable(per_set.withColumn("component", F.coalesce("component", "set_id")).filter("rows > 1 or n_links > 0"))
+    per_set = per_set.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left")
+    per_set = durable(per_set.filter("rows > 1 or component is not null").withColumn("component", F.coalesce("component", "set_id")))
     lowest = per_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = per_set.join(lowest, "component").select("set_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = per_set.join(lowest, "component").select("set_id", "component_id")
     out = sets.select("doc_id", "set_id", "n_shingles").join(small(found), "set_id", "left")
-    return out.select("doc_id", "set_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), links
+    return out.select("doc_id", "set_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), links
 
 
 @query("op5_ngram_join", "documents")
 def op5(documents: DataFrame) -> DataFrame:
-    """Shingle count and component of every document; ``n_links`` counts verified links of its set, at least one for each it needs."""
-    return similar(documents)[0].select("doc_id", "n_shingles", "component_id", "n_links")
+    """Shingle count and component of every document."""
+    return similar(documents)[0].select("doc_id", "n_shingles", "component_id")

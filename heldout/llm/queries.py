@@ -1,11 +1,15 @@
 """Loads every module that registers queries."""
 
 import importlib
-import importlib.util
 
 from .registry import ORACLES, QUERIES
 
-for _name in ("mixing", "bpe", "quality_rules", "metric_tree", "line_dedup", "ngram_join", "suffix_dedup", "secret_ledger", "sharding"):
+for _name in ("mixing", "bpe", "cotraining", "quality_rules", "metric_tree", "line_dedup", "ngram_join", "suffix_dedup", "secret_ledger", "sharding"):
     importlib.import_module(f"heldout.llm.{_name}")
 
+corpus_pipeline = importlib.import_module("corpus_pipeline")
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
 __all__ = ["ORACLES", "QUERIES"]
