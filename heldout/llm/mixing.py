@@ -108,7 +108,7 @@ def training_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     given = rows.select("_row", F.explode("_steps").alias("_step"))
     head = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), 0), F.lit(1), F.col("_step.taken").cast("int")), "")
     text = F.when(F.col("_step.taken") < word_count(F.col("_row.text")), head).otherwise(F.col("_row.text"))
-    return given.orderBy("_step.position", "_row.doc_id").select(*[text.alias(n) if n == "text" else F.col(f"_row.{n}").alias(n) for n in names])
+    return given.orderBy("_step.position", "_row.doc_id").select(*[text.alias(n) if n == "text" else F.col(f"_row.`{n}`").alias(n) for n in names])
 
 
 SQL = rf"""with rows_ as (

@@ -52,7 +52,8 @@ def repeated_words(words: Column) -> Column:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """Counts of every whole text in a struct ``_q`` beside the document's columns; NULL text has no words."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    names = [c for c in docs.columns if c != "_q"]
+    text = F.coalesce(F.col("_row.text"), F.lit(""))
 
     def counts(words: Column) -> Column:
         return F.struct(F.size(words).cast("long").alias("n_words"), F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"), repeated_words(words).alias("n_repeat_words"))
@@ -61,7 +62,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         return F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
 
     worded = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    parts = docs.withColumns({
+    parts = docs.select(F.struct(*names).alias("_row")).withColumns({
         "_w": let(F.regexp_extract_all(text, F.lit(WORD), 0), counts), "_l": let(worded, line_counts),
         "_s": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"), "_u": F.regexp_count(text, F.lit("[A-Z]")).cast("long"), "_m": F.regexp_count(text, F.lit("[!?]")).cast("long"),
     })
@@ -72,7 +73,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         (F.col("_s") / chars).alias("symbol_ratio"), (F.col("_u") / chars).alias("upper_ratio"), (F.col("_m") / chars).alias("mark_ratio"), (F.col("_w.n_repeat_words") / words).alias("repeat_ratio"),
         (F.col("_l.n_dup_lines") / lines).alias("dup_line_ratio"), (F.col("_w.word_chars") / words).alias("mean_word"), (F.col("_w.n_words") / lines).alias("words_per_line"),
     )
-    return parts.withColumn("_q", q).drop("_w", "_l", "_s", "_u", "_m")
+    return parts.select(*[F.col(f"_row.`{n}`").alias(n) for n in names], q.alias("_q"))
 
 
 @dataclass(frozen=True)
