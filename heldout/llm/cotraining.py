@@ -2,12 +2,13 @@
 
 Each view has a logistic model. In every round each model labels the documents
 of an unlabelled pool it is surest of, and the other one learns from them. On
-labelled documents kept aside both are calibrated, and the mean of the
-calibrated log-odds scores every document.
+labelled documents kept aside both are calibrated, and a third small model of
+the calibrated log-odds scores every document.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,22 +20,27 @@ from pyspark.sql import functions as F
 from .registry import query
 
 #: Labelled and unlabelled documents that the models learn from, drawn by a hash of the id; hashed character features.
-LABELLED, POOL, BUCKETS = 6_000, 4_000, 512
-ROUNDS, TAKEN = 4, 0.05
+LABELLED, POOL, BUCKETS = 12_000, 6_000, 64
+ROUNDS, TAKEN = 4, 0.02
 FIELDS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def text_view(data: np.ndarray) -> np.ndarray:
-    """Hashed byte trigrams as shares under a square root, and how concentrated they are."""
-    out = np.zeros(BUCKETS + 3)
+    """Hashed byte trigrams as shares under a square root; how many there are, how many differ, how they concentrate, and how words repeat."""
+    out = np.zeros(BUCKETS + 13)
     if len(data) > 2:
         x = data.astype(np.uint32)
         code = (x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]
-        count = np.bincount((code * np.uint32(0x9E3779B1)) >> np.uint32(23), minlength=BUCKETS)
-        share = count / count.sum()
-        full = share[share > 0]
+        fine = np.bincount((code * np.uint32(0x9E3779B1)) >> np.uint32(18), minlength=1 << 14)
+        share = fine.reshape(BUCKETS, -1).sum(1) / len(code)
+        some = fine[fine > 0] / len(code)
         out[:BUCKETS] = np.sqrt(share)
-        out[BUCKETS:] = [-(full * np.log(full)).sum() / np.log(min(BUCKETS, count.sum()) + 1), share.max(), len(full) / min(BUCKETS, count.sum())]
+        shape = np.array([np.log(len(code)), np.log(len(some)), -(some * np.log(some)).sum(), np.log(some.max())])
+        new = shape[1] - shape[0]  # log share of trigrams that are new
+        words = data.tobytes().split()
+        twice = sum(map(operator.eq, words, words[1:])) / max(1, len(words))  # words that follow themselves
+        kinds = np.log(len(set(words)) / max(1, len(words)) + 1e-9) if words else 0.0
+        out[BUCKETS:] = [*shape, *shape[1:] * shape[0] / 8, new, new * new, new * shape[0] / 8, twice, kinds, kinds * shape[0] / 8]
     return out
 
 
@@ -65,7 +71,7 @@ class Logistic:
     shift: float = 0.0
 
     @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, steps: int = 15) -> Logistic:
+    def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 15) -> Logistic:
         middle, spread = x.mean(0), x.std(0) + 1e-3
         z = np.c_[(x - middle) / spread, np.ones(len(x))]
         # both classes weigh the same
@@ -101,7 +107,23 @@ class Logistic:
         self.scale, self.shift = max(a, 1e-3), b
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, taken: float = TAKEN) -> tuple[Logistic, Logistic]:
+@dataclass
+class Blend:
+    """Both views and the lower of their log-odds, weighed on the rows that calibrated them."""
+
+    views: tuple[Logistic, Logistic]
+    mix: Logistic | None = None
+
+    def inputs(self, x: np.ndarray, m: np.ndarray) -> np.ndarray:
+        a, b = self.views[0].odds(x), self.views[1].odds(m)
+        return np.c_[a, b, np.minimum(a, b)]
+
+    def odds(self, x: np.ndarray, m: np.ndarray) -> np.ndarray:
+        z = self.inputs(x, m)
+        return np.clip(self.mix.raw(z), -12, 12) if self.mix else z[:, :2].mean(1)
+
+
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, taken: float = TAKEN) -> Blend:
     """Fit on two thirds of the labelled rows plus exchanged pseudo-labels; calibrate on the last third."""
     third = np.arange(len(y)) % 3 == 2
     if len(set(y[third])) < 2 or len(set(y[~third])) < 2:
@@ -126,7 +148,10 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
         models = [Logistic.fit(np.concatenate([x for x, _ in o]), np.concatenate([t for _, t in o])) for o in own]
     for k, m in enumerate(models):
         m.calibrate(views[k][third] if third.any() else views[k], y[third] if third.any() else y)
-    return models[0], models[1]
+    blend = Blend((models[0], models[1]))
+    if third.any():
+        blend.mix = Logistic.fit(blend.inputs(views[0][third], views[1][third]), y[third], 1e-3)
+    return blend
 
 
 def _sample(docs: DataFrame, labels: DataFrame):
@@ -152,7 +177,7 @@ def _sample(docs: DataFrame, labels: DataFrame):
     got = sorted(both.mapInArrow(run, "doc_id long, x binary, m binary, q int").collect(), key=lambda r: (r["doc_id"], r["x"]))
     stack = lambda rows, c, width: np.stack([np.frombuffer(r[c], np.float32) for r in rows]).astype(float) if rows else np.empty((0, width))
     with_label, without = [r for r in got if r["q"] is not None], [r for r in got if r["q"] is None]
-    widths = {"x": BUCKETS + 3, "m": 33}
+    widths = {"x": BUCKETS + 13, "m": 33}
     return tuple(stack(with_label, c, widths[c]) for c in "xm"), np.array([float(r["q"] > 0) for r in with_label]), tuple(stack(without, c, widths[c]) for c in "xm")
 
 
@@ -165,7 +190,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     class, all texts score one half.
     """
     views, y, pool = _sample(docs, labels)
-    models = co_train(views, y, pool) if len(set(y)) == 2 else None
+    blend = co_train(views, y, pool) if len(set(y)) == 2 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,9 +198,10 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 part = b.slice(start, 500)
                 texts = [t.as_py() for t in part.column(1)]
                 rows = [_views(t, lang.as_py(), source.as_py(), n.as_py()) for t, lang, source, n in zip(texts, part.column(2), part.column(3), part.column(4), strict=True)]
-                odds = [m.odds(np.stack([r[k] for r in rows])) for k, m in enumerate(models)] if models else [np.zeros(len(rows))] * 2
+                x, m = (np.stack([r[k] for r in rows]) for k in (0, 1))
+                odds = [blend.views[0].odds(x), blend.views[1].odds(m), blend.odds(x, m)] if blend else [np.zeros(len(rows))] * 3
                 some = np.array([bool(t) for t in texts])
-                p = [np.where(some, 1 / (1 + np.exp(-o)), 0.0) for o in (*odds, (odds[0] + odds[1]) / 2)]
+                p = [np.where(some, 1 / (1 + np.exp(-o)), 0.0) for o in odds]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x) for x in p], pa.array(p[2] >= 0.5)], names=["doc_id", "text_score", "meta_score", "score", "kept"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *FIELDS[1:])
