@@ -29,15 +29,15 @@ def stable_seed(*parts) -> Column:
 
 
 def hash_mod(hex_digest: Column, n) -> Column:
-    """The 256-bit number written in ``hex_digest`` modulo ``n`` (n below 2^31)."""
+    """The 256-bit number written in ``hex_digest`` modulo ``n`` (n below 2^47)."""
     n = n if isinstance(n, Column) else F.lit(n)
     n = n.cast("long")
     return F.aggregate(
-        F.sequence(F.lit(0), F.lit(7)),
+        F.sequence(F.lit(0), F.lit(15)),
         F.lit(0).cast("long"),
         lambda acc, i: (
-            acc * F.lit(4294967296).cast("long")
-            + F.conv(F.substring(hex_digest, i * 8 + 1, F.lit(8)), 16, 10).cast("long")
+            acc * F.lit(65536).cast("long")
+            + F.conv(F.substring(hex_digest, i * 4 + 1, F.lit(4)), 16, 10).cast("long")
         )
         % n,
     )
@@ -49,9 +49,9 @@ def unit_interval(*parts) -> Column:
 
 
 def hash_index(n, *parts) -> Column:
-    """First 32 hash bits modulo ``n``: a cheap seeded index for resampling."""
+    """First 60 hash bits modulo ``n``: a cheap seeded index for resampling."""
     n = n if isinstance(n, Column) else F.lit(n)
-    return F.conv(F.substring(sha256(*parts), 1, 8), 16, 10).cast("long") % n.cast("long")
+    return F.conv(F.substring(sha256(*parts), 1, 15), 16, 10).cast("long") % n.cast("long")
 
 
 def row_digest(columns) -> Column:

@@ -82,8 +82,8 @@ def _ledger_errors(j: DataFrame) -> DataFrame:
         F.when((stage != "final_scoring") & (kind == "outer_test_read"), "OUTER_TEST_READ_EARLY"),
     ]
     single = j.select("run_id", "stage_type", F.explode(F.array_compact(F.array(*tests))).alias("error")).groupBy("run_id", "stage_type", "error").agg(n_rows().alias("records"))
-    both = j.filter(kind.isin("fit", "selection")).groupBy("run_id", "record_id").agg(F.bool_or(kind == "fit").alias("_f"), F.bool_or(kind == "selection").alias("_s")).filter("_f and _s")
-    mixed = both.groupBy("run_id").agg(n_rows().alias("records")).select("run_id", F.lit("*").alias("stage_type"), F.lit("INNER_VALIDATION_ENTERS_FIT").alias("error"), "records")
+    both = j.filter(kind.isin("fit", "selection")).groupBy("run_id", "stage_type", "record_id").agg(F.bool_or(kind == "fit").alias("_f"), F.bool_or(kind == "selection").alias("_s")).filter("_f and _s")
+    mixed = both.groupBy("run_id", "stage_type").agg(n_rows().alias("records")).select("run_id", "stage_type", F.lit("INNER_VALIDATION_ENTERS_FIT").alias("error"), "records")
     return single.unionByName(mixed)
 
 
@@ -141,7 +141,7 @@ def label_invariance(primary, df: DataFrame, label: str) -> DataFrame:
 def rebuild_agrees(build, df: DataFrame) -> DataFrame:
     """Digest of a table built from its source and from the source in another row order."""
     a = table_digest(build(df)).select("table_digest", "row_count")
-    shuffled = durable(df.repartition(7).sortWithinPartitions(*[F.col(c).desc() for c in df.columns]))
+    shuffled = durable(df.repartition(F.xxhash64(F.lit("rebuild"), *df.columns)).sortWithinPartitions(*[F.col(c).desc() for c in df.columns]))
     b = table_digest(build(shuffled)).select(F.col("table_digest").alias("rebuilt_digest"))
     return a.join(F.broadcast(b)).withColumn("identical", F.col("table_digest") == F.col("rebuilt_digest"))  # one row each
 

@@ -72,14 +72,14 @@ def population_errors(subjects: DataFrame, entity: str, cells: str) -> DataFrame
     return one.unionByName(two).unionByName(three)
 
 
-def candidate_set_faults(sets: DataFrame, target: str, candidate: str, position: str, is_target: str, vocabulary: DataFrame, item: str) -> DataFrame:
-    """Faulty candidate sets: target missing, repeated members, unknown members, gaps in the positions."""
+def candidate_set_faults(sets: DataFrame, target: str, candidate: str, position: str, vocabulary: DataFrame, item: str, size: int) -> DataFrame:
+    """Faulty candidate sets of ``size`` members: target missing, repeated or unknown members, places 0..size-1 not all taken."""
     known = vocabulary.select(F.col(item).alias(candidate), F.lit(True).alias("_known"))
     j = sets.join(known, candidate, "left")
     own = F.sum(F.when(F.col(candidate) == F.col(target), 1).otherwise(0))
     a = j.groupBy(target).agg(own.alias("_own"), n_rows().alias("_n"), F.count_distinct(candidate).alias("_d"),
-                              F.sum(F.when(F.col("_known").isNull(), 1).otherwise(0)).alias("_u"), F.min(position).alias("_lo"), F.max(position).alias("_hi"))
+                              F.sum(F.when(F.col("_known").isNull(), 1).otherwise(0)).alias("_u"), F.min(position).alias("_lo"), F.max(position).alias("_hi"), F.count_distinct(position).alias("_p"))
     faults = F.array_compact(F.array(
         F.when(F.col("_own") != 1, "TARGET_NOT_IN_SET"), F.when(F.col("_d") != F.col("_n"), "REPEATED_CANDIDATE"),
-        F.when(F.col("_u") > 0, "UNKNOWN_CANDIDATE"), F.when((F.col("_lo") != 0) | (F.col("_hi") != F.col("_n") - 1), "POSITION_GAP")))
+        F.when(F.col("_u") > 0, "UNKNOWN_CANDIDATE"), F.when((F.col("_lo") != 0) | (F.col("_hi") != size - 1) | (F.col("_n") != size) | (F.col("_p") != size), "POSITION_GAP")))
     return a.select(target, F.array_join(faults, ",").alias("faults")).filter("faults <> ''")

@@ -205,12 +205,12 @@ def fit_two_parameter(df: DataFrame, item: str, q: str, y: str, steps: int = 12,
 
 
 def role_input(role: str, parts: dict[str, str]):
-    """Concatenated inputs registered for a role; an unknown role gives NULL."""
+    """Concatenated inputs registered for a role; an unknown role is an error."""
     out = None
     for name, columns in parts.items():
         value = F.concat(*[F.col(c) for c in columns])
         out = F.when(F.col(role) == name, value) if out is None else out.when(F.col(role) == name, value)
-    return out
+    return out.otherwise(F.raise_error(F.concat(F.lit("no inputs are registered for the role "), F.coalesce(F.col(role), F.lit("NULL")))))
 
 
 def preflight(common_rows, all_rows, minimum: float = 0.5) -> DataFrame:

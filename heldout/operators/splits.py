@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +17,7 @@ ACCEPTED_STATES = ["APPROVED", "PROVEN", "SOURCE_VERIFIED", "VERIFIED"]
 def exclusion_reasons(records: DataFrame) -> DataFrame:
     """Adds ``reasons``: row faults plus faults of the whole stimulus, sorted."""
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
-    unverified = ~F.coalesce(F.col("join_status"), F.lit("UNVERIFIED")).isin(ACCEPTED_STATES)
+    unverified = ~F.coalesce(F.upper(F.trim("join_status")), F.lit("UNVERIFIED")).isin(ACCEPTED_STATES)
     per_stimulus = (
         records.filter(~blank("stimulus_id"))
         .groupBy("stimulus_id")
@@ -49,33 +48,35 @@ def round_robin_folds(weights: DataFrame, entity: str, weight: str, k, within=()
 
 
 def _fill_plan(histogram, k: int):
-    """For each size, largest first: the folds its groups go to, as a start and a repeating cycle.
+    """For each size, largest first: segments (first position, cycle of folds) that its groups go through.
 
-    Every group of one size c takes the least loaded fold, so the choices are
-    the smallest pairs (total + i*c, fold): uneven at first, then round and round.
+    A group of size c takes the least loaded fold, so the choices are the
+    smallest pairs (total + i*c, fold). Writing a total as q*c + r, the pairs of
+    one level q + i come in order of (r, fold), and a fold joins at its own q:
+    at most k segments tell all places, however many groups there are.
     """
     totals = [0] * k
     for size, count in histogram:
-        head: list[int] = []
-        spread = max(totals) - min(totals)
-        settle = sum((max(totals) - t + size - 1) // size for t in totals) if spread else 0
-        now = list(totals)
-        for _ in range(min(count, settle)):
-            f = int(np.argmin(now))
-            head.append(f)
-            now[f] += size
-        cycle = sorted(range(k), key=lambda f: (now[f], f))
-        rest = count - len(head)
-        for place, f in enumerate(cycle):
-            now[f] += size * (rest // k + (1 if place < rest % k else 0))
-        yield size, head, cycle
+        level = {f: divmod(totals[f], size) for f in range(k)}
+        steps = sorted({q for q, _ in level.values()})
+        segments, at, now = [], 0, list(totals)
+        for low, high in zip(steps, [*steps[1:], None], strict=True):
+            cycle = sorted((f for f in range(k) if level[f][0] <= low), key=lambda f: (level[f][1], f))
+            here = count - at if high is None else min(count - at, (high - low) * len(cycle))
+            if here <= 0:
+                break
+            segments.append((at, cycle))
+            for place, f in enumerate(cycle):
+                now[f] += size * (here // len(cycle) + (1 if place < here % len(cycle) else 0))
+            at += here
+        yield size, segments
         totals = now
 
 
 def balanced_group_folds(groups: DataFrame, group: str, size: str, digest: str, k: int, within=(), out="fold") -> DataFrame:
     """Largest groups first (hash, then key, on ties), each to the least loaded fold.
 
-    Only the histogram of group sizes visits the driver; the groups stay spread.
+    Only the histogram of group sizes visits the driver, and at most ``k`` segments per size go back.
     """
     within = list(within)
     spark = groups.sparkSession
@@ -91,15 +92,14 @@ def balanced_group_folds(groups: DataFrame, group: str, size: str, digest: str,
     fields = ", ".join(
         f"{f.name} {f.dataType.simpleString()}" for f in groups.select(*within, size).schema.fields
     )
-    steps = spark.createDataFrame(plan, f"{fields}, _head array<int>, _cycle array<int>")
-    if len(plan) <= 100_000:
+    steps = spark.createDataFrame(plan, f"{fields}, _segments array<struct<start:long,cycle:array<int>>>")
+    if len(plan) <= 100_000:  # of k segments at most
         steps = F.broadcast(steps)
     ranked = positions(groups, [*within, size], [digest, group], "_p")
-    at = F.col("_p") - F.size("_head")
-    fold = F.when(at < 0, F.element_at("_head", (F.col("_p") + 1).cast("int"))).otherwise(
-        F.element_at("_cycle", (at % k + 1).cast("int"))
-    )
-    return ranked.join(steps, [*within, size]).withColumn(out, fold).drop("_p", "_head", "_cycle")
+    segment = F.element_at(F.filter("_segments", lambda s: s["start"] <= F.col("_p")), -1)
+    place = (F.col("_p") - segment["start"]) % F.size(segment["cycle"])
+    fold = F.element_at(segment["cycle"], (place + 1).cast("int"))
+    return ranked.join(steps, [*within, size]).withColumn(out, fold).drop("_p", "_segments")
 
 
 def entity_folds(records: DataFrame, k: int) -> DataFrame:

@@ -121,7 +121,7 @@ def fold_units(t):
                     (F.col("k") / 100.0).alias("x1"), (F.hour("ts") / 24.0).alias("x2"), F.log1p("value").alias("y"))
 
 
-FOLD_UNITS = UNITS + """, fu as (select event_id, subject_id, event_type, value, (('0x' || substr(sha256('sf|' || subject_id), 1, 8))::bigint % 3)::integer sf, (('0x' || substr(sha256('tf|' || item_id), 1, 8))::bigint % 2)::integer tf,
+FOLD_UNITS = UNITS + """, fu as (select event_id, subject_id, event_type, value, (('0x' || substr(sha256('sf|' || subject_id), 1, 15))::bigint % 3)::integer sf, (('0x' || substr(sha256('tf|' || item_id), 1, 15))::bigint % 2)::integer tf,
   k / 100.0::double x1, hour(ts) / 24.0::double x2, ln(1 + value) y from units)"""
 
 ROBUST = FOLD_UNITS + """, b as (select f.fold, event_type, quantile_cont(value, 0.005) lo, quantile_cont(value, 0.995) hi, median(value) raw_median from fu join (select range::integer fold from range(3)) f on sf <> fold group by 1, 2),
@@ -220,7 +220,7 @@ def band_power(t):
     return p.select("user_id", "window_start", F.posexplode("power").alias("band", "p")).select("user_id", "window_start", "band", F.round("p", 4).alias("power"))
 
 
-@query("hashed_bag_of_words", r"""with w as (select doc_id, (('0x' || substr(sha256(unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''))), 1, 8))::bigint % 512)::bigint bucket from documents), c as (select doc_id, bucket, count(*)::double n from w group by 1, 2)
+@query("hashed_bag_of_words", r"""with w as (select doc_id, (('0x' || substr(sha256(unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''))), 1, 15))::bigint % 512)::bigint bucket from documents), c as (select doc_id, bucket, count(*)::double n from w group by 1, 2)
  select doc_id, bucket, round(n / sqrt(sum(n * n) over (partition by doc_id)), 6) weight from c""")
 def hashed_bag_of_words(t):
     return ft.hashed_bag(t.documents, "doc_id", "text").select("doc_id", "bucket", r6(F.col("weight"), "weight"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import sha256
 from ..functions.vectors import dot
 from ..operators import nulls
-from ..operators.sampling import hash_first, sampled_sets, target_ranks
+from ..operators.sampling import hash_first, sampled_sets, small_pools, target_ranks
 from ..operators.statistics import auroc
 from . import fixtures as fx
 from .fixtures import SEED, UNITS
@@ -90,14 +90,16 @@ def four_arm_support(t):
     return s.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 6).alias("mean_x"))
 
 
-@query("graded_injection", """with c as (select e.vec_id, e.embedding, m.code from embeddings e join (select label, [round(avg(embedding[1]::double), 6), round(avg(embedding[2]::double), 6)] code from embeddings group by 1) m on m.label = e.label)
- select vec_id, level, round(embedding[1]::double + level * code[1], 6) x1, round(embedding[2]::double + level * code[2], 6) x2 from c, (select unnest([0, 0.25, 0.5, 1.0]::double[]) level)""")
+@query("graded_injection", """with x as (select vec_id, label, unnest(range(1, 65)) dim, embedding from embeddings), e as (select vec_id, label, dim, embedding[dim]::double v from x), m as (select label, dim, round(avg(v), 6) code from e group by 1, 2)
+ select vec_id, level, dim::integer dim, round(v + level * code, 6) x from e join m using (label, dim), (select unnest([0, 0.25, 0.5, 1.0]::double[]) level)""")
 def graded_injection(t):
-    two = F.slice("embedding", 1, 2)
-    m = t.embeddings.groupBy("label").agg(*[F.round(F.avg(F.col("embedding")[i].cast("double")), 6).alias(f"c{i}") for i in (0, 1)])
-    e = t.embeddings.join(m, "label").select("vec_id", two.alias("x"), F.array("c0", "c1").alias("code"))
-    g = nulls.graded_injection(e, "x", "code", [0, 0.25, 0.5, 1.0])
-    return g.select("vec_id", "level", F.round(F.col("injected")[0], 6).alias("x1"), F.round(F.col("injected")[1], 6).alias("x2"))
+    """The mean vector of each label, added in four strengths to its members; all dimensions."""
+    each = t.embeddings.select("label", F.posexplode("embedding").alias("dim", "v"))
+    means = each.groupBy("label", "dim").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("m"))
+    codes = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("code"))  # one entry per dimension
+    e = t.embeddings.join(codes, "label").select("vec_id", F.col("embedding").alias("x"), "code")
+    g = nulls.graded_injection(e, "x", "code", [0, 0.25, 0.5, 1.0]).select("vec_id", "level", F.posexplode("injected").alias("dim", "x"))
+    return g.select("vec_id", "level", (F.col("dim") + 1).alias("dim"), F.round("x", 6).alias("x"))
 
 
 @query("first_k_by_hash", """select doc_id, source, rn::bigint "rank" from (select doc_id, source, row_number() over (partition by source order by sha256(concat_ws('|', 20260813, 'smoke', doc_id)), doc_id) rn from documents) where rn <= 5""")
@@ -106,11 +108,11 @@ def first_k_by_hash(t):
 
 
 SETS = """ring as (select vec_id, label, embedding, row_number() over (partition by label order by sha256(concat_ws('|', 20260813, 'pool', vec_id)), vec_id) - 1 p, count(*) over (partition by label) n from embeddings),
- negs as (select r.vec_id target, r.label, (r.p + 1 + (('0x' || substr(sha256(concat_ws('|', 20260813, 'start', r.vec_id)), 1, 8))::bigint % (r.n - 1) + j) % (r.n - 1)) % r.n q, j from ring r, (select unnest(range(9)) j) where r.n > 9),
+ negs as (select r.vec_id target, r.label, (r.p + 1 + (r.n - 1) * j // 9 + (('0x' || substr(sha256(concat_ws('|', 20260813, 'draw', r.vec_id, j)), 1, 15))::bigint % ((r.n - 1) * (j + 1) // 9 - (r.n - 1) * j // 9))) % r.n q, j from ring r, (select unnest(range(9)) j) where r.n > 9),
  members as (select target, x.vec_id candidate, false is_target from negs join ring x on x.label = negs.label and x.p = q union all select vec_id, vec_id, true from ring where n > 9),
  sets as (select *, row_number() over (partition by target order by sha256(concat_ws('|', 20260813, 'order', target, candidate)), candidate)::bigint - 1 as "position" from members)"""
 
-SCORED = SETS + """, scored as (select s.*, round(list_sum(list_transform(range(1, 5), lambda i: a.embedding[i]::double * b.embedding[i]::double)), 9) score from sets s join embeddings a on a.vec_id = target join embeddings b on b.vec_id = candidate),
+SCORED = SETS + """, scored as (select s.*, round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::double * b.embedding[i]::double)), 9) score from sets s join embeddings a on a.vec_id = target join embeddings b on b.vec_id = candidate),
  ranks as (select target, count(*) filter (score > ts or (score = ts and "position" < tp))::bigint + 1 "rank" from (select *, max(score) filter (is_target) over (partition by target) ts, max("position") filter (is_target) over (partition by target) tp from scored) group by target)"""
 
 
@@ -119,7 +121,7 @@ def sets(t):
 
 
 def scored(t):
-    head = t.embeddings.select("vec_id", F.slice("embedding", 1, 4).alias("v"))
+    head = t.embeddings.select("vec_id", F.col("embedding").alias("v"))
     a, b = head.toDF("target", "tv"), head.toDF("candidate", "cv")
     return sets(t).join(a, "target").join(b, "candidate").withColumn("score", F.round(dot(F.col("tv"), F.col("cv")), 9)).drop("tv", "cv")
 
@@ -129,6 +131,11 @@ def sampled_candidate_sets(t):
     return sets(t).select("target", "candidate", "is_target", "position")
 
 
+@query("small_pools", """select source, lang, count(*)::bigint n, 'POOL_BELOW_SET_SIZE' reason from documents group by 1, 2 having count(*) < 15""")
+def small_pool_query(t):
+    return small_pools(t.documents, ["source", "lang"], 15)
+
+
 @query("target_ranks", "with " + SCORED + """ select target, "rank" from ranks""")
 def target_rank_query(t):
     return target_ranks(scored(t), "target", "score", "position", "is_target")

@@ -19,7 +19,7 @@ from .statistic_queries import ARMS, CI, arms, boot_sql, entity_u
 r6 = lambda c, name: F.round(c, 6).alias(name)
 
 
-@query("cell_preparation", "with " + UNITS + """, u as (select *, (('0x' || substr(sha256('sf|' || subject_id), 1, 8))::bigint % 3)::integer sf from units), c as (select u.*, cell, case when sf = cell then 'validation' else 'train' end part from u, (select range::integer cell from range(3))),
+@query("cell_preparation", "with " + UNITS + """, u as (select *, (('0x' || substr(sha256('sf|' || subject_id), 1, 15))::bigint % 3)::integer sf from units), c as (select u.*, cell, case when sf = cell then 'validation' else 'train' end part from u, (select range::integer cell from range(3))),
  s as (select cell, item_id from c where part = 'train' group by 1, 2 having count(*) >= 20 and count(distinct subject_id) >= 5), n as (select *, count(*) over (partition by cell, part, record_id) siblings from c)
  select n.cell, part, count(*)::bigint "rows", count(*) filter (siblings > 1)::bigint common_rows, count(*) filter (siblings > 1 and s.item_id is not null)::bigint usable_rows from n left join s on s.cell = n.cell and s.item_id = n.item_id group by 1, 2""")
 def cell_preparation(t):
@@ -51,16 +51,18 @@ def population_faults(t):
     return dc.population_errors(s, "subject_id", "cells")
 
 
-@query("candidate_set_faults", "with " + SETS + """ select target, string_agg(f, ',' order by o) faults from (select distinct target, 'TARGET_NOT_IN_SET' f, 1 o from sets s join embeddings e on e.vec_id = target where e.label = 3 union all select distinct target, 'POSITION_GAP', 2 from sets s join embeddings e on e.vec_id = target where e.label = 3 and is_target and "position" in (0, 9)) group by 1""")
+@query("candidate_set_faults", "with " + SETS + """ select s.target, case when e.label = 3 then 'TARGET_NOT_IN_SET,POSITION_GAP' when e.label = 4 then 'REPEATED_CANDIDATE' when e.label = 5 then 'POSITION_GAP' else 'UNKNOWN_CANDIDATE' end faults
+ from (select distinct target from sets) s join embeddings e on e.vec_id = s.target where e.label in (3, 4, 5, 6)""")
 def candidate_set_faults(t):
-    """The targets of one label lose their own entry and must be reported."""
+    """Label 3 loses the target's own entry, 4 names a member twice, 5 loses its last or first other entry, 6 names an unknown item."""
     s = sets(t).join(t.embeddings.select(F.col("vec_id").alias("target"), "label"), "target")
-    spoiled = s.filter(~((F.col("label") == 3) & F.col("is_target")))
-    x = dc.candidate_set_faults(spoiled, "target", "candidate", "position", "is_target", t.embeddings, "vec_id")
-    gap = spoiled.groupBy("target").agg(F.min("position").alias("lo"), F.max("position").alias("hi"))
-    edge = gap.filter((F.col("lo") != 0) | (F.col("hi") != 9)).select("target", F.lit(True).alias("edge"))
-    j = x.join(edge, "target", "left")  # an inner gap shows as a count, an end gap by its end
-    return j.select("target", F.when(F.col("edge"), "TARGET_NOT_IN_SET,POSITION_GAP").otherwise("TARGET_NOT_IN_SET").alias("faults"))
+    other = ~F.col("is_target")
+    last = s.filter(other).groupBy("target").agg(F.max("position").alias("_last"), F.min_by("candidate", "position").alias("_first"))
+    s = s.join(last, "target")
+    at_last = other & (F.col("position") == F.col("_last"))
+    changed = F.when((F.col("label") == 4) & at_last, F.col("_first")).when((F.col("label") == 6) & at_last, F.lit(-1).cast("long")).otherwise(F.col("candidate"))
+    spoiled = s.filter(~((F.col("label") == 3) & F.col("is_target")) & ~((F.col("label") == 5) & at_last)).withColumn("candidate", changed)
+    return dc.candidate_set_faults(spoiled, "target", "candidate", "position", t.embeddings, "vec_id", 10)
 
 
 @query("bottleneck_labels", "with " + ARMS + """, g as (select event_type, avg(u_oof) > 1.45 seen, avg(u_min) > 0.5 crossed from arms group by 1) select event_type, case when seen and not crossed then 'TRANSFER_DOMINANT' when not seen and not crossed then 'REPRESENTATION_OR_PROBE_DOMINANT' when seen and crossed then 'BASELINE_REPRODUCTION_DEVIATION' else 'UNEXPECTED_REGIME_ORDERING' end label from g""")

@@ -21,11 +21,11 @@ def inner(t, k=3):
     return a, splits.inner_assignments(a, seed=SEED, task="T1", k=k, ks=KS, kt=KT)
 
 
-@query("exclusion_ledger", "with " + RECORDS + """
+@query("exclusion_ledger", "with " + RECORDS + """, bad as (select distinct stimulus_id s from records where join_status <> 'VERIFIED')
 select record_id, subject_id, stimulus_id, group_key, array_to_string(list_sort(list_filter([
   case when not eligible then 'EXPLICITLY_EXCLUDED' end, case when join_status <> 'VERIFIED' then 'MATERIAL_JOIN_NOT_VERIFIED' end,
-  case when stimulus_id in (select stimulus_id from records where join_status <> 'VERIFIED') then 'STIMULUS_HAS_UNVERIFIED_JOIN' end], lambda x: x is not null)), ',') reasons
-from records where not eligible or stimulus_id in (select stimulus_id from records where join_status <> 'VERIFIED')""")
+  case when s is not null then 'STIMULUS_HAS_UNVERIFIED_JOIN' end], lambda x: x is not null)), ',') reasons
+from records left join bad on s = stimulus_id where not eligible or s is not null""")
 def exclusion_ledger(t):
     x = split(t)["excluded"]
     return x.select("record_id", "subject_id", "stimulus_id", "group_key", F.array_join("reasons", ",").alias("reasons"))

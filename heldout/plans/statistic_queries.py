@@ -50,7 +50,7 @@ def entity_u(t, metric="u_oof"):
 def boot_sql(source, value, n, seed=SEED):
     """SQL of the draws: source(entity, value) with hash indexes."""
     return f"""ranked as (select row_number() over (order by entity) - 1 i, entity, v from (select {source})), n as (select count(*) n from ranked),
- draws as (select d draw, avg(r.v) estimate from (select unnest(range({n})) d), ranked s, n join ranked r on r.i = ('0x' || substr(sha256(concat_ws('|', {seed}, d, s.i)), 1, 8))::bigint % n.n group by 1)"""
+ draws as (select d draw, avg(r.v) estimate from (select unnest(range({n})) d), ranked s, n join ranked r on r.i = ('0x' || substr(sha256(concat_ws('|', {seed}, d, s.i)), 1, 15))::bigint % n.n group by 1)"""
 
 
 CI = "round(quantile_cont(estimate, 0.025), 6) ci_low, round(quantile_cont(estimate, 0.975), 6) ci_high"
@@ -226,7 +226,7 @@ def dose_response_curve(t):
     return p.select("level", r6(F.col("e"), "estimate"), r6(F.col("s"), "positive_share"), (F.col("s") >= 0.9).alias("passed"))
 
 
-@query("disjoint_fold_summary", "with " + ARMS + """, f as (select subject_id, (('0x' || substr(sha256('sf|' || subject_id), 1, 8))::bigint % 3)::integer fold, avg(u_oof) u from arms group by 1)
+@query("disjoint_fold_summary", "with " + ARMS + """, f as (select subject_id, (('0x' || substr(sha256('sf|' || subject_id), 1, 15))::bigint % 3)::integer fold, avg(u_oof) u from arms group by 1)
  select count(*)::bigint entities, count(distinct fold)::bigint folds, (count(*) - count(distinct subject_id))::bigint repeated_entities, round(avg(u), 6) estimate from f""")
 def disjoint_fold_summary(t):
     from ..functions.hashing import hash_index
@@ -328,7 +328,7 @@ def weighted_objective(t):
 
 
 BATCH = """o as (select vec_id, embedding, row_number() over (order by sha256(concat_ws('|', 20260813, 'batch', vec_id)), vec_id) - 1 p from embeddings), b as (select vec_id, embedding, p // 16 batch from o),
- pr as (select a.batch, a.vec_id l, c.vec_id r, round(list_sum(list_transform(range(1, 5), lambda i: a.embedding[i]::double * c.embedding[i]::double)), 9) / 0.07 z from b a join b c using (batch)),
+ pr as (select a.batch, a.vec_id l, c.vec_id r, round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::double * c.embedding[i]::double)), 9) / 0.07 z from b a join b c using (batch)),
  s1 as (select l v, ln(sum(exp(z))) - max(z) filter (l = r) x from pr group by 1), s2 as (select r v, ln(sum(exp(z))) - max(z) filter (l = r) x from pr group by 1)"""
 
 
@@ -339,7 +339,7 @@ def contrastive_loss(t):
     from ..functions.vectors import dot
     from ..operators.ranking import positions
 
-    e = t.embeddings.select("vec_id", F.slice("embedding", 1, 4).alias("v"), sha256(F.lit(SEED), F.lit("batch"), "vec_id").alias("h"))
+    e = t.embeddings.select("vec_id", F.col("embedding").alias("v"), sha256(F.lit(SEED), F.lit("batch"), "vec_id").alias("h"))
     b = positions(e, [], ["h", "vec_id"], "p").select(F.floor(F.col("p") / 16).alias("batch"), "vec_id", "v")
     rows = b.groupBy("batch").agg(F.collect_list(F.struct(F.col("vec_id").alias("r"), F.col("v").alias("w"))).alias("all"))  # 16 rows
     p = b.join(rows, "batch").select("batch", F.col("vec_id").alias("l"), "v", F.explode("all").alias("o")).select("batch", "l", F.col("o.r").alias("r"), F.round(dot(F.col("v"), F.col("o.w")), 9).alias("score"))

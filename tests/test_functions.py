@@ -69,3 +69,15 @@ def test_sorted_reasons(spark):
     df = spark.createDataFrame([(True, True), (False, True), (False, False), (None, True)], "a boolean, b boolean")
     got = [r[0] for r in df.select(P.reasons((F.col("b"), "B"), (F.col("a"), "A"))).collect()]
     assert got == [["A", "B"], ["B"], [], ["B"]]
+
+
+def test_hash_mod_of_large_numbers(spark):
+    import hashlib
+
+    from heldout.functions.hashing import hash_index, hash_mod, sha256
+
+    n = 3 * 2**40 + 7
+    df = spark.range(50).select("id", sha256("id").alias("h"), hash_mod(sha256("id"), n).alias("m"), hash_index(n, "id").alias("i"))
+    for r in df.collect():
+        number = int(hashlib.sha256(str(r.id).encode()).hexdigest(), 16)
+        assert r.m == number % n and r.i == (number >> 196) % n

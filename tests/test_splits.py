@@ -69,3 +69,24 @@ def test_inner_split(spark, records):
     assert len(counts) == 30 * i["k"] ** 2
     for r in counts:
         assert r["train_records"] + r["validation_records"] + r["held_out_only_records"] == outer[(r["cell_subject"], r["cell_text"])]
+
+
+def test_fill_plan_is_greedy_and_short():
+    """Segments tell what placing the groups one by one gives, and stay few when one group dwarfs the rest."""
+    import random
+
+    from heldout.operators.splits import _fill_plan
+
+    rnd = random.Random(4)
+    for _ in range(60):
+        k = rnd.randint(1, 6)
+        histogram = sorted(((rnd.randint(1, 40), rnd.randint(1, 30)) for _ in range(rnd.randint(1, 6))), reverse=True)
+        totals = [0] * k
+        for (size, count), (same, segments) in zip(histogram, _fill_plan(histogram, k), strict=True):
+            assert size == same
+            for p in range(count):
+                start, cycle = [s for s in segments if s[0] <= p][-1]
+                fold = min(range(k), key=lambda f: (totals[f], f))
+                assert cycle[(p - start) % len(cycle)] == fold
+                totals[fold] += size
+    assert all(len(s) <= 5 for _, s in _fill_plan([(200_000, 1), (1, 900_000)], 5))
