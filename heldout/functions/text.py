@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 @F.pandas_udf(StringType())
@@ -20,6 +20,25 @@ def _compose(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).strip())
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _fold_each(s: pd.Series) -> pd.Series:
+    known: dict[str, str] = {}
+
+    def one(w):
+        if w is None:
+            return None
+        if w not in known:
+            known[w] = unicodedata.normalize("NFKC", w).strip().casefold()
+        return known[w]
+
+    return s.map(lambda words: None if words is None else [one(w) for w in words])
+
+
+def fold_tokens(c: Column) -> Column:
+    """``fold_text`` of every word of an array; each distinct word of a batch is folded once."""
+    return _fold_each(c)
+
+
 def fold_text(c: Column) -> Column:
     """NFKC, strip, casefold. Spark SQL has neither NFKC nor casefold, so Arrow batches are used."""
     return _fold(c)
@@ -70,7 +89,7 @@ def item_reason(raw: Column, is_word: Column | None = None) -> Column:
 
     Order: placeholder, the caller's word predicate, no letter at all.
     """
-    folded = F.lower(F.trim(raw))
+    folded = fold_text(raw)
     return (
         F.when(folded.isNull() | folded.isin(PLACEHOLDERS), "placeholder_or_empty")
         .when(~is_word if is_word is not None else F.lit(False), "official_is_real_word_false")

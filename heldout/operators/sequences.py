@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fold_tokens
 from .durable import durable
 from .ranking import positions, preceding, running_sum
 
@@ -83,20 +84,22 @@ def locate_slices(path: DataFrame, samples: DataFrame, seq: str, sample: str, at
                       F.when(F.col("matches").isNull(), "ABSENT").when(F.col("matches") > 1, "AMBIGUOUS").otherwise("UNIQUE").alias("status"))
 
 
-def history_context(df: DataFrame, group: list[str], order: str, words: str, sentences: int = 2, limit: int = 64, normal=lambda c: F.lower(F.trim(c))) -> DataFrame:
+def history_context(df: DataFrame, group: list[str], order: str, words: str, sentences: int = 2, limit: int = 64, normal=fold_tokens) -> DataFrame:
     """Words of the preceding sentences, nearest ``limit`` kept, then the target's own words removed.
 
+    Words are compared after ``normal``: by default NFKC, strip and casefold, as the audit does.
+
     Adds ``history`` (words) and ``source_count`` (sentences used).
     """
     p = preceding(df, group, [order], words, sentences, "_prev")
     flat = F.flatten("_prev")
     near = F.when(F.size(flat) > limit, F.slice(flat, F.size(flat) - limit + 1, F.lit(limit))).otherwise(flat)
-    own = F.transform(words, normal)
-    return p.withColumn("source_count", F.size("_prev").cast("long")).withColumn(
-        "history", F.filter(near, lambda w: ~F.array_contains(own, normal(w)))).drop("_prev")
+    p = p.withColumn("_near", near).withColumns({"_own": normal(F.col(words)), "_fold": normal(F.col("_near")), "source_count": F.size("_prev").cast("long")})
+    other = F.filter(F.arrays_zip("_near", "_fold"), lambda z: ~F.coalesce(F.array_contains("_own", z["_fold"]), F.lit(False)))
+    return p.withColumn("history", F.transform(other, lambda z: z["_near"])).drop("_prev", "_near", "_own", "_fold")
 
 
-def audit_history(df: DataFrame, words: str, history: str, sources, target, version, payload_keys, limit: int = 64, normal=lambda c: F.lower(F.trim(c))) -> DataFrame:
+def audit_history(df: DataFrame, words: str, history: str, sources, target, version, payload_keys, limit: int = 64, normal=fold_tokens) -> DataFrame:
     """One boolean per boundary rule, and whether all hold."""
     # Payload names that would leak.
     hidden = {
@@ -108,7 +111,7 @@ def audit_history(df: DataFrame, words: str, history: str, sources, target, vers
     }
     keys = F.transform(payload_keys, lambda k: F.lower(k))
     rules = {
-        "target_tokens_absent": ~F.coalesce(F.arrays_overlap(F.transform(history, normal), F.transform(words, normal)), F.lit(False)),
+        "target_tokens_absent": ~F.coalesce(F.arrays_overlap(normal(history), normal(words)), F.lit(False)),
         "future_sentences_absent": ~F.exists(sources, lambda i: i >= target),
         "empty_has_no_tokens": (version != "H_empty") | (F.size(history) == 0),
         "token_budget": F.size(history) <= limit,

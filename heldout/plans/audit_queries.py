@@ -230,7 +230,7 @@ def contexts(t):
 
 
 CONTEXT = r"""c as (select conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') words from conversations), h as (select conv_id, turn, words, coalesce(lag(words, 2) over w, []) || coalesce(lag(words) over w, []) flat, (lag(words, 2) over w is not null)::int + (lag(words) over w is not null)::int src from c window w as (partition by conv_id order by turn)),
- x as (select conv_id, turn, words, src, list_filter(flat[-64:], lambda z: not list_contains(list_transform(words, lambda y: lower(y)), lower(z))) history from h)"""
+ x as (select conv_id, turn, words, src, list_filter(flat[-64:], lambda z: not list_contains(list_transform(words, lambda y: replace(lower(y), 'ß', 'ss')), replace(lower(z), 'ß', 'ss'))) history from h)"""
 
 
 @query("history_contexts", "with " + CONTEXT + " select conv_id, turn, src::bigint source_count, len(history)::bigint tokens, sha256(array_to_string(history, ' ')) history_hash from x")
@@ -354,7 +354,8 @@ def file_manifest(t):
     return scans.file_manifest(t.spark, t.folder, "*.parquet")
 
 
-@query("manifest_reconciliation", """select unnest(['lineitem.parquet', 'orders.parquet', 'absent.parquet']) "name", unnest(['VERIFIED', 'SIZE_MISMATCH', 'MISSING']) status""")
+@query("manifest_reconciliation", """select unnest(['lineitem.parquet', 'orders.parquet', 'absent.parquet']) "name", unnest(['VERIFIED', 'SIZE_MISMATCH', 'MISSING']) status
+ union all select x || '.parquet', 'NOT_IN_MANIFEST' from (select unnest(['region', 'nation', 'customer', 'supplier', 'part', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) x)""")
 def manifest_reconciliation(t):
     m = durable(scans.file_manifest(t.spark, t.folder, "*.parquet"))
     gone = m.filter("name = 'lineitem.parquet'").withColumn("name", F.lit("absent.parquet"))
@@ -407,9 +408,18 @@ def run_ledger_errors(t):
     return au.validate_ledger_by_folds(ledger, a, cell, "record_id", ["subject_fold", "text_fold"])
 
 
-@query("ledger_accounting", "with recursive " + ROLES + """ select 30::bigint runs, 0::bigint runs_without_fit, 0::bigint early_reads, 0::bigint calibration_rows, true accounting_exact""")
+@query("ledger_accounting", "with recursive " + ROLES + """, c as (select cell_subject, cell_text, count(*) filter (r0 = 'train') train, count(*) filter (r0 = 'test') test from roles group by 1, 2)
+ select 'clean' ledger, 30::bigint runs, 0::bigint runs_without_fit, 0::bigint early_reads, 0::bigint calibration_rows, true accounting_exact
+ union all select 'spoiled', 30, 1, (select test from c where cell_subject = 1 and cell_text = 0)::bigint, (select train from c where cell_subject = 2 and cell_text = 0)::bigint, false""")
 def ledger_accounting(t):
-    return au.ledger_accounting(au.build_ledger(roles(t), ["cell_subject", "cell_text"], "record_id", "run"), KS * KT)
+    """One ledger as written; in the other one run loses its fits, one reads its test early and one calibrates on what it fits."""
+    clean = durable(au.build_ledger(roles(t), ["cell_subject", "cell_text"], "record_id", "run"))
+    run = lambda s: F.col("run_id") == f"run|{s}|0"
+    fit, read = F.col("kind") == "fit", F.col("kind") == "outer_test_read"
+    spoiled = clean.filter(~(run(0) & fit)).withColumn("stage_type", F.when(run(1) & read, "tuning").otherwise(F.col("stage_type")))
+    spoiled = spoiled.unionByName(clean.filter(run(2) & fit).withColumn("kind", F.lit("calibration")))
+    out = [au.ledger_accounting(x, KS * KT).select(F.lit(n).alias("ledger"), "*") for n, x in (("clean", clean), ("spoiled", spoiled))]
+    return out[0].unionByName(out[1])
 
 
 @query("scope_digests", "with recursive " + FOLDS + ", r as (select distinct text_fold, stimulus_id, sha256(stimulus_id) h from assigned) select text_fold, count(*)::bigint row_count, " + DIGEST + " table_digest from r group by text_fold")
@@ -456,14 +466,21 @@ def primary_records(t):
     return primary(with_day(t))
 
 
-@query("label_invariance", "select true invariant")
+@query("label_invariance", """with k as (select value > 100 w from events where event_type in ('click', 'view', 'purchase'))
+ select 'label_unused' builder, true invariant union all select 'label_used', (select count(*) filter (w) = 0 and count(*) filter (not w) = 0 from k)""")
 def label_invariance(t):
-    return au.label_invariance(primary, with_day(t), "wandering").select("invariant")
+    """The primary table does not depend on the label; a builder that leaves labelled events out does and must be caught."""
+    names = {"label_unused": primary, "label_used": lambda df: primary(df.filter(~F.col("wandering")))}
+    out = [au.label_invariance(build, with_day(t), "wandering").select(F.lit(n).alias("builder"), "invariant") for n, build in names.items()]
+    return out[0].unionByName(out[1])
 
 
-@query("rebuild_agreement", "select true identical")
+@query("rebuild_agreement", """select 'counts' build, true identical union all select 'place_in_partition', (select count(*) from lineitem) <= 1""")
 def rebuild_agreement(t):
-    return au.rebuild_agrees(lambda df: df.groupBy("l_suppkey", "l_partkey").agg(one()), t.lineitem.select("l_orderkey", "l_suppkey", "l_partkey")).select("identical")
+    """Counts of the whole table do not depend on row order; a build that keeps each row's place does and must be caught."""
+    builds = {"counts": lambda df: df.groupBy(*df.columns).agg(one()), "place_in_partition": lambda df: df.withColumn("place", F.monotonically_increasing_id())}
+    out = [au.rebuild_agrees(build, t.lineitem).select(F.lit(n).alias("build"), "identical") for n, build in builds.items()]
+    return out[0].unionByName(out[1])
 
 
 @query("frozen_evidence", """select 'orders.parquet' "name", 'HASH_MISMATCH' status""")

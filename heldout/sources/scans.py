@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,14 +11,21 @@ from pyspark.sql import types as T
 from ..operators.ranking import positions
 
 
+def _below(root: str, path: Column) -> Column:
+    """The part of a file's path below ``root``; files of one name in two folders stay apart."""
+    clean = root.rstrip("/").rsplit(":", 1)[-1].lstrip("/")
+    tail = F.element_at(F.split(path, F.lit("/" + re.escape(clean) + "/"), 2), -1)
+    return F.when(F.contains(path, F.lit("/" + clean + "/")), tail).otherwise(F.element_at(F.split(path, "/"), -1))
+
+
 def read_numbered_rows(spark: SparkSession, path: str, columns: list[str], sep: str = ";") -> DataFrame:
-    """Rows of headerless delimited files with file name and line number; all columns stay strings.
+    """Rows of headerless delimited files with the file's path below ``path`` and line number; all columns stay strings.
 
     Blank lines count in the numbering and are then left out. Lines are ordered
     by their file split and place in it, so a large file is read in parallel.
     """
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"), "value")
+        _below(path, F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"), "value")
     numbered = positions(lines, ["file"], ["_start", "_at"], "_p").filter(F.trim("value") != "")
     schema = ", ".join(f"`{c}` string" for c in columns)
     row = F.from_csv("value", schema, {"sep": sep, "mode": "FAILFAST"})
@@ -42,16 +51,17 @@ def signature_counts(df: DataFrame, *signature: Column) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Name, size and SHA-256 of every file below a folder."""
+    """Path below the folder (``name``), size and SHA-256 of every file there; a file is read as one value, so below 2 GB."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.select(_below(path, F.col("path")).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def reconcile(manifest: DataFrame, listing: DataFrame) -> DataFrame:
-    """Status of each expected file: missing, wrong size, wrong hash or verified."""
+    """Status of each file: missing, wrong size, wrong hash or verified, or not in the manifest."""
     o = listing.select("name", F.col("bytes").alias("_b"), F.col("sha256").alias("_s"))
     status = F.when(F.col("_s").isNull(), "MISSING").when(F.col("_b") != F.col("bytes"), "SIZE_MISMATCH").when(F.col("_s") != F.col("sha256"), "HASH_MISMATCH").otherwise("VERIFIED")
-    return manifest.join(o, "name", "left").select("name", status.alias("status"))
+    known = F.col("bytes").isNotNull() | F.col("sha256").isNotNull()
+    return manifest.join(o, "name", "full").select("name", F.when(known, status).otherwise("NOT_IN_MANIFEST").alias("status"))
 
 
 def forbidden_fields(schema: T.StructType, parts: list[str], path: str = "") -> list[str]:
@@ -75,9 +85,16 @@ def forbidden_fields(schema: T.StructType, parts: list[str], path: str = "") ->
 
 
 def forbidden_payload_keys(df: DataFrame, payload: str, parts: list[str]) -> DataFrame:
-    """Rows per payload key that holds a forbidden part; the payload is a JSON object."""
-    k = df.select(F.explode(F.json_object_keys(payload)).alias("payload_key")).groupBy("payload_key").agg(F.count(F.lit(1)).alias("n"))
-    return k.filter(F.lower("payload_key").rlike("|".join(parts)))
+    """Rows per payload key, at any depth, that holds a forbidden part; the payload is JSON.
+
+    In JSON only a key is a string with a colon after it.
+    """
+    keys = F.regexp_extract_all(payload, F.lit(r'"((?:[^"\\\\]|\\\\.)*)"\s*:'), 1)
+    k = df.select(F.explode(F.array_distinct(keys)).alias("payload_key")).groupBy("payload_key").agg(F.count(F.lit(1)).alias("n"))
+    held = F.lit(False)
+    for part in parts:
+        held = held | F.contains(F.lower("payload_key"), F.lit(part.lower()))
+    return k.filter(held)
 
 
 def require_fields(df: DataFrame, names: list[str]) -> None:

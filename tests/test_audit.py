@@ -33,12 +33,16 @@ def errors(spark, roles, extra):
     (("model_fit", "fit", "r7"), "FIT_OUTSIDE_TRAIN"), (("tuning", "selection", "r0"), "SELECTION_OUTSIDE_INNER_VALIDATION"),
     (("model_fit", "fit", "r5"), "OUTER_TEST_IN_FIT_OR_SELECTION"), (("tuning", "calibration", "r5"), "TEST_TIME_CALIBRATION"),
     (("final_scoring", "fit", "r0"), "FINAL_SCORING_FITS_OR_SELECTS"), (("final_scoring", "outer_test_read", "r0"), "FINAL_SCORING_READS_NON_TEST"),
-    (("tuning", "outer_test_read", "r5"), "OUTER_TEST_READ_EARLY"), (("guess", "fit", "r0"), "UNKNOWN_STAGE_TYPE"), (("model_fit", "fit", "r3"), "INNER_VALIDATION_ENTERS_FIT"),
+    (("tuning", "outer_test_read", "r5"), "OUTER_TEST_READ_EARLY"), (("guess", "fit", "r0"), "UNKNOWN_STAGE_TYPE"), (("tuning", "fit", "r3"), "INNER_VALIDATION_ENTERS_FIT"),
 ])
 def test_ledger_mutations(spark, roles, extra, error):
     assert error in errors(spark, roles, extra)
 
 
+def test_fit_in_another_stage_is_no_mixing(spark, roles):
+    assert "INNER_VALIDATION_ENTERS_FIT" not in errors(spark, roles, ("model_fit", "fit", "r3"))
+
+
 def test_clean_ledger_and_gate(spark, roles):
     clean = au.build_ledger(roles, CELL, "record_id", "run")
     assert au.validate_ledger(clean, roles, CELL).isEmpty()

@@ -81,3 +81,40 @@ def test_hash_mod_of_large_numbers(spark):
     for r in df.collect():
         number = int(hashlib.sha256(str(r.id).encode()).hexdigest(), 16)
         assert r.m == number % n and r.i == (number >> 196) % n
+
+
+def test_folded_words_leave_no_target_token(spark):
+    from heldout.operators import sequences as Q
+
+    rows = [("c", 0, ["STRASSE", "ｗｏｒｄ", "stays"]), ("c", 1, ["Straße", "word"])]
+    df = spark.createDataFrame(rows, "conv string, turn long, words array<string>")
+    got = {r.turn: r for r in Q.history_context(df, ["conv"], "turn", "words").collect()}
+    assert got[1].history == ["stays"] and got[0].history == []
+    leaky = spark.createDataFrame([(["Straße"], ["STRASSE"]), (["a"], ["b"])], "words array<string>, history array<string>")
+    a = Q.audit_history(leaky, F.col("words"), F.col("history"), F.array(F.lit(0)), F.lit(1), F.lit("H_full"), F.array(F.lit("tokens")))
+    assert [r.target_tokens_absent for r in a.collect()] == [False, True]
+
+
+def test_full_width_placeholder(spark):
+    df = spark.createDataFrame([("ＮＡ",), ("word",)], "w string")
+    assert [r[0] for r in df.select(X.item_reason(F.col("w"))).collect()] == ["placeholder_or_empty", None]
+
+
+def test_forbidden_keys_at_any_depth(spark):
+    from heldout.sources import scans
+
+    df = spark.createDataFrame([('{"a": {"eeg.x": 1, "b": "outcome"}, "c": [{"Outcome": 2}], "d\\"q": ":"}',)], "p string")
+    assert {r.payload_key for r in scans.forbidden_payload_keys(df, "p", ["eeg.", "outcome"]).collect()} == {"eeg.x", "Outcome"}
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    from heldout.sources import scans
+
+    for d in ("a", "b"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "f.csv").write_text("1;2\n3;4\n")
+    rows = scans.read_numbered_rows(spark, str(tmp_path / "*"), ["p", "q"])
+    assert rows.count() == 4
+    m = scans.file_manifest(spark, str(tmp_path))
+    assert {r["name"] for r in m.collect()} == {"a/f.csv", "b/f.csv"}
+    assert {r["status"] for r in scans.reconcile(m.filter("name = 'a/f.csv'"), m).collect()} == {"VERIFIED", "NOT_IN_MANIFEST"}

@@ -27,8 +27,10 @@ def test_fill_plan_equals_greedy():
         sizes = sorted((rng.choice([1, 1, 1, 2, 3, 5, 9, 20]) for _ in range(rng.randint(1, 40))), reverse=True)
         hist = sorted({s: sizes.count(s) for s in sizes}.items(), reverse=True)
         got = []
-        for (size, head, cycle), (_, count) in zip(_fill_plan(hist, k), hist):
-            got += [head[i] if i < len(head) else cycle[(i - len(head)) % k] for i in range(count)]
+        for (size, segments), (_, count) in zip(_fill_plan(hist, k), hist):
+            for i in range(count):
+                start, cycle = [s for s in segments if s[0] <= i][-1]
+                got.append(cycle[(i - start) % len(cycle)])
         assert got == greedy(sizes, k)
 
 
@@ -71,22 +73,6 @@ def test_inner_split(spark, records):
         assert r["train_records"] + r["validation_records"] + r["held_out_only_records"] == outer[(r["cell_subject"], r["cell_text"])]
 
 
-def test_fill_plan_is_greedy_and_short():
-    """Segments tell what placing the groups one by one gives, and stay few when one group dwarfs the rest."""
-    import random
-
-    from heldout.operators.splits import _fill_plan
-
-    rnd = random.Random(4)
-    for _ in range(60):
-        k = rnd.randint(1, 6)
-        histogram = sorted(((rnd.randint(1, 40), rnd.randint(1, 30)) for _ in range(rnd.randint(1, 6))), reverse=True)
-        totals = [0] * k
-        for (size, count), (same, segments) in zip(histogram, _fill_plan(histogram, k), strict=True):
-            assert size == same
-            for p in range(count):
-                start, cycle = [s for s in segments if s[0] <= p][-1]
-                fold = min(range(k), key=lambda f: (totals[f], f))
-                assert cycle[(p - start) % len(cycle)] == fold
-                totals[fold] += size
-    assert all(len(s) <= 5 for _, s in _fill_plan([(200_000, 1), (1, 900_000)], 5))
+def test_fill_plan_stays_short():
+    """One group that dwarfs the rest takes a few segments, not a place for every small group."""
+    assert all(len(segments) <= 5 for _, segments in _fill_plan([(200_000, 1), (1, 900_000)], 5))
