@@ -43,6 +43,31 @@ def role_violations(roles: DataFrame, records: DataFrame, cell: list[str], recor
     return out.unionByName(records_rules).select(*cell, "rule", "violations")
 
 
+def fold_violations(assigned: DataFrame, records: DataFrame, record: str, members: dict[str, str], ks: int, kt: int, sf: str = "subject_fold", tf: str = "text_fold") -> DataFrame:
+    """``role_violations`` of all ks x kt cells of a two-way split, told from the two fold numbers.
+
+    A member crosses cell (s, t) if one of its records has exactly these folds
+    and another one has neither. So the distinct fold pairs of a member, at
+    most ks x kt, tell its cells: one pre-aggregated shuffle of the records for
+    each kind of member, and no record is copied per cell.
+    """
+    pair = F.struct(F.col(sf).alias("s"), F.col(tf).alias("t"))
+    out = None
+    for rule, column in members.items():
+        pairs = assigned.groupBy(column).agg(F.collect_set(pair).alias("_p"))
+        bad = F.filter("_p", lambda p: F.exists("_p", lambda q: (q["s"] != p["s"]) & (q["t"] != p["t"])))
+        cells = pairs.select(F.explode(bad).alias("_c")).groupBy(F.col("_c.s").alias("cell_subject"), F.col("_c.t").alias("cell_text"))
+        v = cells.agg(n_rows().alias("violations")).select("cell_subject", "cell_text", F.lit(rule).alias("rule"), "violations")
+        out = v if out is None else out.unionByName(v)
+    per = assigned.groupBy(record).agg(n_rows().alias("_n")).agg(n_rows().alias("_have"), count_when(F.col("_n") > 1).alias("_twice"))
+    found = per.join(F.broadcast(records.agg(n_rows().alias("_all")))).select(F.explode(F.array(  # one row each
+        F.struct(F.lit("record_in_two_roles").alias("rule"), F.col("_twice").alias("violations")),
+        F.struct(F.lit("records_not_covered").alias("rule"), F.abs(F.col("_all") - F.col("_have")).alias("violations")))).alias("_r")).filter("_r.violations > 0")
+    cell = [F.explode(F.sequence(F.lit(0), F.lit(k - 1))) for k in (ks, kt)]
+    everywhere = found.withColumn("cell_subject", cell[0]).withColumn("cell_text", cell[1])  # at most two rows a cell
+    return out.unionByName(everywhere.select("cell_subject", "cell_text", "_r.rule", "_r.violations"))
+
+
 def build_ledger(roles: DataFrame, cell: list[str], record: str, run: str) -> DataFrame:
     """Ledger of one fit per cell: train is fitted, validation is selected on, test is read in final scoring."""
     stage = F.when(F.col("role") == "train", "model_fit").when(F.col("role") == "validation", "tuning").when(F.col("role") == "test", "final_scoring")

@@ -390,13 +390,18 @@ ROLES = FOLDS + """, roles0 as (select a.*, cell_subject, cell_text, case when s
  roles as (select *, case when cell_subject = 0 and cell_text = 0 and r0 = 'test' and subject_id = (select s from vic) and trials > 1 then 'train' else r0 end "role" from roles0)"""
 
 
-@query("isolation_violations", "with recursive " + ROLES + """, sub as (select cell_subject, cell_text, subject_id m from roles group by 1, 2, 3 having bool_or(role = 'train') and bool_or(role = 'test')), sti as (select cell_subject, cell_text, stimulus_id m from roles group by 1, 2, 3 having bool_or(role = 'train') and bool_or(role = 'test')),
+@query("isolation_violations", "with recursive " + FOLDS + """, vic as (select min(subject_id) s from assigned where subject_fold = 0), moved as (select a.* exclude (subject_fold), case when subject_id = (select s from vic) and trials > 1 then 1 else subject_fold end subject_fold from assigned a),
+ roles as (select m.*, cell_subject, cell_text, case when subject_fold = cell_subject and text_fold = cell_text then 'test' when subject_fold <> cell_subject and text_fold <> cell_text then 'train' else 'held_out_only' end "role"
+   from moved m, (select s.range::integer cell_subject, t.range::integer cell_text from range(6) s, range(5) t)),
+ sub as (select cell_subject, cell_text, subject_id m from roles group by 1, 2, 3 having bool_or(role = 'train') and bool_or(role = 'test')), sti as (select cell_subject, cell_text, stimulus_id m from roles group by 1, 2, 3 having bool_or(role = 'train') and bool_or(role = 'test')),
  gr as (select cell_subject, cell_text, group_key m from roles group by 1, 2, 3 having bool_or(role = 'train') and bool_or(role = 'test'))
  select cell_subject, cell_text, 'subject_isolation' "rule", count(*)::bigint violations from sub group by 1, 2 union all select cell_subject, cell_text, 'stimulus_isolation', count(*) from sti group by 1, 2 union all select cell_subject, cell_text, 'group_isolation', count(*) from gr group by 1, 2""")
 def isolation_violations(t):
-    r = roles(t)
-    return au.role_violations(spoiled(r), r.filter("cell_subject = 0 and cell_text = 0").select("record_id"), ["cell_subject", "cell_text"], "record_id",
-                              {"subject_isolation": "subject_id", "stimulus_isolation": "stimulus_id", "group_isolation": "group_key"})
+    """The repeated records of the smallest entity of fold 0 are moved to fold 1 and must be found in both."""
+    a = durable(split(t)["assigned"].select("record_id", "subject_id", "stimulus_id", "group_key", "trials", "subject_fold", "text_fold"))
+    first = a.filter("subject_fold = 0").agg(F.min("subject_id").alias("_s"))
+    moved = a.join(F.broadcast(first)).withColumn("subject_fold", F.when((F.col("subject_id") == F.col("_s")) & (F.col("trials") > 1), 1).otherwise(F.col("subject_fold"))).drop("_s")  # one row
+    return au.fold_violations(moved, a, "record_id", {"subject_isolation": "subject_id", "stimulus_isolation": "stimulus_id", "group_isolation": "group_key"}, KS, KT)
 
 
 @query("run_ledger_errors", "with recursive " + ROLES + """ select 'run|0|0' run_id, 'model_fit' stage_type, e error, count(*)::bigint records from roles, (select unnest(['FIT_OUTSIDE_TRAIN', 'OUTER_TEST_IN_FIT_OR_SELECTION']) e) where cell_subject = 0 and cell_text = 0 and r0 = 'test' and role = 'train' group by all""")

@@ -155,3 +155,17 @@ def test_label_and_rebuild(spark):
     assert au.label_invariance(lambda d: d.select("id"), df, "flag").first()["invariant"]
     assert not au.label_invariance(lambda d: d.filter("flag"), df, "flag").first()["invariant"]
     assert au.rebuild_agrees(lambda d: d.groupBy("flag").count(), df).first()["identical"]
+
+
+def test_fold_violations_equal_those_of_the_roles(spark):
+    import random
+
+    from heldout.operators.splits import cell_roles
+
+    rnd = random.Random(2)
+    rows = [(f"r{i % 190}", f"s{rnd.randint(0, 9)}", f"m{rnd.randint(0, 30)}", rnd.randint(0, 3), rnd.randint(0, 2)) for i in range(200)]
+    a = spark.createDataFrame(rows, "record_id string, subject_id string, stimulus_id string, subject_fold int, text_fold int")
+    records = spark.createDataFrame([(f"r{i}",) for i in range(195)], "record_id string")
+    members, cell = {"subject": "subject_id", "stimulus": "stimulus_id"}, ["cell_subject", "cell_text"]
+    key = lambda df: sorted((r.cell_subject, r.cell_text, r.rule, r.violations) for r in df.collect())
+    assert key(au.fold_violations(a, records, "record_id", members, 4, 3)) == key(au.role_violations(cell_roles(a, 4, 3), records, cell, "record_id", members))
