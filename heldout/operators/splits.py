@@ -116,26 +116,34 @@ def material_folds(records: DataFrame, k: int, seed: int, dataset: str, task: st
     return balanced_group_folds(sizes, "group_key", "size", "group_hash", k, out="text_fold")
 
 
-def joint_split(records: DataFrame, *, seed: int, dataset: str, task: str, ks: int = 6, kt: int = 5) -> dict[str, DataFrame]:
-    """Ledger, folds and the eligible records with both fold numbers.
+class Parts(dict):
+    """Named tables that are made, with all they write, when they are first asked for."""
 
-    Roles are a predicate on the two numbers, so no cell x record table is needed.
+    def __init__(self, **makers):
+        super().__init__()
+        self._makers = makers
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self._makers[name]()
+        return self[name]
+
+
+def joint_split(records: DataFrame, *, seed: int, dataset: str, task: str, ks: int = 6, kt: int = 5) -> Parts:
+    """Ledger (``excluded``), folds (``subjects``, ``groups``) and the ``eligible`` records, ``assigned`` with both fold numbers.
+
+    Roles are a predicate on the two numbers, so no cell x record table is
+    needed. Each part is evaluated when asked for; the ledger needs no folds.
     """
-    # both are read by several plans below; writing them spares as many evaluations of the source
-    marked = durable(exclusion_reasons(durable(records)))
-    eligible = marked.filter(F.size("reasons") == 0).drop("reasons")
-    subjects = entity_folds(eligible, ks)
-    groups = material_folds(eligible, kt, seed, dataset, task)
-    assigned = eligible.join(subjects.select("subject_id", "subject_fold"), "subject_id").join(
-        groups.select("group_key", "text_fold"), "group_key"
+    parts = Parts(
+        # read by all other parts; writing it spares as many evaluations of the source
+        marked=lambda: durable(exclusion_reasons(records)),
+        excluded=lambda: parts["marked"].filter(F.size("reasons") > 0),
+        eligible=lambda: parts["marked"].filter(F.size("reasons") == 0).drop("reasons"),
+        subjects=lambda: durable(entity_folds(parts["eligible"], ks)),
+        groups=lambda: durable(material_folds(parts["eligible"], kt, seed, dataset, task)),
+        assigned=lambda: parts["eligible"].join(parts["subjects"].select("subject_id", "subject_fold"), "subject_id").join(parts["groups"].select("group_key", "text_fold"), "group_key"),
     )
-    return {
-        "excluded": marked.filter(F.size("reasons") > 0),
-        "eligible": eligible,
-        "subjects": subjects,
-        "groups": groups,
-        "assigned": assigned,
-    }
+    return parts
 
 
 def cell_roles(df: DataFrame, ks: int, kt: int, sf="subject_fold", tf="text_fold", cs="cell_subject", ct="cell_text", inside="test") -> DataFrame:
