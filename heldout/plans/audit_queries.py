@@ -413,6 +413,66 @@ def run_ledger_errors(t):
     return au.validate_ledger_by_folds(ledger, a, cell, "record_id", ["subject_fold", "text_fold"])
 
 
+HASHES = {"protocol": "b2", "split": "a1"}
+#: Run, stages as (type, outer cell, inner cell, what each kind lists), and what else is spoiled.
+LEDGER_CASES = [
+    ("sound", [("model_fit", "0_0", "1_1", {"fit": "inner_train", "selection": "inner_validation"}), ("final_scoring", "0_0", None, {"outer_test_read": "test"})], {}),
+    ("test_in_fit", [("probe_fit", "0_0", None, {"fit": "test"})], {}),
+    ("mixing", [("tuning", "0_0", "1_1", {"fit": "inner_validation", "selection": "inner_validation"})], {}),
+    ("selection_outside", [("threshold", "0_0", "1_1", {"selection": "inner_train"})], {}),
+    ("early", [("tuning", "0_0", None, {"outer_test_read": "test"})], {}),
+    ("calibrated", [("final_scoring", "0_0", None, {"calibration": "test"})], {}),
+    ("scoring_fits", [("final_scoring", "0_0", None, {"fit": "train", "outer_test_read": "train"})], {}),
+    ("repeated", [("sham_fit", "0_0", None, {"fit": "twice"})], {}),
+    ("unknown_cell", [("model_fit", "9_9", None, {"fit": "test"})], {}),
+    ("wrong_parent", [("model_fit", "0_0", "2_2", {"fit": "train"})], {}),
+    ("stage_type", [("guess", "0_0", None, {"fit": "train"})], {}),
+    ("stage_hashes", [("model_fit", "0_0", None, {})], {"stage_inputs": {"split": "a1"}}),
+    ("no_stages", [], {}), ("run_hashes", [("model_fit", "0_0", None, {})], {"inputs": None}), ("version", [("model_fit", "0_0", None, {})], {"version": 2}),
+]
+
+
+@query("run_ledger_rules", "with recursive " + FOLDS + """, n as (select count(*) filter (subject_fold = 0 and text_fold = 0) test, count(*) filter (subject_fold <> 0 and text_fold <> 0) train,
+ count(*) filter (subject_fold = 1 and text_fold = 1) val, count(*) filter (subject_fold not in (0, 1) and text_fold not in (0, 1)) itrain from assigned)
+ select run_id, stage::bigint stage, error, records::bigint records from (select unnest([
+  {'run_id': 'test_in_fit', 'stage': 0, 'error': 'FIT_OUTSIDE_TRAIN', 'records': test}, {'run_id': 'test_in_fit', 'stage': 0, 'error': 'OUTER_TEST_IN_FIT_OR_SELECTION', 'records': test},
+  {'run_id': 'mixing', 'stage': 0, 'error': 'FIT_OUTSIDE_TRAIN', 'records': val}, {'run_id': 'mixing', 'stage': 0, 'error': 'INNER_VALIDATION_ENTERS_FIT', 'records': val},
+  {'run_id': 'selection_outside', 'stage': 0, 'error': 'SELECTION_OUTSIDE_INNER_VALIDATION', 'records': itrain}, {'run_id': 'early', 'stage': 0, 'error': 'OUTER_TEST_READ_EARLY', 'records': test},
+  {'run_id': 'calibrated', 'stage': 0, 'error': 'TEST_TIME_CALIBRATION', 'records': test}, {'run_id': 'scoring_fits', 'stage': 0, 'error': 'FINAL_SCORING_FITS_OR_SELECTS', 'records': train},
+  {'run_id': 'scoring_fits', 'stage': 0, 'error': 'FINAL_SCORING_READS_NON_TEST', 'records': train}, {'run_id': 'repeated', 'stage': 0, 'error': 'REPEATED_ID', 'records': train},
+  {'run_id': 'unknown_cell', 'stage': 0, 'error': 'UNKNOWN_OUTER_CELL', 'records': 1}, {'run_id': 'wrong_parent', 'stage': 0, 'error': 'UNKNOWN_OR_WRONG_PARENT_INNER_CELL', 'records': 1},
+  {'run_id': 'stage_type', 'stage': 0, 'error': 'UNKNOWN_STAGE_TYPE', 'records': 1}, {'run_id': 'stage_hashes', 'stage': 0, 'error': 'STAGE_INPUT_HASHES_DIFFER', 'records': 1},
+  {'run_id': 'no_stages', 'stage': null, 'error': 'NO_STAGES', 'records': 1}, {'run_id': 'run_hashes', 'stage': null, 'error': 'RUN_INPUT_HASHES_MISSING', 'records': 1}, {'run_id': 'version', 'stage': null, 'error': 'SCHEMA_OR_DATASET_MISMATCH', 'records': 1}], recursive := true) from n) where records > 0""")
+def run_ledger_rules(t):
+    """One run for every rule, on the records of cell (0, 0); the sound run must not appear."""
+    from ..operators.run_ledger import validate_run_ledger
+
+    a = durable(split(t)["assigned"].select("record_id", "subject_fold", "text_fold"))
+    sf, tf = F.col("subject_fold"), F.col("text_fold")
+    is_in = lambda s, u: (sf == s) & (tf == u)
+    outer = F.when(is_in(0, 0), "test").when((sf != 0) & (tf != 0), "train")
+    inner = F.when(is_in(1, 1), "validation").when(~sf.isin(0, 1) & ~tf.isin(0, 1), "train")
+    cell = F.lit("0_0").alias("outer_cell")
+    outer_roles = a.select(cell, "record_id", outer.alias("role")).filter("role is not null")
+    inner_roles = a.select(cell, F.lit("1_1").alias("inner_cell"), "record_id", inner.alias("role")).filter("role is not null")
+    lists = {"test": (outer == "test", 1), "train": (outer == "train", 1), "inner_train": (inner == "train", 1), "inner_validation": (inner == "validation", 1), "twice": (outer == "train", 2)}
+    runs, stages, ids = [], [], None
+    for run, steps, spoiled in LEDGER_CASES:
+        runs.append((run, spoiled.get("version", 1), "tpch", spoiled.get("inputs", HASHES)))
+        for k, (kind, cell_, parent, listed) in enumerate(steps):
+            stages.append((run, k, kind, cell_, parent, spoiled.get("stage_inputs", HASHES)))
+            for what, name in listed.items():
+                keep, times = lists[name]
+                row = a.filter(keep).select(F.lit(run).alias("run_id"), F.lit(k).cast("long").alias("stage"), F.lit(what).alias("kind"), "record_id")
+                for _ in range(times):
+                    ids = row if ids is None else ids.unionByName(row)
+    spark = t.spark
+    return validate_run_ledger(
+        spark.createDataFrame(runs, "run_id string, schema_version int, dataset string, inputs map<string,string>"),
+        spark.createDataFrame(stages, "run_id string, stage long, stage_type string, outer_cell string, inner_cell string, inputs map<string,string>"),
+        ids, outer_roles, inner_roles, HASHES, 1, "tpch")
+
+
 @query("ledger_accounting", "with recursive " + ROLES + """, c as (select cell_subject, cell_text, count(*) filter (r0 = 'train') train, count(*) filter (r0 = 'test') test from roles group by 1, 2)
  select 'clean' ledger, 30::bigint runs, 0::bigint runs_without_fit, 0::bigint early_reads, 0::bigint calibration_rows, true accounting_exact
  union all select 'spoiled', 30, 1, (select test from c where cell_subject = 1 and cell_text = 0)::bigint, (select train from c where cell_subject = 2 and cell_text = 0)::bigint, false""")
