@@ -39,12 +39,6 @@ def similarity_legal(cosine: Column, threshold: float) -> Column:
     return cosine <= F.lit(threshold)
 
 
-def path_part(c: Column, pattern: str, group: int) -> Column:
-    """A capture of a pattern that must match the whole path; NULL otherwise."""
-    full = f"^(?:{pattern})$"
-    return F.when(c.rlike(full), F.regexp_extract(c, full, group))
-
-
 def reasons(*rules) -> Column:
     """Sorted array of the names of the rules that hold; each rule is (condition, name).
 

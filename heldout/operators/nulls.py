@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sha256
-from ..functions.parsing import length_legal  # noqa: F401  (re-exported for callers)
 from ..functions.vectors import inject, permute_blocks
 from .durable import durable
 from .ranking import positions

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .durable import durable, small
 from .ranking import exact_quantiles
 
 
@@ -124,12 +125,16 @@ def coverage_levels(df, levels: list[list[str]], available: Column) -> DataFrame
 def every_pair(left: DataFrame, right: DataFrame, width: int = 1000) -> DataFrame:
     """Each left row with each right row, for results that are a full grid by definition.
 
-    The right side is dealt into numbered buckets of about ``width`` rows and
-    each left row visits every bucket by an equi-join, so the work spreads.
+    The right side is written and packed into numbered rows of about ``width``
+    each. Left rows stay where they are: they visit every packed row by a join
+    that is broadcast while counted rows and bytes allow, and unpack it there.
     """
-    buckets = max(1, -(-right.count() // width))
-    dealt = right.withColumn("_bucket", F.pmod(F.xxhash64(*right.columns), F.lit(buckets)).cast("int"))
-    return left.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).join(dealt, "_bucket").drop("_bucket")
+    fixed = durable(right)
+    buckets = max(1, -(-fixed.count() // width))
+    dealt = fixed.select(F.pmod(F.xxhash64(*right.columns), F.lit(buckets)).cast("int").alias("_bucket"), F.struct(*right.columns).alias("_r"))
+    packed = small(dealt.groupBy("_bucket").agg(F.collect_list("_r").alias("_rows")))  # about width rows
+    visits = left.withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))).join(packed, "_bucket")
+    return visits.select(*[visits[c] for c in left.columns], F.inline("_rows"))
 
 
 def full_grid(left: DataFrame, right: DataFrame, facts: DataFrame, keys: list[str], reason: str = "MISSING") -> DataFrame:

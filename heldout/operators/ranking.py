@@ -29,10 +29,6 @@ def _pieces(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     return durable(cut.withColumn(PIECE, F.spark_partition_id()))
 
 
-def _same(group: list[str], a: DataFrame, b: DataFrame) -> Column:
-    return reduce(lambda x, y: x & y, [a[g].eqNullSafe(b[g]) for g in group], F.lit(True))
-
-
 def _carry(cut: DataFrame, group: list[str], summary: Column, combine) -> DataFrame:
     """Per (group, piece) of groups that cross a cut: ``combine`` over the earlier pieces."""
     seg = cut.groupBy(PIECE, *group).agg(summary.alias("_s"))
@@ -89,7 +85,7 @@ def neighbours(df, group, order, columns: dict[str, str], offset: int) -> DataFr
 
     Works through positions, so a hot group is never one window.
     """
-    ranked = durable(positions(df, group, order, "_p"))
+    ranked = positions(df, group, order, "_p")  # read from its written pieces
     keys = [*group, "_p"]
     shifted = ranked.select(
         *group, (F.col("_p") - offset).alias("_p"), *[F.col(c).alias(o) for c, o in columns.items()]
@@ -102,7 +98,7 @@ def preceding(df, group, order, value: str, width: int, out: str) -> DataFrame:
 
     Each row hands its value to the ``width`` rows after it; a group of any size is spread out.
     """
-    ranked = durable(positions(df, group, order, "_p"))
+    ranked = positions(df, group, order, "_p")  # read from its written pieces
     given = ranked.select(*group, F.explode(F.sequence(F.lit(1), F.lit(width))).alias("_d"), "_p", F.col(value).alias("_x"))
     given = given.select(*group, (F.col("_p") + F.col("_d")).alias("_p"), F.struct((-F.col("_d")).alias("d"), F.col("_x").alias("x")).alias("_s"))
     packed = given.groupBy(*group, "_p").agg(F.array_sort(F.collect_list("_s")).alias("_a"))
