@@ -110,7 +110,7 @@ def band_power(df: DataFrame, signal: str, bands: list[tuple[float, float]], rat
             hann = np.hanning(n)
             if n < 3 or not np.isfinite(x).all():  # two samples or fewer leave the window without weight
                 raise ValueError("every signal needs at least three samples, all of them finite numbers")
-            size = max(512, 1 << (n - 1).bit_length())
+            size = max(512, 1 << (int(n) - 1).bit_length())
             spectrum = np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * hann, n=size, axis=1)
             freq = np.fft.rfftfreq(size, d=1.0 / rate)
             density = np.abs(spectrum) ** 2 / (rate * np.sum(hann**2)) * (freq[1] - freq[0])
