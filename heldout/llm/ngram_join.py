@@ -10,11 +10,13 @@ overlaps of candidate pairs in every fragment separately and sums them.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,11 +93,11 @@ def _cut(docs: DataFrame, bits: int, width: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(width)
+        shingle, count = Shingler(width), itertools.count()
 
         def flush(docs, place, ids, sets) -> pa.RecordBatch:
             sizes = np.array([len(s) for s in sets], np.int32)
-            name = int.from_bytes(hashlib.blake2b(np.array(ids, np.int64).tobytes() + repr(docs).encode(), digest_size=8).digest(), "little", signed=True)
+            name = int.from_bytes(hashlib.blake2b(f"{TaskContext.get().partitionId()} {next(count)} {ids}".encode(), digest_size=8).digest(), "little", signed=True)
             aside = -1 - (name & 0x3FFF)
             tokens = np.concatenate(sets) >> np.uint64(32 - bits)
             at = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
