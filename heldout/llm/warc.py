@@ -313,7 +313,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     files = manifest(spark, folder).select("name")
-    return files.repartition(max(1, min(files.count(), 100_000)), "name").mapInArrow(run, RECORD)
+    return files.repartitionByRange(max(1, min(files.count(), 100_000)), "name").mapInArrow(run, RECORD)
 
 
 SQL = """with hashed as (select page_id, coalesce(html, '') html, sha1(coalesce(html, '')) h from pages),
