@@ -5,8 +5,11 @@ import hashlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from heldout.operators import candidates as cd
 from heldout.operators import similarity as sm
+from heldout.operators.durable import durable
 
 
 @pytest.fixture(scope="module")
@@ -78,5 +81,71 @@ def test_projection_errors(spark):
 def test_closest_pair(spark):
     texts = {1: "the cat sat", 2: "dogs run far", 3: "the cat sits", 4: "zz"}
     w = sm.trigram_weights(spark.createDataFrame(list(texts.items()), "id long, text string"), "id", "text")
-    r = sm.closest_pair(w, "id", "tri", "weight", block=2).first()
+    r = sm.closest_pair(w, "id", "tri", "weight").first()
     assert (r["i"], r["j"]) == (1, 3)
+
+
+def _vectors(spark, m):
+    return spark.createDataFrame([(i, j, float(x)) for i, v in enumerate(m) for j, x in enumerate(v) if x], "id long, f long, w double")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cosine_join_equals_brute_force(spark, monkeypatch, seed):
+    """Small rings, centres and sketches, so that every bound has work to do; ties, copies and lone vectors included."""
+    monkeypatch.setattr(sm, "HEAD", 4)
+    monkeypatch.setattr(sm, "RING", 7)
+    monkeypatch.setattr(sm, "PER_CENTRE", 20)
+    rng = np.random.default_rng(seed)
+    m = np.abs(rng.normal(size=(12, 9)))[rng.integers(0, 12, 150)] * rng.choice([1, 1, 0.2], (150, 9)) + rng.choice([0, 0.3], (150, 9))
+    m[140:] = m[:10]
+    m[0] = [1] + [0] * 8
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    copies = rng.integers(1, 5, 150)
+    items = spark.createDataFrame([(i, int(c)) for i, c in enumerate(copies)], "id long, copies long")
+    got = {r.id: r for r in sm.neighbour_profile(_vectors(spark, m), items, "id", "f", "w", "copies", 0.9).collect()}
+    cos = m @ m.T
+    np.fill_diagonal(cos, -1)
+    near = cos > 0.9
+    assert set(got) == set(np.flatnonzero(near.any(axis=1)))
+    for i, r in got.items():
+        assert (r.similar_items, r.similar_weight) == (near[i].sum(), copies[near[i]].sum()) and abs(r.nearest - cos[i].max()) < 1e-9
+    best = sm.closest_pair(_vectors(spark, m), "id", "f", "w").first()
+    top = np.round(np.where(np.triu(np.ones_like(cos), 1) > 0, cos, -1), 12)
+    assert (best.i, best.j) == min(zip(*np.nonzero(top == top.max())))
+
+
+def test_cosine_join_looks_at_few_pairs(spark):
+    """On the largest given documents less than a tenth of all ordered pairs is multiplied out."""
+    from heldout.operators.features import hashed_bag
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    w = durable(hashed_bag(docs, "doc_id", "text"))
+    n = w.select("doc_id").distinct().count()
+    kernel_pairs = sm.neighbour_profile(w, docs.select("doc_id", F.lit(1).cast("long").alias("copies")), "doc_id", "bucket", "weight", "copies", 0.9, all_rows=True).agg(F.sum("looked")).first()[0]
+    print(f"{kernel_pairs} of {n * (n - 1)} pairs looked at")
+    assert kernel_pairs < n * (n - 1) / 10
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.3])
+def test_clustered_pool_skips_block_pairs(spark, threshold):
+    """Tight clusters: statistics equal brute force, and most block pairs need no product."""
+    rng = np.random.default_rng(7)
+    centres = np.linalg.qr(rng.normal(size=(12, 12)))[0][:6]
+    v = centres[rng.integers(0, 6, 240)] + rng.normal(size=(240, 12)) * 0.02
+    v *= rng.uniform(0.97, 1.0, (240, 1)) / np.linalg.norm(v, axis=1)[:, None]
+    v[5] = v[6]
+    v[7] = 0
+    n = rng.choice([0, 3, 10, 11, 13, 40], 240)
+    df = spark.createDataFrame([("s", i, int(n[i]), v[i].tolist()) for i in range(240)], "s string, id long, n long, v array<double>")
+    cos = v @ v.T
+    legal = (3 * n[:, None] <= 4 * n[None]) & (4 * n[None] <= 5 * n[:, None]) & ~np.eye(240, dtype=bool)
+    got = {r.id: r for r in cd.pool_statistics(df, ["s"], "id", "n", "v", threshold, block=10).collect()}
+    assert set(got) == set(np.flatnonzero(legal.any(axis=1)))
+    for i, r in got.items():
+        c = cos[i][legal[i]]
+        gap = np.abs(c - threshold)
+        assert (r.evaluated, r.above, r.equal) == (legal[i].sum(), (c > threshold).sum(), (c == threshold).sum())
+        assert abs(r.maximum - c.max()) < 1e-12 and abs(r.distance - gap.min()) < 1e-12
+    _, table = cd.pivot_blocks(df, ["s"], "id", "n", "v", block=10)
+    share = {r.decision: r["count"] for r in cd.block_pairs(table, ["s"], threshold).groupBy("decision").count().collect()}
+    assert share["open"] < 0.25 * sum(share.values()) and share["below"] and share["above"], share
