@@ -204,13 +204,27 @@ def fit_two_parameter(df: DataFrame, item: str, q: str, y: str, steps: int = 12,
     return params.select(item, "a", (-F.col("c") / F.col("a")).alias("b"))
 
 
-def role_input(role: str, parts: dict[str, str]):
-    """Concatenated inputs registered for a role; an unknown role is an error."""
-    out = None
+# Fixed value: the reason of a role without registered inputs.
+UNKNOWN_ROLE = "ROLE_NOT_REGISTERED"
+
+
+def role_input(role: str, parts: dict[str, list[str]]):
+    """Concatenated inputs registered for a role; NULL for any other role."""
+    out = F.lit(None)
     for name, columns in parts.items():
-        value = F.concat(*[F.col(c) for c in columns])
-        out = F.when(F.col(role) == name, value) if out is None else out.when(F.col(role) == name, value)
-    return out.otherwise(F.raise_error(F.concat(F.lit("no inputs are registered for the role "), F.coalesce(F.col(role), F.lit("NULL")))))
+        out = F.when(F.col(role) == name, F.concat(*[F.col(c) for c in columns])).otherwise(out)
+    return out
+
+
+def role_reason(role: str, parts: dict[str, list[str]]):
+    """Why a row has no inputs; NULL if its role is registered."""
+    return F.when(F.col(role).isin(list(parts)), None).otherwise(UNKNOWN_ROLE)
+
+
+def require_roles(df: DataFrame, role: str, parts: dict[str, list[str]]) -> DataFrame:
+    """``df`` unchanged; the job fails at the first row whose role is not registered."""
+    broken = F.raise_error(F.concat(F.lit("no inputs are registered for the role "), F.coalesce(F.col(role), F.lit("NULL"))))
+    return df.withColumn(role, F.when(role_reason(role, parts).isNull(), F.col(role)).otherwise(broken.cast(df.schema[role].dataType)))
 
 
 def preflight(common_rows, all_rows, minimum: float = 0.5) -> DataFrame:

@@ -277,13 +277,13 @@ def top1_hit_rate(t):
     return s.groupBy("truth").agg(r6(F.avg(F.when(F.col("best_item") == F.col("truth"), 1.0).otherwise(0.0)), "hit_rate"), F.count(F.lit(1)).alias("n"))
 
 
-@query("role_inputs", """select vec_id, case when label < 4 then 'item' when label < 7 then 'history' when label < 9 then 'both' else 'unknown' end "role", case when label < 4 then 8 when label < 7 then 4 when label < 9 then 12 end::bigint width, case when label < 4 then embedding[5] when label < 9 then embedding[1] end::double first_value from embeddings""")
+@query("role_inputs", """select vec_id, case when label < 4 then 'item' when label < 7 then 'history' when label < 9 then 'both' else 'unknown' end "role", case when label < 4 then 8 when label < 7 then 4 when label < 9 then 12 end::bigint width, case when label < 4 then embedding[5] when label < 9 then embedding[1] end::double first_value, case when label >= 9 then 'ROLE_NOT_REGISTERED' end reason from embeddings""")
 def role_inputs(t):
     lab = F.col("label")
     e = t.embeddings.select("vec_id", F.when(lab < 4, "item").when(lab < 7, "history").when(lab < 9, "both").otherwise("unknown").alias("role"),
                             F.slice("embedding", 1, 4).alias("h"), F.slice("embedding", 5, 8).alias("x"))
-    v = pb.role_input("role", {"item": ["x"], "history": ["h"], "both": ["h", "x"]})
-    return e.withColumn("v", v).select("vec_id", "role", F.when(F.col("v").isNotNull(), F.size("v")).cast("long").alias("width"), F.col("v")[0].cast("double").alias("first_value"))
+    parts = {"item": ["x"], "history": ["h"], "both": ["h", "x"]}
+    return e.withColumn("v", pb.role_input("role", parts)).select("vec_id", "role", pb.role_reason("role", parts).alias("reason"), F.when(F.col("v").isNotNull(), F.size("v")).cast("long").alias("width"), F.col("v")[0].cast("double").alias("first_value"))
 
 
 @query("logistic_item_folds")

@@ -29,3 +29,15 @@ def test_equals_sql(spark, db, name):
     got, want = contract.queries()[name](spark, FOLDER).toPandas(), db.sql(contract.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
+
+
+def test_unknown_roles(spark):
+    from heldout.operators import probes as pb
+
+    df = spark.createDataFrame([("a", [1]), ("b", [2]), (None, [3])], "role string, x array<int>")
+    parts = {"a": ["x"]}
+    got = [tuple(r) for r in df.select("role", pb.role_input("role", parts), pb.role_reason("role", parts)).collect()]
+    assert got == [("a", [1], None), ("b", None, "ROLE_NOT_REGISTERED"), (None, None, "ROLE_NOT_REGISTERED")]
+    assert pb.require_roles(df.filter("role = 'a'"), "role", parts).count() == 1
+    with pytest.raises(Exception, match="no inputs are registered for the role b"):
+        pb.require_roles(df, "role", parts).collect()
