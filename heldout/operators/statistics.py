@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,19 +61,84 @@ def paired_differences(a: DataFrame, b: DataFrame, entity: str, value: str) -> D
         entity, (F.col("_b") - F.col("_a")).alias("difference"))
 
 
-def permutation_null(df: DataFrame, row: str, block: str, truth: str, prediction: str, draws: int, seed) -> DataFrame:
+def _hypergeometric(total: int, marked: int, taken: int, u: np.ndarray) -> np.ndarray:
+    """Marked ones among ``taken`` of ``total``, for each uniform number the least count whose probability sums reach it.
+
+    Counts further than fourteen deviations from the mean have no weight in double precision.
+    """
+    low, high = max(0, taken + marked - total), min(marked, taken)
+    if low == high:
+        return np.full(len(u), low)
+    mean = taken * marked / total
+    reach = 14 * np.sqrt(mean * (1 - marked / total) * (total - taken) / (total - 1)) + 20
+    low, high = max(low, int(mean - reach)), min(high, int(mean + reach) + 1)
+    x = np.arange(low, high, dtype=float)
+    steps = np.r_[0.0, np.cumsum(np.log((marked - x) * (taken - x)) - np.log((x + 1) * (total - marked - taken + x + 1)))]
+    sums = np.cumsum(np.exp(steps - steps.max()))
+    return low + np.minimum(np.searchsorted(sums / sums[-1], u), high - low)
+
+
+def _tables(labels: list[int], predictions: list[int], uniform) -> np.ndarray:
+    """(draw, label, prediction) counts of labels dealt to predictions at random; ``uniform(label, prediction)`` has a number for each draw.
+
+    Each class of predictions takes its labels class by class from what is left.
+    """
+    first = uniform(0, 0)
+    left = np.tile(np.array(labels, np.int64), (len(first), 1))
+    out = np.zeros((len(first), len(labels), len(predictions)), np.int64)
+    for j, slots in enumerate(predictions[:-1]):
+        open_, total = np.full(len(first), slots, np.int64), left.sum(axis=1)
+        for k in range(len(labels) - 1):
+            states, which = np.unique(np.stack([total, left[:, k], open_], axis=1), axis=0, return_inverse=True)
+            u, x = uniform(k, j), np.zeros(len(first), np.int64)
+            for s, (n, marked, taken) in enumerate(states.tolist()):
+                x[which.ravel() == s] = _hypergeometric(n, marked, taken, u[which.ravel() == s])
+            out[:, k, j] = x
+            total, open_ = total - left[:, k], open_ - x
+        out[:, -1, j] = open_
+        left -= out[:, :, j]
+    out[:, :, -1] = left
+    return out
+
+
+def permutation_null(df: DataFrame, row: str, block: str, truth: str, prediction: str, draws: int, seed, chunk: int = 256) -> DataFrame:
     """Balanced recall of fixed predictions under label shuffles inside blocks, one row per draw.
 
-    The class sizes of the unshuffled labels stay the denominators. Labels are
-    dealt by hash rank; a large block is ranked by range, not in one task.
+    The class sizes of the unshuffled labels stay the denominators. Only how
+    often each label meets each prediction matters, so a draw deals each
+    block's label counts to its prediction counts by hypergeometric draws from hashed
+    uniforms: rows are counted once, and a draw costs classes squared. A
+    block's draws go out in chunks. Rows without a label or prediction take part and hit nothing.
     """
-    rows = df.select(row, block, truth, prediction).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    shuffled = positions(
-        rows.select("draw", block, truth, F.col(row).alias("_r")).withColumn("_h", sha256(F.lit(seed), "draw", "_r")),
-        ["draw", block], ["_h", "_r"], "_p").select("draw", block, "_p", F.col(truth).alias("_label"))
-    slots = positions(df.select(row, block, prediction), [block], [row], "_p").select(block, "_p", prediction)
-    hit = shuffled.join(slots, [block, "_p"]).filter(F.col("_label") == F.col(prediction)).groupBy("draw", "_label").agg(F.count(F.lit(1)).alias("_hits"))
-    sizes = df.groupBy(F.col(truth).alias("_label")).agg(F.count(F.lit(1)).alias("_size"))
+    name = lambda c: F.col(c).cast("string")
+    counts = df.groupBy(F.col(block).alias("_b"), name(truth).alias("_t"), name(prediction).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    parts = counts.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(chunk))))
+
+    def deal(c: pd.DataFrame) -> pd.DataFrame:
+        start = int(c["_first"].iloc[0])
+        group = c["_b"].iloc[0]
+        numbers = range(start, min(start + chunk, draws))
+        text = lambda x: None if pd.isna(x) else x
+        sums: list[dict] = [{}, {}]
+        for side, column in zip(sums, ("_t", "_p")):
+            for x, n in zip(c[column], c["_n"]):
+                side[text(x)] = side.get(text(x), 0) + int(n)
+        order = lambda side: sorted(side, key=lambda x: (x is not None, x or ""))
+        labels, given = order(sums[0]), order(sums[1])
+
+        def uniform(k: int, j: int) -> np.ndarray:
+            tail = [str(x) for x in (text(group), labels[k], given[j]) if x is not None]
+            digest = (hashlib.sha256("|".join([str(seed), str(d), *tail]).encode()).hexdigest() for d in numbers)
+            return np.array([int(h[:13], 16) for h in digest]) / float(1 << 52)
+
+        table = _tables([sums[0][x] for x in labels], [sums[1][x] for x in given], uniform)
+        rows = [(d, x, int(n)) for k, x in enumerate(labels) if x is not None and x in sums[1] for d, n in zip(numbers, table[:, k, given.index(x)])]
+        return pd.DataFrame(rows, columns=["draw", "_label", "_hits"])
+
+    # a group has at most classes squared rows
+    dealt = parts.groupBy("_b", "_first").applyInPandas(deal, "draw int, _label string, _hits long")
+    hit = dealt.groupBy("draw", "_label").agg(F.sum("_hits").alias("_hits"))
+    sizes = df.groupBy(name(truth).alias("_label")).agg(F.count(F.lit(1)).alias("_size"))
     classes = sizes.count()
     per = hit.join(sizes, "_label").groupBy("draw").agg((F.sum(F.col("_hits") / F.col("_size")) / classes).alias("recall"))
     every = df.sparkSession.range(draws).select(F.col("id").cast("int").alias("draw"))

@@ -81,9 +81,14 @@ def group_bootstrap_accuracy(t):
     return b.select(r6(F.col("estimate"), "estimate"), "n_entities", r6(F.col("ci_low"), "ci_low"), r6(F.col("ci_high"), "ci_high"))
 
 
-PERM = PREDICTIONS + """, dr as (select unnest(range(100)) d), sh as (select d, source, quality, row_number() over (partition by d, source order by sha256(concat_ws('|', 20260813, d, doc_id)), doc_id) p from preds, dr),
- sl as (select source, prediction, row_number() over (partition by source order by doc_id) p from preds), sz as (select quality, count(*)::double n from preds group by 1),
- h as (select d, quality, count(*) hits from sh join sl using (source, p) where quality = prediction group by 1, 2),
+PERM = PREDICTIONS + """, dr as (select unnest(range(100)) d), bl as (select source, count(*) n, count(*) filter (quality = 0) l0, count(*) filter (quality = 1) l1, count(*) filter (prediction = 0) p0 from preds group by 1),
+ xs as (select *, unnest(range(greatest(0, p0 + l0 - n), least(l0, p0) + 1)) x from bl),
+ pm as (select source, x, exp(lgamma(l0 + 1) - lgamma(x + 1) - lgamma(l0 - x + 1) + lgamma(n - l0 + 1) - lgamma(p0 - x + 1) - lgamma(n - l0 - p0 + x + 1) - lgamma(n + 1) + lgamma(p0 + 1) + lgamma(n - p0 + 1)) p from xs),
+ cd as (select source, x, sum(p) over (partition by source order by x) c from pm),
+ us as (select *, ('0x' || substr(sha256(concat_ws('|', 20260813, d, source, 0, 0)), 1, 13))::bigint / 4503599627370496.0::double u from bl, dr),
+ tb as (select d, us.source, any_value(l1 - p0) rest, coalesce(min(x) filter (c >= u), max(x)) x from us join cd using (source) group by 1, 2),
+ sz as (select quality, count(*)::double n from preds group by 1),
+ h as (select d, 0 quality, sum(x) hits from tb group by 1 union all select d, 1, sum(rest + x) from tb group by 1),
  rc as (select d, sum(hits / n) / (select count(*) from sz) recall from h join sz using (quality) group by 1)"""
 
 

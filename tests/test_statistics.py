@@ -149,3 +149,47 @@ def test_vocabulary_blocks_agree(spark):
     a = pb.score_vocabulary(rows, "r", "q", "t", vocab, "k", "w", block=1000).toPandas().sort_values("r")
     b = pb.score_vocabulary(rows, "r", "q", "t", vocab, "k", "w", block=2).toPandas().sort_values("r")
     assert np.allclose(a["log_probability"], b["log_probability"]) and a["best_item"].tolist() == b["best_item"].tolist()
+
+
+def test_hypergeometric_inverts_exact_sums():
+    from math import comb
+
+    for total, marked, taken in ((10, 4, 5), (30, 30, 7), (25, 0, 3), (40, 13, 29), (7, 3, 7)):
+        low, high = max(0, taken + marked - total), min(marked, taken)
+        sums = np.cumsum([comb(marked, x) * comb(total - marked, taken - x) / comb(total, taken) for x in range(low, high + 1)])
+        u = np.linspace(0.001, 0.999, 301)
+        assert (st._hypergeometric(total, marked, taken, u) == low + np.searchsorted(sums, u)).all()
+    big = st._hypergeometric(10**12, 4 * 10**11, 10**11, np.random.default_rng(1).random(2000))
+    assert abs(big.mean() / 4e10 - 1) < 1e-5 and abs(big.std() / np.sqrt(4e10 * 0.6 * 0.9) - 1) < 0.1
+
+
+def test_dealt_tables_keep_margins_and_match_shuffles():
+    rng = np.random.default_rng(2)
+    labels, given = [5, 20, 11], [9, 0, 17, 10]
+    t = st._tables(labels, given, lambda k, j: np.random.default_rng([k, j, 3]).random(4000))
+    assert (t >= 0).all() and (t.sum(axis=2) == labels).all() and (t.sum(axis=1) == given).all()
+    y, p = np.repeat(range(3), labels), np.repeat(range(4), given)
+    s = np.array([[np.sum((rng.permutation(y) == k) & (p == k)) for k in range(3)] for _ in range(4000)])
+    assert np.allclose(t[:, range(3), range(3)].mean(axis=0), [n * m / 36 for n, m in zip(labels, given)], atol=0.1)
+    recall = lambda h: (h / labels).mean(axis=1)
+    own = recall(t[:, range(3), range(3)])
+    # the same label is drawn on its own here, so only means and spreads of single classes are compared with shuffles
+    assert np.allclose(t[:, range(3), range(3)].std(axis=0), s.std(axis=0), rtol=0.1, atol=0.05) and abs(own.mean() - recall(s).mean()) < 0.01
+
+
+def test_permutation_null_matches_shuffles(spark):
+    """Mean and upper quantile lie within Monte-Carlo error of shuffled rows; order, chunks and partitions do not matter."""
+    rng = np.random.default_rng(4)
+    y, p, b = rng.integers(0, 3, 300), rng.integers(0, 3, 300), np.repeat(["hot", "b", "c"], [200, 60, 40])
+    df = spark.createDataFrame([(i, str(b[i]), int(y[i]), int(p[i])) for i in range(300)], "r int, b string, y int, p int")
+    a = st.permutation_null(df, "r", "b", "y", "p", 600, 1).orderBy("draw").toPandas()["recall"]
+    again = st.permutation_null(df.repartition(5), "r", "b", "y", "p", 600, 1).orderBy("draw").toPandas()["recall"]
+    smaller = st.permutation_null(df, "r", "b", "y", "p", 600, 1, chunk=50).orderBy("draw").toPandas()["recall"]
+    assert np.allclose(a, again) and np.allclose(a, smaller)
+    ref = []
+    for _ in range(600):
+        s = y.copy()
+        for x in ("hot", "b", "c"):
+            s[b == x] = rng.permutation(s[b == x])
+        ref.append(np.mean([np.mean(p[s == k] == k) for k in range(3)]))
+    assert abs(a.mean() - np.mean(ref)) < 0.006 and abs(np.quantile(a, 0.95) - np.quantile(ref, 0.95)) < 0.012
