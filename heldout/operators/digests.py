@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import row_digest
+from ..functions.hashing import row_digest, sha256
+from .durable import durable, small
 
 
 def _word(digest: Column, i: int) -> Column:
@@ -43,6 +44,51 @@ def verify_digests(expected: DataFrame, observed: DataFrame, name: str, value: s
     return e.join(o, name, "full_outer").withColumn("status", status)
 
 
+def _sums(df: DataFrame, group: list[str]) -> DataFrame:
+    """Additive parts of a digest: rows and eight word sums of column ``digest``."""
+    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(_word(F.col("digest"), i)).alias(f"w{i}") for i in range(8)])
+
+
+def digest_tree(df: DataFrame, key: list[str], levels: tuple[int, ...] = (1, 3, 5)) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """(rows with key, ``place`` and ``digest`` over all columns; per level the sums of each prefix of ``place``).
+
+    ``place`` is the hash of the key, so a row keeps its leaf when other
+    columns change. Sums add up, so each level comes from the one below.
+    """
+    rows = durable(df.select(*key, F.substring(sha256(*key), 1, max(levels)).alias("place"), row_digest(df.columns).alias("digest")))
+    tree, below = {}, durable(_sums(rows, ["place"]))
+    for level in sorted(levels, reverse=True):
+        parts = [F.sum(c).alias(c) for c in ("rows", *[f"w{i}" for i in range(8)])]
+        below = tree[level] = durable(below.groupBy(F.substring("place", 1, level).alias("place")).agg(*parts))
+    return rows, tree
+
+
+def _unlike(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """Keys whose sums differ, or that one side lacks."""
+    words = ["rows", *[f"w{i}" for i in range(8)]]
+    left, right = (t.select(*key, F.struct(*words).alias(name)) for t, name in ((a, "_a"), (b, "_b")))
+    return left.join(right, key, "full_outer").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select(*key, F.when(F.col("_b").isNull(), "REMOVED").when(F.col("_a").isNull(), "ADDED").otherwise("CHANGED").alias("change"))
+
+
+def changed_rows(before: tuple[DataFrame, dict[int, DataFrame]], after: tuple[DataFrame, dict[int, DataFrame]], key: list[str]) -> DataFrame:
+    """(key, change) of the rows that two digest trees tell apart: ADDED, REMOVED or CHANGED.
+
+    Levels are compared from the top; below it only children of prefixes that
+    differ are looked at, and rows are read for differing leaves only. Rows that
+    share a key are compared as a multiset. Keys hold no NULL.
+    """
+    (rows_a, tree_a), (rows_b, tree_b) = before, after
+    found, above = None, None
+    for level in sorted(tree_a):
+        a, b = tree_a[level], tree_b[level]
+        if found is not None:
+            up = F.substring("place", 1, above)
+            a, b = (t.withColumn("_up", up).join(found.select(F.col("place").alias("_up")), "_up", "left_semi").drop("_up") for t in (a, b))
+        found, above = small(_unlike(a, b, ["place"])), level
+    a, b = (_sums(rows.join(found.select("place"), "place", "left_semi"), key) for rows in (rows_a, rows_b))
+    return _unlike(a, b, key)
+
+
 def binding_differences(a: DataFrame, b: DataFrame, key: str, bindings: str) -> DataFrame:
     """Rows where two map columns differ, one per (key, name)."""
     left = a.select(key, F.explode(bindings).alias("name", "left_value"))

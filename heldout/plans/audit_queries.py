@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing as ps
 from ..functions import text as tx
-from ..functions.hashing import sha256
+from ..functions.hashing import row_digest, sha256
 from ..operators import audit as au
 from ..operators import digests as dg
 from ..operators import joins as jn
@@ -263,22 +263,42 @@ def first_wins_dedup(t):
 
 
 # ---- digests and manifests ----
-LI = "select sha256(to_json({'l_linenumber': l_linenumber, 'l_orderkey': l_orderkey, 'l_partkey': l_partkey, 'l_returnflag': l_returnflag, 'l_suppkey': l_suppkey})) h, l_returnflag g from lineitem"
+COLUMNS = "discount extendedprice linenumber linestatus orderkey partkey quantity returnflag shipdate suppkey tax".split()
+LI = "select sha256(to_json({" + ", ".join(f"'l_{c}': l_{c}" for c in COLUMNS) + "})) h, l_returnflag g from (select * replace (strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') as l_shipdate) from lineitem)"
+
+
+def lineitem(t):
+    """All columns, the time as text that no session zone changes."""
+    return t.lineitem.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("table_digest", f"with r as ({LI}) select count(*)::bigint row_count, {DIGEST} table_digest from r")
 def table_digest(t):
-    return dg.table_digest(t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"))
+    return dg.table_digest(lineitem(t))
 
 
 @query("digest_verification", f"with r as ({LI}), e as (select g, {DIGEST} d from r group by g) select g l_returnflag, case when g = 'R' then 'HASH_MISMATCH' else 'MATCH' end status from e")
 def digest_verification(t):
-    li = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
-    a = dg.combine_digests(li.select("l_returnflag", sha256("l_orderkey", "l_linenumber").alias("digest")), "digest", ["l_returnflag"])
+    """One group's manifest entry is wrong on purpose."""
+    li = lineitem(t)
+    a = dg.combine_digests(li.select("l_returnflag", row_digest(li.columns).alias("digest")), "digest", ["l_returnflag"])
     bad = a.withColumn("table_digest", F.when(F.col("l_returnflag") == "R", "0").otherwise(F.col("table_digest")))
     return dg.verify_digests(a, bad, "l_returnflag", "table_digest").select("l_returnflag", "status")
 
 
+@query("digest_changed_rows", """with r as (select *, l_orderkey % 997 = 3 and l_linenumber = 1 gone from lineitem)
+ select l_orderkey, l_linenumber, case when bool_and(gone) then 'REMOVED' else 'CHANGED' end change from r group by 1, 2 having bool_or(gone or l_partkey % 499 = 7)
+ union all select distinct -l_orderkey - 1, l_linenumber, 'ADDED' from lineitem where l_suppkey = 5 and l_linenumber = 2""")
+def digest_changed_rows(t):
+    """The rows that a mutated copy of the table changes, drops and adds, by trees of digests over all columns."""
+    key = ["l_orderkey", "l_linenumber"]
+    li = lineitem(t)
+    kept = li.filter(~((F.col("l_orderkey") % 997 == 3) & (F.col("l_linenumber") == 1)))
+    other = kept.withColumn("l_tax", F.when(F.col("l_partkey") % 499 == 7, F.col("l_tax") + 1).otherwise(F.col("l_tax")))
+    more = li.filter("l_suppkey = 5 and l_linenumber = 2").withColumn("l_orderkey", -F.col("l_orderkey") - 1)
+    return dg.changed_rows(dg.digest_tree(li, key), dg.digest_tree(other.unionByName(more), key), key)
+
+
 @query("vector_table_digest", "with r as (select sha256(concat_ws('|', vec_id, array_to_string(list_transform(embedding, lambda x: round(x::double * 1000000)::bigint), ','))) h, label from embeddings) select label, count(*)::bigint row_count, " + DIGEST + " table_digest from r group by label")
 def vector_table_digest(t):
     v = F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("long").cast("string")), ",")
