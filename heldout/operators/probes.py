@@ -134,76 +134,11 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     return df.join(small(table), label)
 
 
-def fit_logistic(df: DataFrame, vector: str, label: str):
-    """Class-balanced multinomial logistic regression at C = 1, by the ML library."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    train = balanced_weights(df, label).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"), "weight")
-    mass = train.agg(F.sum("weight")).first()[0]
-    return LogisticRegression(family="multinomial", weightCol="weight", standardization=False, regParam=1.0 / mass, maxIter=200, tol=1e-6).fit(train)
-
-
-def apply_logistic(model, df: DataFrame, vector: str, out: str = "prediction") -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
-    return model.transform(df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))) \
-        .drop("features", "rawPrediction", "probability").withColumnRenamed("prediction", out)
-
-
-def item_fold_validation(df: DataFrame, vector: str, label: str, fold: str, k: int) -> DataFrame:
-    """Pooled predictions where each item fold is predicted by a model of the others; k fits."""
-    out = None
-    for f in range(k):
-        model = fit_logistic(df.filter(F.col(fold) != f), vector, label)
-        part = apply_logistic(model, df.filter(F.col(fold) == f), vector)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def item_clusters(df: DataFrame, vector: str, k: int = 8, seed: int = 20260813, out: str = "cluster") -> DataFrame:
-    """K-means clusters of item vectors by the ML library."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    x = df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
-    model = KMeans(k=k, seed=seed, maxIter=300, initMode="k-means||", initSteps=5, featuresCol="features", predictionCol=out).fit(x)
-    return model.transform(x).drop("features")
-
-
 def two_parameter_probability(q, a, b):
     """p = 1 / (1 + exp(-a (q - b)))."""
     return 1.0 / (1.0 + F.exp(-a * (q - b)))
 
 
-def fit_two_parameter(df: DataFrame, item: str, q: str, y: str, steps: int = 12, penalty: float = 1e-3, a_max: float = 5.0) -> DataFrame:
-    """Discrimination and difficulty of every item at once by damped Newton steps.
-
-    Each step is one grouped sum of gradients and curvatures over all items;
-    a written table cuts the lineage. Slopes stay in (0, a_max].
-    """
-    params = df.select(item).distinct().select(item, F.lit(0.6931471805599453).alias("a"), F.lit(0.0).alias("c"))
-    for step in range(steps):
-        p = 1.0 / (1.0 + F.exp(-(F.col("a") * F.col(q) + F.col("c"))))
-        j = df.join(params, item).withColumn("_p", p).withColumn("_w", F.col("_p") * (1 - F.col("_p")))
-        r = F.col("_p") - F.col(y)
-        g = j.groupBy(item, "a", "c").agg(
-            F.count(F.lit(1)).alias("n"), F.sum(r * F.col(q)).alias("ga"), F.sum(r).alias("gc"),
-            F.sum(F.col("_w") * F.col(q) * F.col(q)).alias("haa"), F.sum(F.col("_w") * F.col(q)).alias("hac"), F.sum("_w").alias("hcc"))
-        ridge = penalty * F.col("n")
-        ga, haa = F.col("ga") + 2 * ridge * F.col("a"), F.col("haa") + 2 * ridge + 1e-6
-        hcc = F.col("hcc") + ridge * 0.01 + 1e-6
-        gc = F.col("gc") + ridge * 0.01 * F.col("c")
-        det = haa * hcc - F.col("hac") * F.col("hac")
-        limit = lambda v: F.greatest(F.least(v, F.lit(2.0)), F.lit(-2.0))
-        da = limit((hcc * ga - F.col("hac") * gc) / det)
-        dc = limit((haa * gc - F.col("hac") * ga) / det)
-        params = g.select(item, F.greatest(F.least(F.col("a") - da, F.lit(a_max)), F.lit(1e-3)).alias("a"), (F.col("c") - dc).alias("c"))
-        if step % 3 == 2 or step == steps - 1:
-            params = durable(params)
-    return params.select(item, "a", (-F.col("c") / F.col("a")).alias("b"))
-
-
 # Fixed value: the reason of a role without registered inputs.
 UNKNOWN_ROLE = "ROLE_NOT_REGISTERED"
 

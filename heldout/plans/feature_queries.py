@@ -6,6 +6,7 @@ from ..functions import vectors as V
 from ..functions.hashing import hash_index, hash_mod, sha256, stable_seed
 from ..functions.text import token_count, tokens
 from ..operators import features as ft
+from ..operators import fits
 from ..operators import probes as pb
 from . import fixtures as fx
 from .fixtures import TOKENS, UNITS
@@ -286,28 +287,83 @@ def role_inputs(t):
     return e.withColumn("v", pb.role_input("role", parts)).select("vec_id", "role", pb.role_reason("role", parts).alias("reason"), F.when(F.col("v").isNotNull(), F.size("v")).cast("long").alias("width"), F.col("v")[0].cast("double").alias("first_value"))
 
 
+def vec_folds(t):
+    return t.embeddings.select("vec_id", "embedding", "label", hash_index(3, F.lit("fold"), "vec_id").cast("int").alias("fold"))
+
+
+VEC_FOLDS = "e as (select vec_id, label, (('0x' || substr(sha256('fold|' || vec_id), 1, 15))::bigint % 3)::integer fold, embedding::double[] x from embeddings)"
+
+
 @query("logistic_item_folds")
 def logistic_item_folds(t):
     """Pooled balanced recall of a class-balanced logistic probe with one item fold held out."""
     from ..operators.profiles import balanced_recall
 
-    e = t.embeddings.select("vec_id", "embedding", "label", hash_index(3, F.lit("fold"), "vec_id").cast("int").alias("fold"))
-    return balanced_recall(pb.item_fold_validation(e, "embedding", "label", "fold", 3), "label", "prediction")
-
-
-@query("item_clusters")
+    return balanced_recall(fits.item_fold_validation(vec_folds(t), "embedding", "label", "fold"), "label", "prediction")
+
+
+@query("logistic_fold_solutions", "with " + VEC_FOLDS + " select f.fold, count(*)::bigint fit_rows, count(distinct label)::bigint classes, true stationary from e join (select distinct fold from e) f on e.fold <> f.fold group by 1")
+def logistic_fold_solutions(t):
+    """Rows and classes behind each fold's probe, and whether its gradient, taken anew from all rows by column expressions, is below 1e-6."""
+    e = vec_folds(t)
+    models = fits.fit_logistic_folds(e, "embedding", "label", "fold")
+    g = fits.logistic_gradients(e, models, "embedding", "label", "fold")
+    return g.select("fold", "fit_rows", "classes", (F.col("gradient") < 1e-6).alias("stationary"))
+
+
+# Newton steps for two classes; their weights are opposite, so the square penalty of both is a quarter of the difference's square.
+@query("logistic_fold_models", "with recursive " + FOLD_UNITS + """, b as (select f.fold, x1, (value > 50)::int::double y from fu join (select distinct sf fold from fu) f on sf <> fold), n as (select fold, y, count(*)::double n, sum(count(*)) over (partition by fold) total from b group by 1, 2),
+ w as (select b.*, total / (2 * n) w from b join n using (fold, y)),
+ s as (select 0 step, fold, 0.0::double a, 0.0::double c, 0.0::double loss from n group by fold union all
+   select step + 1, fold, a - (hcc * ga - hac * gc) / (haa * hcc - hac * hac), c - (haa * gc - hac * ga) / (haa * hcc - hac * hac), loss from (
+     select step, s.fold, a, c, sum(w * (p - y) * x1) + 0.5 * a ga, sum(w * (p - y)) gc, sum(w * p * (1 - p) * x1 * x1) + 0.5 haa, sum(w * p * (1 - p) * x1) hac, sum(w * p * (1 - p)) hcc, sum(-w * (y * ln(p) + (1 - y) * ln(1 - p))) + 0.25 * a * a loss
+     from (select step, s.fold, a, c, w, y, x1, 1 / (1 + exp(-(a * x1 + c))) p from s join w on s.fold = w.fold where step < 20) s group by step, s.fold, a, c) z)
+ select fold, (select sum(n)::bigint from n where n.fold = s.fold) fit_rows, round(a / 2, 6) weight, round(c / 2, 6) intercept, round(loss, 4) loss from s where step = 20""")
+def logistic_fold_models(t):
+    d = fold_units(t).select("event_id", "sf", F.array("x1").alias("x"), F.when(F.col("value") > 50, 1).otherwise(0).alias("label"))
+    models = fits.fit_logistic_folds(d, "x", "label", "sf")
+    rows = [(int(f), m["rows"], float(m["weights"][1, 0]), float(m["weights"][1, 1]), m["loss"]) for f, m in models.items() if m]
+    out = t.spark.createDataFrame(rows, "fold int, fit_rows long, weight double, intercept double, loss double")
+    return out.select("fold", "fit_rows", r6(F.col("weight"), "weight"), r6(F.col("intercept"), "intercept"), F.round("loss", 4).alias("loss"))
+
+
+@query("item_clusters", "with recursive " + VEC_FOLDS + """, f as (select distinct fold from e), u as (select vec_id, j, (('0x' || substr(sha256(concat_ws('|', 20260813, j, vec_id)), 1, 13))::bigint + 0.5) / 4503599627370496.0::double u from e, (select range j from range(8))),
+ seeds as (select f.fold, 0::bigint j, [arg_min(x, -ln(u))] c from f join e on e.fold <> f.fold join u on u.vec_id = e.vec_id and u.j = 0 group by 1 union all
+   select fold, j + 1, list_append(any_value(c), arg_min(x, -ln(u) / nullif(near * near, 0))) from (select s.fold, s.j, s.c, e.x, u.u, list_min(list_transform(s.c, lambda v: list_distance(v, e.x))) near from seeds s join e on e.fold <> s.fold join u on u.vec_id = e.vec_id and u.j = s.j + 1 where s.j < 7) z group by fold, j),
+ lloyd as (select 0 step, fold, c from seeds where j = 7 union all
+   select step, fold, list(v order by k) from (select step, fold, k, list(v order by i) v from (select step, fold, k, i, avg(x[i]) v from (
+     select l.step + 1 step, l.fold, e.x, list_transform(l.c, lambda v: list_distance(v, e.x)) d, list_position(d, list_min(d)) k from lloyd l join e on e.fold <> l.fold where l.step < 80) z, (select unnest(range(1, 65)) i) group by 1, 2, 3, 4) y group by 1, 2, 3) x group by 1, 2),
+ last as (select l.fold, e.fold own, c, list_transform(l.c, lambda v: list_distance(v, e.x)) d, list_position(d, list_min(d)) k from lloyd l, e where l.step = 80)
+ select fold, (k - 1)::integer "cluster", count(*) filter (own <> fold)::bigint fit_rows, count(*) filter (own = fold)::bigint held_rows, round(list_dot_product(any_value(c)[k], any_value(c)[k]), 6) centre_square from last group by fold, k""")
 def item_clusters(t):
-    return pb.item_clusters(t.embeddings.select("vec_id", "embedding"), "embedding").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("two_parameter_fit")
+    """Eight clusters of item vectors per held-out fold: sizes inside and outside the fold, and the square of each centre."""
+    e = vec_folds(t)
+    centres = fits.fit_clusters(e, "vec_id", "embedding", "fold")
+    square = t.spark.createDataFrame([(int(f), i, float(c @ c)) for f, v in centres.items() for i, c in enumerate(v)], "g int, cluster int, s double")
+    seen = fits.assign_clusters(e.withColumn("g", F.explode(F.array(*[F.lit(int(f)) for f in centres]))), centres, "embedding", "g")
+    own = F.col("fold") == F.col("g")
+    counts = seen.groupBy("g", "cluster").agg(F.sum(F.when(own, 0).otherwise(1)).alias("fit_rows"), F.sum(F.when(own, 1).otherwise(0)).alias("held_rows"))
+    # size bound: folds x 8 rows
+    return counts.join(F.broadcast(square), ["g", "cluster"]).select(F.col("g").alias("fold"), "cluster", "fit_rows", "held_rows", r6(F.col("s"), "centre_square"))
+
+
+@query("two_parameter_fit", "with recursive " + UNITS + """, m as (select subject_id, avg(value) m from units group by 1), z as (select subject_id, (m - avg(m) over ()) / greatest(stddev_pop(m) over (), 1e-6) q from m),
+ d as (select event_type, q, (value > 30)::int::double y from units join z using (subject_id)),
+ p as (select 0 step, event_type, ln(2.0)::double a, 0.0::double c from d group by event_type union all
+   select step + 1, event_type, case when held then a else least(greatest(a - greatest(least((hcc * ga - hac * gc) / (haa * hcc - hac * hac), 2), -2), 1e-3), 5.0) end,
+     c - greatest(least(case when held then gc / hcc else (haa * gc - hac * ga) / (haa * hcc - hac * hac) end, 2), -2) from (
+     select *, (a <= 1e-3 and ga > 0) or (a >= 5 and ga < 0) held from (
+       select step, event_type, a, c, sum((p - y) * q) + 0.002 * count(*) * a ga, sum(p - y) + 0.00001 * count(*) * c gc, sum(p * (1 - p) * q * q) + 0.002 * count(*) haa, sum(p * (1 - p) * q) hac, sum(p * (1 - p)) + 0.00001 * count(*) hcc
+       from (select step, d.event_type, a, c, q, y, 1 / (1 + exp(-(a * q + c))) p from p join d on d.event_type = p.event_type where step < 30) s group by step, event_type, a, c) w) v)
+ select event_type, round(a, 4) a, round(c, 4) intercept, (select count(*) from d where d.event_type = p.event_type)::bigint responses, true stationary from p where step = 30""")
 def two_parameter_fit(t):
-    """Discrimination and difficulty of each item from entity activity and a value threshold."""
+    """Discrimination and intercept of each item from entity activity and a value threshold."""
     u = fx.units(t)
     s = u.groupBy("subject_id").agg(F.avg("value").alias("m"))
     q = ft.apply_zscore(s, ft.fit_zscore(s, [], "m"), [], "m", "q").select("subject_id", "q")
     d = u.join(q, "subject_id").select("event_type", "q", F.when(F.col("value") > 30, 1.0).otherwise(0.0).alias("y"))
-    return pb.fit_two_parameter(d, "event_type", "q", "y")
+    f = fits.fit_two_parameter(d, "event_type", "q", "y")
+    return f.select("event_type", F.round("a", 4).alias("a"), F.round(-F.col("a") * F.col("b"), 4).alias("intercept"), "responses", (F.col("gradient") < 1e-8).alias("stationary"))
 
 
 @query("two_parameter_loss", "with " + FOLD_UNITS + """, p as (select event_type, greatest(least(1 / (1 + exp(-1.3 * (x1 - 0.4))), 1 - 1e-7), 1e-7) p, (value > 50)::int y from fu) select event_type, round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 6) loss from p group by 1""")

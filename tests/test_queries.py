@@ -9,7 +9,8 @@ from check_queries import TABLES, rows
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = ["joint_split_cells", "inner_split_cells", "candidate_funnel", "ranked_draws", "fold_robust_transform", "cross_fit_predictions", "vocabulary_scores",
           "unit_cycle_within_record", "permutation_null", "direct_weights", "sequence_join_proof", "run_ledger_errors", "table_digest", "text_normal_forms",
-          "role_inputs", "near_duplicate_documents", "closest_text_pair", "cosine_boundary", "digest_verification", "digest_changed_rows"]
+          "role_inputs", "near_duplicate_documents", "closest_text_pair", "cosine_boundary", "digest_verification", "digest_changed_rows",
+          "logistic_fold_solutions", "logistic_fold_models", "item_clusters", "two_parameter_fit", "slice_location"]
 
 
 @pytest.fixture(scope="module")

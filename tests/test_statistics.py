@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heldout.operators import features as ft
+from heldout.operators import fits
 from heldout.operators import probes as pb
 from heldout.operators import statistics as st
 from heldout.operators import weights as wt
@@ -131,7 +132,7 @@ def test_two_parameter_recovery(spark):
         q = rng.normal(size=3000)
         y = rng.random(3000) < 1 / (1 + np.exp(-a * (q - b)))
         rows += [(k, float(x), float(t)) for x, t in zip(q, y)]
-    got = pb.fit_two_parameter(spark.createDataFrame(rows, "i int, q double, y double"), "i", "q", "y").toPandas().set_index("i")
+    got = fits.fit_two_parameter(spark.createDataFrame(rows, "i int, q double, y double"), "i", "q", "y").toPandas().set_index("i")
     assert np.allclose(got["a"].sort_index(), [0.8, 1.6, 1.2], atol=0.2) and np.allclose(got["b"].sort_index(), [-0.5, 0.4, 0.0], atol=0.2)
 
 
