@@ -68,18 +68,54 @@ def prove_sequence_join(material: DataFrame, summary: DataFrame, seq: str, order
     return status, proven
 
 
+#: Window hashes are polynomials over this prime field, so products of two residues fit a long.
+PRIME, BASE = (1 << 31) - 1, 1_299_709
+#: Positions are read in seven digits of six bits: fewer than 2^42 rows in a sequence.
+DIGIT, DIGITS = 6, 7
+
+
+def _power(base: int, position):
+    """``base`` to the power of a position, modulo PRIME: one looked-up factor per digit of the position."""
+    out = None
+    for d in range(DIGITS):
+        table = F.array(*[F.lit(pow(base, n << (DIGIT * d), PRIME)).cast("long") for n in range(1 << DIGIT)])
+        digit = F.shiftright(position.cast("long"), DIGIT * d).bitwiseAND(F.lit((1 << DIGIT) - 1).cast("long"))
+        factor = table[digit.cast("int")]
+        out = factor if out is None else out * factor % PRIME
+    return out
+
+
 def locate_slices(path: DataFrame, samples: DataFrame, seq: str, sample: str, at: str, value: str) -> DataFrame:
     """Where each sample lies in its path as a contiguous run; status unique, absent or ambiguous.
 
-    ``path`` and ``samples`` number their rows from 0 in ``at``. Starts are the
-    places of the sample's first value; the others must follow at their offsets.
+    ``path`` and ``samples`` number their rows from 0 in ``at``. Prefix sums of
+    value hash times BASE^at give the hash of any window from two path rows. Each
+    place that holds the first value of some sample costs one such window for
+    every length that samples of its path with that first value have, whatever
+    their number; windows meet samples on (path, length, hash), and only those
+    hits are compared value by value.
+
+    A NULL value equals nothing, so a sample that holds one is absent, as is a
+    sample longer than its path or of an unknown or NULL path. A sample without
+    a row at 0 has no place either. An empty path leaves all samples absent, an
+    empty sample table gives no rows.
     """
-    lengths = samples.groupBy(seq, sample).agg(F.count(F.lit(1)).alias("_len"))
-    starts = samples.filter(F.col(at) == 0).join(path.select(seq, value, F.col(at).alias("start")), [seq, value]).select(seq, sample, "start")
-    want = starts.join(samples.select(seq, sample, F.col(at).alias("_o"), F.col(value).alias("_v")), [seq, sample]).withColumn(at, F.col("start") + F.col("_o"))
-    hit = want.join(path.select(seq, at, value), [seq, at]).filter(F.col(value) == F.col("_v")).groupBy(seq, sample, "start").agg(F.count(F.lit(1)).alias("_n"))
-    full = hit.join(lengths, [seq, sample]).filter("_n = _len").groupBy(seq, sample).agg(F.count(F.lit(1)).alias("matches"), F.min("start").alias("start"))
-    out = lengths.join(full, [seq, sample], "left")
+    residue = lambda v: F.pmod(F.xxhash64(v), F.lit(PRIME))
+    term = residue(value) * _power(BASE, F.col(at)) % PRIME
+    names = samples.groupBy(seq, sample).agg(
+        F.count(F.lit(1)).alias("_len"), F.min(F.when(F.col(at) == 0, F.struct(F.col(value).alias("v")))).alias("_head"), F.pmod(F.sum(term), F.lit(PRIME)).alias("_hash"))
+    names = durable(names.select(seq, sample, "_len", F.col("_head")["v"].alias("_first"), "_hash"))
+    sums = running_sum(path.select(seq, at, value).withColumn("_t", term), [seq], [at], F.col("_t"), "_upto")
+    sums = durable(sums)
+    lengths = names.filter(F.col("_first").isNotNull()).select(seq, F.col("_first").alias(value), "_len").distinct()
+    opened = sums.join(lengths, [seq, value]).select(seq, F.col(at).alias("start"), F.col(value).alias("_first"), "_len", (F.col("_upto") - F.col("_t")).alias("_before"), (F.col(at) + F.col("_len") - 1).alias(at))
+    window = opened.join(sums.select(seq, at, "_upto"), [seq, at])
+    shifted = F.pmod(F.col("_upto") - F.col("_before"), F.lit(PRIME)) * _power(pow(BASE, -1, PRIME), F.col("start")) % PRIME
+    hits = window.select(seq, "start", "_first", "_len", shifted.alias("_hash")).join(names, [seq, "_first", "_len", "_hash"]).select(seq, sample, "start", "_len")
+    want = hits.join(samples.select(seq, sample, F.col(at).alias("_o"), F.col(value).alias("_v")), [seq, sample]).withColumn(at, F.col("start") + F.col("_o"))
+    same = want.join(sums.select(seq, at, value), [seq, at]).filter(F.col(value) == F.col("_v")).groupBy(seq, sample, "start", "_len").agg(F.count(F.lit(1)).alias("_n"))
+    full = same.filter("_n = _len").groupBy(seq, sample).agg(F.count(F.lit(1)).alias("matches"), F.min("start").alias("start"))
+    out = names.select(seq, sample).join(full, [seq, sample], "left")
     return out.select(seq, sample, F.coalesce("matches", F.lit(0)).alias("matches"), F.when(F.col("matches") == 1, F.col("start")).alias("start"),
                       F.when(F.col("matches").isNull(), "ABSENT").when(F.col("matches") > 1, "AMBIGUOUS").otherwise("UNIQUE").alias("status"))
 

@@ -95,6 +95,26 @@ def test_slices(spark):
     assert got == {"one": ("UNIQUE", 3), "two": ("AMBIGUOUS", None), "none": ("ABSENT", None)}
 
 
+def test_slices_with_a_frequent_first_value(spark):
+    """One value in half of the path; every start of it would have cost as many rows as the samples are long."""
+    rng = random.Random(3)
+    paths = {"p": ["a" if rng.random() < 0.5 else rng.choice("bc") for _ in range(6000)], "q": ["a"] * 40, "r": [None, "a", "b"]}
+    samples = {("p", f"{k}-{n}"): paths["p"][k:k + n] for k in range(0, 5800, 290) for n in (3, 12, 180)}
+    samples |= {("p", "changed"): paths["p"][100:300][:-1] + ["z"], ("q", "all"): ["a"] * 40, ("q", "some"): ["a"] * 38, ("q", "long"): ["a"] * 41, ("x", "no path"): ["a"],
+                ("r", "null"): [None, "a"], ("r", "end"): ["a", "b"]}
+    want = {}
+    for (s, n), v in samples.items():
+        p = paths.get(s, [])
+        found = [i for i in range(len(p) - len(v) + 1) if None not in v and p[i:i + len(v)] == v]
+        want[s, n] = (len(found), found[0] if len(found) == 1 else None, "UNIQUE" if len(found) == 1 else "AMBIGUOUS" if found else "ABSENT")
+    path = spark.createDataFrame([(s, i, v) for s, p in paths.items() for i, v in enumerate(p)], "s string, at long, v string")
+    given = spark.createDataFrame([(s, n, i, v) for (s, n), t in samples.items() for i, v in enumerate(t)], "s string, n string, at long, v string")
+    got = {(r["s"], r["n"]): (r["matches"], r["start"], r["status"]) for r in sq.locate_slices(path, given, "s", "n", "at", "v").collect()}
+    assert got == want and {w[2] for w in want.values()} == {"UNIQUE", "AMBIGUOUS", "ABSENT"}
+    assert {r["status"] for r in sq.locate_slices(path.limit(0), given, "s", "n", "at", "v").collect()} == {"ABSENT"}
+    assert sq.locate_slices(path, given.limit(0), "s", "n", "at", "v").count() == 0
+
+
 def test_digests_ignore_order_and_see_changes(spark):
     df = spark.range(100).select("id", (F.col("id") % 7).alias("v"))
     d = lambda x: dg.table_digest(x).first()["table_digest"]
