@@ -78,7 +78,7 @@ def _power(base: int, position):
     """``base`` to the power of a position, modulo PRIME: one looked-up factor per digit of the position."""
     out = None
     for d in range(DIGITS):
-        table = F.array(*[F.lit(pow(base, n << (DIGIT * d), PRIME)).cast("long") for n in range(1 << DIGIT)])
+        table = F.expr("array(" + ", ".join(f"{pow(base, n << (DIGIT * d), PRIME)}L" for n in range(1 << DIGIT)) + ")")
         digit = F.shiftright(position.cast("long"), DIGIT * d).bitwiseAND(F.lit((1 << DIGIT) - 1).cast("long"))
         factor = table[digit.cast("int")]
         out = factor if out is None else out * factor % PRIME
