@@ -74,6 +74,16 @@ def running_sum(df, group, order, value: Column, out: str) -> DataFrame:
     )
 
 
+def running_max(df, group, order, value: Column, out: str) -> DataFrame:
+    """Largest ``value`` up to each row in a total order inside each group; NULLs are passed over."""
+    order = _plain_order(order)
+    cut = _pieces(df.withColumn("_v", value), group, order)
+    carry = _carry(cut, group, F.max("_v"), F.max)
+    w = W.partitionBy(PIECE, *group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    both = _attach(cut.withColumn("_r", F.max("_v").over(w)), carry, group)
+    return both.withColumn(out, F.greatest("_r", "_carry")).drop(PIECE, "_v", "_r", "_carry")  # greatest skips NULL
+
+
 def positions(df, group, order, out: str = "position") -> DataFrame:
     """Zero-based position of each row in a total order inside its group."""
     ranked = running_sum(df, group, order, F.lit(1).cast("long"), out)

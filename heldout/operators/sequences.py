@@ -8,20 +8,34 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold_tokens
 from .durable import durable
-from .ranking import positions, preceding, running_sum
+from .ranking import positions, preceding, running_max, running_sum
 
 
 def prove_sequence_join(material: DataFrame, summary: DataFrame, seq: str, order: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(status per sequence, matched slots): does the summary embed in the material in exactly one way?
 
-    A text that occurs once in the material can match in one place only. Those
-    anchors cut both sequences into stretches that are settled separately by
-    the earliest and the latest greedy pass, so a long sequence is not one task.
+    In any embedding the n-th slot of a text lies at its n-th occurrence or
+    later, and after every slot before it; counted from the end it is bounded
+    above in the same way. Slots whose bounds meet can match in one place only.
+    These anchors (a text that occurs once is one) cut both sequences into
+    stretches that are settled separately by the earliest and the latest greedy
+    pass, so a long sequence is not one task, even if its texts keep repeating,
+    as long as the summary leaves little room. A stretch with room at every slot
+    is still settled in one task, row by row, in time in proportion to its rows.
     """
     m = durable(positions(material.select(seq, order, text), [seq], [order], "pos").drop(order))
     s = durable(positions(summary.select(seq, order, text), [seq], [order], "idx").drop(order))
-    single = m.groupBy(seq, text).agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("pos")).filter("_n = 1").select(seq, text, "pos")
-    anchors = durable(s.join(single, [seq, text]).select(seq, "idx", "pos"))
+    nth = lambda d, at: positions(d.select(seq, text, at), [seq, text], [at], "_nth")
+    wanted = s.groupBy(seq, text).agg(F.count(F.lit(1)).alias("_wanted"))
+    places = durable(nth(m, "pos").select(seq, text, "pos", "_nth"))
+    spare = places.groupBy(seq, text).agg(F.count(F.lit(1)).alias("_had")).join(wanted, [seq, text]).select(seq, text, (F.col("_had") - F.col("_wanted")).alias("_spare"))
+    slots = nth(s, "idx").join(spare, [seq, text]).select(seq, text, "idx", "_nth", (F.col("_nth") + F.col("_spare")).alias("_late"))
+    slots = slots.join(places.select(seq, text, "_nth", F.col("pos").alias("_lo")), [seq, text, "_nth"])
+    slots = slots.join(places.select(seq, text, F.col("_nth").alias("_late"), F.col("pos").alias("_hi")), [seq, text, "_late"])
+    up = running_max(slots.select(seq, text, "idx", "_lo", "_hi"), [seq], ["idx"], F.col("_lo") - F.col("idx"), "_up")
+    both = running_max(up, [seq], [F.col("idx").desc()], F.col("idx") - F.col("_hi"), "_down")
+    forced = both.withColumn("pos", F.col("_up") + F.col("idx")).filter(F.col("pos") == F.col("idx") - F.col("_down")).select(seq, "idx", "pos", text)
+    anchors = durable(forced.join(m, [seq, "pos", text], "left_semi").select(seq, "idx", "pos"))  # another text there: the slot stays open and fails
     place = lambda by, o: positions(anchors, [seq], by, o).select(seq, "idx", "pos", o)
     order_ok = place(["idx", "pos"], "_ri").join(place(["pos", "idx"], "_rp"), [seq, "idx", "pos"]).groupBy(seq).agg(
         F.bool_and(F.col("_ri") == F.col("_rp")).alias("_monotone"), (F.count(F.lit(1)) == F.count_distinct("pos")).alias("_once"))

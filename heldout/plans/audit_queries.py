@@ -182,6 +182,19 @@ def common_row_retention(t):
     return r.withColumn("retention", F.round("retention", 6))
 
 
+@query("required_fields", """with r as (select event_id, case when event_id % 7 <> 0 then user_id end user_id, event_type, case when event_id % 11 <> 0 then json_extract_string(props, '$.k') else ' ' end k from events),
+ m as (select event_id, concat_ws(',', case when event_id is null then 'event_id' end, case when event_type is null or trim(event_type) = '' then 'event_type' end, case when k is null or trim(k) = '' then 'k' end, case when user_id is null then 'user_id' end) missing from r)
+ select missing, count(*)::bigint "rows", min(event_id) first_event from m where missing <> '' group by 1""")
+def required_fields(t):
+    """Records that lack a required field; the users of every seventh and the k of every eleventh event are taken away."""
+    e = t.events
+    scans.require_fields(e, ["event_id", "user_id", "event_type", "props"])
+    n = F.col("event_id")
+    fields = {"event_id": n, "event_type": F.col("event_type"), "user_id": F.when(n % 7 != 0, F.col("user_id")), "k": F.when(n % 11 != 0, F.get_json_object("props", "$.k")).otherwise(" ")}
+    m = scans.missing_fields(e, fields)
+    return m.groupBy(F.concat_ws(",", "missing").alias("missing")).agg(F.count(F.lit(1)).alias("rows"), F.min("event_id").alias("first_event"))
+
+
 # ---- sequences ----
 def material(t):
     c = t.conversations.select("conv_id", "turn", "role", tx.token_count(F.col("text")).alias("k"))

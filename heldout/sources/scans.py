@@ -101,3 +101,9 @@ def require_fields(df: DataFrame, names: list[str]) -> None:
     missing = sorted(set(names) - set(df.columns))
     if missing:
         raise ValueError("missing required fields: " + ", ".join(missing))
+
+
+def missing_fields(df: DataFrame, fields: dict) -> DataFrame:
+    """Rows that lack a required field, with the names they lack in order; NULL and blank strings count as lacking."""
+    lacks = [F.when(c.isNull() | (F.trim(c.cast("string")) == ""), name) for name, c in sorted(fields.items())]
+    return df.withColumn("missing", F.array_compact(F.array(*lacks))).filter(F.size("missing") > 0)

@@ -88,6 +88,31 @@ def test_sequence_join_equals_brute_force(spark):
         assert want[r["s"]] == "SOURCE_SLOT_JOIN_VERIFIED" and place[(r["s"], r["pos"])] == text[(r["s"], r["idx"])]
 
 
+def test_repeating_texts_are_cut_at_forced_slots(spark, monkeypatch):
+    """200,000 rows of two alternating texts: no slot is left to the greedy pass; a missing pair gives room."""
+    seen = []
+    wrap = sq.durable
+
+    def note(df):
+        seen.append(wrap(df))
+        return seen[-1]
+
+    monkeypatch.setattr(sq, "durable", note)
+    n = 200_000
+    m = spark.range(n).select(F.lit("s").alias("s"), F.col("id").alias("i"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("v"))
+    status, slots = sq.prove_sequence_join(m, m, "s", "i", "v")
+    assert [tuple(r) for r in status.collect()] == [("s", n, n, "SOURCE_SLOT_JOIN_VERIFIED")]
+    assert slots.filter("idx = pos").count() == n
+    anchors = next(d for d in seen if d.columns == ["s", "idx", "pos"])
+    assert anchors.count() == n  # nothing is open, so no task holds a stretch
+    m = m.filter("i < 4000")
+    for gone, verdict in (("0, 1000, 3999", "SOURCE_SLOT_JOIN_VERIFIED"), ("1000, 1001", "BLOCKED_NONUNIQUE_ORDERED_JOIN")):
+        status, _ = sq.prove_sequence_join(m, m.filter(f"i not in ({gone})"), "s", "i", "v")
+        assert [r["status"] for r in status.collect()] == [verdict]
+    status, _ = sq.prove_sequence_join(m.filter("i <> 7"), m, "s", "i", "v")
+    assert [r["status"] for r in status.collect()] == ["BLOCKED_UNMATCHED_ORDERED_JOIN"]
+
+
 def test_slices(spark):
     path = spark.createDataFrame([("p", i, v) for i, v in enumerate("abcabd")], "s string, at int, v string")
     samples = spark.createDataFrame([("p", n, i, v) for n, t in (("one", "abd"), ("two", "ab"), ("none", "ad")) for i, v in enumerate(t)], "s string, n string, at int, v string")
