@@ -239,36 +239,49 @@ def repeats(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, largest:
     return scan.select("doc_id", "sha", "n_bytes").join(texts.select("sha", "rows", "whole"), "sha"), spans
 
 
-def removed(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, largest: int = LARGEST) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes; NULL where nothing or all goes) and the text's hash ``sha``."""
-    rows, spans = repeats(docs, length, width, largest)
+def _kept_ranges(spans: DataFrame) -> DataFrame:
+    """sha, n_removed, n_spans and the ranges between the removed runs (begin, end; NULL end for the end of the text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for sha, body, marks in zip(batch["sha"], batch["body"], batch["spans"], strict=True):
+            for sha, marks in zip(batch["sha"], batch["spans"], strict=True):
                 merged: list[list[int]] = []
                 for s in marks:
                     if merged and s["begin"] <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], s["end"])
                     else:
                         merged.append([s["begin"], s["end"]])
-                edges = [0, *[x for m in merged for x in m], len(body)]
-                out.append((sha, sum(b - a for a, b in merged), len(merged), b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))))
-            yield pd.DataFrame(out, columns=["sha", "n_removed", "n_spans", "kept"])
+                edges = [0, *[x for m in merged for x in m], None]
+                out.append((sha, sum(b - a for a, b in merged), len(merged), [{"begin": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)]))
+            yield pd.DataFrame(out, columns=["sha", "n_removed", "n_spans", "ranges"])
+
+    return spans.mapInPandas(run, "sha string, n_removed long, n_spans long, ranges array<struct<begin:long,end:long>>")
 
-    # texts of one row only; repeated ones go as a whole
-    single = rows.filter("not whole").join(spans, "sha").select("sha", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), "spans")
-    source = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body")).withColumn("sha", F.sha2("body", 256))
-    cut = durable(source.join(single, ["sha", "doc"]).select("sha", "body", "spans").mapInPandas(run, "sha string, n_removed long, n_spans long, kept binary"))
-    out = rows.join(cut, "sha", "left")
-    gone = F.col("whole")
-    return out.select("doc_id", "sha", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(gone, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0))).alias("n_spans"), F.when(~gone, F.col("kept")).alias("kept"))
+
+def removed(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, largest: int = LARGEST) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes, of unchanged texts all).
+
+    Texts travel once, to the few numbers that say what stays of them. Rows of
+    equal id and text agree.
+    """
+    rows, spans = repeats(docs, length, width, largest)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc")
+    changed = rows.join(_kept_ranges(spans), "sha", "left").filter("whole or ranges is not null")
+    # texts of several rows go as a whole; by (text, id), so copies do not meet in one task
+    changed = changed.select("sha", key, "whole", "n_removed", "n_spans", F.when(~F.col("whole"), F.col("ranges")).alias("ranges")).dropDuplicates(["sha", "doc"])
+    source = docs.select("doc_id", key, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body")).withColumn("sha", F.sha2("body", 256))
+    both = source.join(changed, ["sha", "doc"], "left")
+    size, gone = F.octet_length("body").cast("long"), F.coalesce("whole", F.lit(False))
+    # in hexadecimal digits, for which there is a join of arrays
+    part = lambda r: F.hex(F.substring(F.col("body"), (r["begin"] + 1).cast("int"), (F.coalesce(r["end"], size) - r["begin"]).cast("int")))
+    kept = F.when(gone, F.lit("").cast("binary")).when(F.col("ranges").isNull(), F.col("body")).otherwise(F.unhex(F.array_join(F.transform("ranges", part), "")))
+    count = lambda c, whole: F.when(gone, whole).otherwise(F.coalesce(c, F.lit(0))).cast("long")
+    return both.select("doc_id", size.alias("n_bytes"), count("n_removed", size).alias("n_removed"), count("n_spans", F.lit(1)).alias("n_spans"), kept.alias("kept"))
 
 
 @query("op7_suffix_dedup", "documents")
 def op7(documents: DataFrame) -> DataFrame:
-    """Bytes that repeat over 400 or more, and the hash of what stays."""
+    """Bytes that repeat over 400 or more, the hash of what stays, and what stays as text (a cut character shows as U+FFFD)."""
     out = removed(documents)
-    stays = F.when(F.col("n_removed") == 0, F.col("sha")).otherwise(F.sha2(F.coalesce("kept", F.lit("").cast("binary")), 256))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", stays.alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
