@@ -10,12 +10,12 @@ time is the training order.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heldout.operators.durable import durable, small
 from heldout.operators.ranking import positions, running_sum
 
+from .numbering import numbered
 from .registry import WORD, query, word_count
 
 WEIGHTS = (3, 1, 2)
@@ -93,18 +93,14 @@ def training_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mixed documents in training order: one row per pass, cut where the mix takes only part of a text.
 
     Rows that share id, source and size get the entries of ``mixed`` in any
-    order, one each, so no row is multiplied.
+    order, one each, so no row is multiplied; rows beyond the entries of their
+    key are left out. Both sides are numbered within the key.
     """
-    names = docs.columns
-    key = lambda i, s, n: [F.coalesce(i.cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("+"), s), F.lit("-")), n]
-    entry = durable(mixed.select(*[c.alias(f"_k{j}") for j, c in enumerate(key(F.col("doc_id"), F.col("source"), F.col("size")))], "passes").groupBy("_k0", "_k1", "_k2").agg(F.collect_list("passes").alias("_all")))
-    left = docs.select(F.struct(*names).alias("_row"), *[c.alias(f"_k{j}") for j, c in enumerate(key(F.col("doc_id"), F.col("source"), word_count(F.col("text"))))])
-    both = left.join(entry, ["_k0", "_k1", "_k2"])
-    if entry.filter(F.size("_all") > 1).head(1):
-        order = W.partitionBy("_k0", "_k1", "_k2").orderBy(F.xxhash64("_row.text"))
-        rows = both.select("_row", F.get("_all", F.row_number().over(order) - 1).alias("_steps"))
-    else:
-        rows = both.select("_row", F.get("_all", F.lit(0)).alias("_steps"))
+    names, keys = docs.columns, ["_k0", "_k1", "_k2"]
+    key = lambda i, s, n: [F.coalesce(i.cast("string"), F.lit("-")).alias("_k0"), F.coalesce(F.concat(F.lit("+"), s), F.lit("-")).alias("_k1"), n.alias("_k2")]
+    entry = numbered(mixed.select(*key(F.col("doc_id"), F.col("source"), F.col("size")), "passes"), keys, [F.xxhash64("passes")], "_n")
+    left = docs.select(F.struct(*names).alias("_row"), *key(F.col("doc_id"), F.col("source"), word_count(F.col("text"))))
+    rows = numbered(left, keys, [F.xxhash64(F.to_json("_row"))], "_n").join(entry.withColumnRenamed("passes", "_steps"), [*keys, "_n"])
     given = rows.select("_row", F.explode("_steps").alias("_step"))
     head = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), 0), F.lit(1), F.col("_step.taken").cast("int")), "")
     text = F.when(F.col("_step.taken") < word_count(F.col("_row.text")), head).otherwise(F.col("_row.text"))

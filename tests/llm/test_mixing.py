@@ -87,3 +87,12 @@ def test_training_rows_hold_the_words_taken(spark, make, odd):
     for r in mixed.collect():
         want[r.doc_id] += r.taken
     assert {k: v for k, v in want.items() if v} == dict(words)
+
+
+def test_rows_of_one_key_share_its_entries(spark, make):
+    """The target may end between rows of one key: as many rows come out as there are entries."""
+    docs = make([*[(None, "a b c", "s")] * 50, *[(3, "d e f", "s"), (3, "g h i", "s")], (4, "x", "t")])
+    mixed = mixing.mix(docs, share=0.3).filter("taken > 0").cache()
+    rows = mixing.training_rows(docs, mixed).collect()
+    assert 0 < len(rows) == sum(len(r.passes) for r in mixed.collect()) < 53
+    assert sum(len(r.text.split()) for r in rows) == sum(r.taken for r in mixed.collect())
