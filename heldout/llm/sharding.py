@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from heldout.operators.durable import durable
 
+from .numbering import numbered
 from .registry import query
 
 #: Ranges that splitters aim at, samples drawn per range, and the share of a shard up to which equal texts stay together.
@@ -40,10 +41,10 @@ def _placed(rows: DataFrame, cuts: list[str]) -> DataFrame:
 
 
 def _sample(rows: DataFrame, wanted: int, total: int) -> list[tuple[str, str, float]]:
-    """Rows drawn with a chance proportional to their size, by a hash: about ``wanted``, twice that at most in the mean."""
+    """Rows drawn with a chance proportional to their weight, by a hash: about ``wanted``, twice that at most in the mean."""
     step = total / wanted
     chance = F.pmod(F.xxhash64(F.lit(7), "group", "rest"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    drawn = rows.filter(chance * F.lit(step) < F.col("size")).select("group", "rest", F.greatest("size", F.lit(step)).alias("w"))
+    drawn = rows.filter(chance * F.lit(step) < F.col("weight")).select("group", "rest", F.greatest("weight", F.lit(step)).alias("w"))
     return [tuple(r) for r in drawn.collect()]
 
 
@@ -55,7 +56,8 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = RANGES) -> DataFrame:
     exact sums are sampled and cut again, inside a group of equal texts where
     one alone is too large. Bytes summed over the ranges place every row on the
     scale 0..total, which the shards share equally. Groups up to ``TOGETHER``
-    of a shard stay in one shard, larger ones may span several.
+    of a shard stay in one shard, larger ones may span several. A row weighs
+    its size and the mean size, so ranges of very many tiny rows are cut as well.
 
     NULL text has size 1 like the empty text but is a group of its own; NULL
     ids sort first; repeated rows take slots of their own in either order; an
@@ -63,19 +65,23 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = RANGES) -> DataFrame:
     driver, both bounded by parameters.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    rows = durable(docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), F.coalesce(F.md5("text"), F.lit("")).alias("group"), F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")).alias("rest")))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    cuts = _quantiles(_sample(rows, ranges * SAMPLES, total), ranges) if total else []
+    # the leading blank keeps NULL text before all hashes; rows of equal text and id are alike, but a number lets a cut go between them
+    rest = F.concat_ws(" ", F.lit(""), F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")), F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"))
+    rows = durable(docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), F.coalesce(F.md5("text"), F.lit("")).alias("group"), rest.alias("rest")))
+    n_rows, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    mean = total // max(1, n_rows)
+    rows, weights = rows.withColumn("weight", F.col("size") + mean), total + mean * n_rows
+    cuts = _quantiles(_sample(rows, ranges * SAMPLES, weights), ranges) if total else []
     for _ in range(3):
-        filled = _placed(rows, cuts).groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
-        over = {r["range"]: r["bytes"] for r in filled if r["bytes"] > 2 * total / ranges and r["rows"] > 1}
+        filled = _placed(rows, cuts).groupBy("range").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("rows")).collect()
+        over = {r["range"]: r["weight"] for r in filled if r["weight"] > 2 * weights / ranges and r["rows"] > 1}
         if not over:
             break
-        more = _sample(_placed(rows, cuts).filter(F.col("range").isin(list(over))), max(1, round(SAMPLES * sum(over.values()) * ranges / total)), sum(over.values()))
+        more = _sample(_placed(rows, cuts).filter(F.col("range").isin(list(over))), max(1, round(SAMPLES * sum(over.values()) * ranges / weights)), sum(over.values()))
         by_range: dict[int, list] = {}
         for s, r in zip(more, np.searchsorted(np.array(cuts or [""], dtype=object), np.array([a + b for a, b, _ in more], dtype=object), side="right"), strict=True):
             by_range.setdefault(int(r), []).append(s)
-        cuts = sorted({*cuts, *(c for r, s in by_range.items() for c in _quantiles(s, max(2, round(over.get(r, 0) * ranges / total))))})
+        cuts = sorted({*cuts, *(c for r, s in by_range.items() for c in _quantiles(s, max(2, round(over.get(r, 0) * ranges / weights))))})
     before = [(None, 0, 0)]
     cut = _placed(rows, cuts)
     at, row = 0, 0
@@ -97,12 +103,13 @@ def shard(docs: DataFrame, shards: int = 8, ranges: int = RANGES) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, sharded: DataFrame, folder: str) -> None:
-    """Write the documents as one folder per shard, rows in slot order. Rows are matched by id and text."""
-    text = F.coalesce(F.md5("text"), F.lit(""))
-    left = docs.withColumns({"_g": text, "_d": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
-    right = sharded.select(F.col("group").alias("_g"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_d"), "shard", "slot").dropDuplicates(["_g", "_d"])
-    rows = left.join(right, ["_g", "_d"]).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-    rows.drop("_g", "_d").write.partitionBy("shard").parquet(folder)
+    """Write the documents as one folder per shard, rows in slot order. Rows are matched by id, text and their number among equal ones."""
+    keys, names = ["_g", "_d"], docs.columns
+    left = docs.select(F.struct(*names).alias("_row"), F.coalesce(F.md5("text"), F.lit("")).alias("_g"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_d"))
+    right = sharded.select(F.col("group").alias("_g"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_d"), F.struct("shard", "slot").alias("_at"))
+    rows = numbered(left, keys, [F.xxhash64(F.to_json("_row"))], "_n").join(numbered(right, keys, [F.col("_at")], "_n"), [*keys, "_n"])
+    kept = [F.col(f"_row.`{n}`").alias(n) for n in names if n not in ("shard", "slot")]
+    rows.select(*kept, F.col("_at.shard").alias("shard"), F.col("_at.slot").alias("slot")).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
 
 
 @query("op6_sharding", "documents")

@@ -50,3 +50,13 @@ def test_written_shards(spark, make, tmp_path):
     sharding.write_shards(docs, placed, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert {(r.doc_id, r.shard) for r in back.collect()} == {(r.doc_id, r.shard) for r in placed.collect()}
+
+
+def test_repeated_rows_are_written_once_each(spark, make, odd, tmp_path):
+    docs = make([*odd, *[(7, "the same", "s")] * 40, *[(None, None, "s")] * 40])
+    placed = sharding.shard(docs, shards=3)
+    sharding.write_shards(docs, placed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.shard, r.slot) for r in back) == sorted((r.shard, r.slot) for r in placed.collect())
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted([(r.doc_id, r.text) for r in back], key=key) == sorted([(r.doc_id, r.text) for r in docs.collect()], key=key)
