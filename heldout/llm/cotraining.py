@@ -1,15 +1,16 @@
 """Quality classifier by co-training of a text view and a page-metadata view.
 
-Each view has a logistic model. In every round each model labels the documents
-of an unlabelled pool it is surest of, and the other one learns from them. On
-labelled documents kept aside both are calibrated, and a third small model of
-the calibrated log-odds scores every document.
+Each view has a logistic model. In every round each model scores all documents
+without a label, source by source the surest ones get its label, and the other
+model learns from them. On labelled documents kept aside both are calibrated,
+and a third small model of the calibrated log-odds scores every document. The
+views are computed once and written; the rounds read no text.
 """
 
 from __future__ import annotations
 
 import operator
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,11 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heldout.operators.durable import durable
+from heldout.operators.ranking import top_k
+
 from .registry import query
 
-#: Labelled and unlabelled documents that the models learn from, drawn by a hash of the id; hashed character features.
-LABELLED, POOL, BUCKETS = 12_000, 6_000, 64
-ROUNDS, TAKEN = 4, 0.02
+#: Labelled documents that the models learn from, drawn by a hash of the id; hashed character features.
+LABELLED, BUCKETS = 12_000, 64
+#: Rounds, and labels that a view hands over in each: the surest of all documents, but at most this share of them.
+ROUNDS, GIVEN, TAKEN = 4, 120, 0.02
 FIELDS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -123,28 +128,22 @@ class Blend:
         return np.clip(self.mix.raw(z), -12, 12) if self.mix else z[:, :2].mean(1)
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, taken: float = TAKEN) -> Blend:
+Views = tuple[np.ndarray, np.ndarray]
+#: What a view is sure of: the features that the other view sees, and the labels.
+Given = tuple[np.ndarray, np.ndarray]
+
+
+def co_train(views: Views, y: np.ndarray, surest: Callable[[list[Logistic], float], tuple[Given, Given]], rounds: int = ROUNDS) -> Blend:
     """Fit on two thirds of the labelled rows plus exchanged pseudo-labels; calibrate on the last third."""
     third = np.arange(len(y)) % 3 == 2
     if len(set(y[third])) < 2 or len(set(y[~third])) < 2:
         third = np.zeros(len(y), bool)
     own = [[(v[~third], y[~third])] for v in views]
-    free = np.ones(len(pool[0]), bool)
     models = [Logistic.fit(v[~third], y[~third]) for v in views]
     for _ in range(rounds):
-        given = []
-        for k in (0, 1):
-            at = np.flatnonzero(free)
-            odds = models[k].raw(pool[k][at])
-            many = max(1, int(taken * len(at) * y.mean())) if len(at) else 0
-            few = max(1, int(taken * len(at) * (1 - y.mean()))) if len(at) else 0
-            order = np.argsort(odds, kind="stable")
-            good, bad = at[order[len(order) - many :]], at[order[:few]]
-            given.append((np.r_[good, bad], np.r_[np.ones(len(good)), np.zeros(len(bad))]))
+        given = surest(models, y.mean())
         for k in (0, 1):  # what one is sure of teaches the other
-            rows, labels = given[1 - k]
-            own[k].append((pool[k][rows], labels))
-            free[rows] = False
+            own[k].append(given[1 - k])
         models = [Logistic.fit(np.concatenate([x for x, _ in o]), np.concatenate([t for _, t in o])) for o in own]
     for k, m in enumerate(models):
         m.calibrate(views[k][third] if third.any() else views[k], y[third] if third.any() else y)
@@ -154,31 +153,67 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
     return blend
 
 
-def _sample(docs: DataFrame, labels: DataFrame):
-    """Views of the bounded labelled and unlabelled samples, brought to the driver: at most about LABELLED + POOL rows."""
+WIDTHS = {"x": BUCKETS + 13, "m": 33}
+SEEN = "doc_id long, source string, some boolean, x binary, m binary, q int"
+
+
+def _stack(rows: list, c: str) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.float32).reshape(-1, WIDTHS[c]).astype(float)
+
+
+def seen(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Both views of every row, ``some`` for texts that are not empty, and ``q``, the label of the at most about LABELLED drawn ids."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    share = lambda n, most: F.lit(int((1 << 30) * min(1.0, most / max(1, n))))
-    draw = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30))
-    drawn = known.filter(draw < share(known.count(), LABELLED))
-    rows = docs.select(*[F.col(c) for c in FIELDS]).filter(F.col("doc_id").isNotNull())
+    share = int((1 << 30) * min(1.0, LABELLED / max(1, known.count())))
+    drawn = known.filter(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) < share)
     # size bound: LABELLED in the mean
-    labelled = rows.join(F.broadcast(drawn), "doc_id")
-    pool = rows.filter(F.pmod(F.xxhash64(F.lit("pool"), "doc_id"), F.lit(1 << 30)) < share(rows.count(), POOL)).join(F.broadcast(drawn), "doc_id", "left_anti").withColumn("_quality", F.lit(None).cast("int"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *FIELDS[1:]).join(F.broadcast(drawn), "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc, text, lang, source, n, quality in zip(*[b.column(i) for i in range(6)], strict=True):
-                x, m = _views(text.as_py(), lang.as_py(), source.as_py(), n.as_py())
-                out.append((doc.as_py(), x.astype(np.float32).tobytes(), m.astype(np.float32).tobytes(), quality.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.int32()))], names=["doc_id", "x", "m", "q"])
+            for start in range(0, b.num_rows, 500):
+                part = b.slice(start, 500)
+                texts = [t.as_py() for t in part.column(1)]
+                both = [_views(t, lang.as_py(), source.as_py(), n.as_py()) for t, lang, source, n in zip(texts, part.column(2), part.column(3), part.column(4), strict=True)]
+                x, m = (pa.array([v[k].astype(np.float32).tobytes() for v in both], pa.binary()) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array([bool(t) for t in texts]), x, m, part.column(5)], names=["doc_id", "source", "some", "x", "m", "q"])
+
+    return durable(rows.select(*FIELDS, F.col("_quality").cast("int").alias("q")).mapInArrow(run, SEEN))
 
-    both = labelled.select(*FIELDS, F.col("_quality").cast("int").alias("_quality")).unionByName(pool.select(*FIELDS, "_quality"))
-    got = sorted(both.mapInArrow(run, "doc_id long, x binary, m binary, q int").collect(), key=lambda r: (r["doc_id"], r["x"]))
-    stack = lambda rows, c, width: np.stack([np.frombuffer(r[c], np.float32) for r in rows]).astype(float) if rows else np.empty((0, width))
-    with_label, without = [r for r in got if r["q"] is not None], [r for r in got if r["q"] is None]
-    widths = {"x": BUCKETS + 13, "m": 33}
-    return tuple(stack(with_label, c, widths[c]) for c in "xm"), np.array([float(r["q"] > 0) for r in with_label]), tuple(stack(without, c, widths[c]) for c in "xm")
+
+def _exchange(free: DataFrame, free_rows: int) -> Callable[[list[Logistic], float], tuple[Given, Given]]:
+    """Rounds over all unlabelled rows: per view and label the surest of every source in turn; only their bounded number comes to the driver."""
+    used: list[tuple[int, int]] = []  # at most 2 x GIVEN a round
+    most = min(GIVEN, int(TAKEN * free_rows))
+
+    def surest(models: list[Logistic], good: float) -> tuple[Given, Given]:
+        wanted = (max(1, round(most * good)), max(1, round(most * (1 - good))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                odds = [models[k].raw(_stack(b.column(3 + k).to_pylist(), c)) for k, c in enumerate("xm")]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *[pa.array(o) for o in odds]], names=["doc_id", "mark", "source", "a", "b"])
+
+        done = free.sparkSession.createDataFrame(used, "doc_id long, mark long")
+        rows = free.join(F.broadcast(done), ["doc_id", "mark"], "left_anti")  # size bound: 2 x GIVEN a round
+        odds = rows.select("doc_id", "mark", "source", "x", "m").mapInArrow(run, "doc_id long, mark long, source string, a double, b double")
+        kinds = F.array(*[F.struct(F.lit(k).alias("view"), F.lit(label).alias("label"), (F.col(c) * sign).alias("far")) for k, c in enumerate("ab") for label, sign in ((1, -1.0), (0, 1.0))])
+        each = odds.select("doc_id", "mark", "source", F.explode(kinds).alias("k")).select("doc_id", "mark", "source", "k.*")
+        turn = top_k(each, ["view", "label", "source"], ["far", "doc_id", "mark"], max(wanted), "turn")
+        first = top_k(turn, ["view", "label"], ["turn", "far", "doc_id", "mark"], max(wanted), "place")
+        chosen = first.filter(F.col("place") <= F.when(F.col("label") == 1, wanted[0]).otherwise(wanted[1]))
+        listed = sorted(tuple(r) for r in chosen.select("view", "label", "place", "doc_id", "mark").collect())
+        ids = free.sparkSession.createDataFrame(sorted({r[3:] for r in listed}), "doc_id long, mark long")
+        found = {(r["doc_id"], r["mark"]): r for r in free.join(F.broadcast(ids), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).collect()}
+        used.extend(found)
+        mine = [[r for r in listed if r[0] == k] for k in (0, 1)]
+        return tuple((_stack([found[r[3:]]["mx"[k]] for r in mine[k]], "mx"[k]), np.array([float(r[1]) for r in mine[k]])) for k in (0, 1))
+
+    return surest
+
+
+def _none(models: list[Logistic], good: float) -> tuple[Given, Given]:
+    return (np.empty((0, WIDTHS["m"])), np.empty(0)), (np.empty((0, WIDTHS["x"])), np.empty(0))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -187,25 +222,27 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Documents without text score 0 and are not kept. Rows are scored one by
     one, so repeated rows agree; NULLs in other columns count as a value of
     their own or as 0. Labels may repeat (the lowest counts); if they lack a
-    class, all texts score one half.
+    class, all texts score one half. With fewer than 1 / TAKEN unlabelled rows
+    nothing is exchanged.
     """
-    views, y, pool = _sample(docs, labels)
-    blend = co_train(views, y, pool) if len(set(y)) == 2 else None
+    table = seen(docs, labels)
+    known = sorted(table.filter("q is not null").select("doc_id", "x", "m", "q").collect(), key=lambda r: (r["doc_id"], r["x"]))
+    views, y = tuple(_stack([r[c] for r in known], c) for c in "xm"), np.array([float(r["q"] > 0) for r in known])
+    free = table.filter("q is null and doc_id is not null").withColumn("mark", F.xxhash64("x", "m"))
+    blend = None
+    if len(set(y)) == 2:
+        n = free.count()
+        blend = co_train(views, y, _exchange(free, n) if TAKEN * n >= 1 else _none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start in range(0, b.num_rows, 500):
-                part = b.slice(start, 500)
-                texts = [t.as_py() for t in part.column(1)]
-                rows = [_views(t, lang.as_py(), source.as_py(), n.as_py()) for t, lang, source, n in zip(texts, part.column(2), part.column(3), part.column(4), strict=True)]
-                x, m = (np.stack([r[k] for r in rows]) for k in (0, 1))
-                odds = [blend.views[0].odds(x), blend.views[1].odds(m), blend.odds(x, m)] if blend else [np.zeros(len(rows))] * 3
-                some = np.array([bool(t) for t in texts])
-                p = [np.where(some, 1 / (1 + np.exp(-o)), 0.0) for o in odds]
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x) for x in p], pa.array(p[2] >= 0.5)], names=["doc_id", "text_score", "meta_score", "score", "kept"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *FIELDS[1:])
-    return rows.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, kept boolean")
+            x, m = (_stack(b.column(k).to_pylist(), c) for k, c in ((2, "x"), (3, "m")))
+            odds = [blend.views[0].odds(x), blend.views[1].odds(m), blend.odds(x, m)] if blend else [np.zeros(b.num_rows)] * 3
+            some = np.array(b.column(1).to_pylist(), bool)
+            p = [np.where(some, 1 / (1 + np.exp(-o)), 0.0) for o in odds]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x) for x in p], pa.array(p[2] >= 0.5)], names=["doc_id", "text_score", "meta_score", "score", "kept"])
+
+    return table.select("doc_id", "some", "x", "m").mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, kept boolean")
 
 
 @query("op8_cotraining", "documents", "labels")
