@@ -157,7 +157,7 @@ def _home_best(rows: DataFrame, item: str, kind: str) -> DataFrame:
     return rows.groupBy("ring").applyInPandas(run, f"`{item}` {kind}, known double")
 
 
-def visits(rows: DataFrame, rings: DataFrame, centres: np.ndarray, item: str) -> DataFrame:
+def visits(rows: DataFrame, rings: DataFrame, centres: np.ndarray, item: str, piece: int = 65_536) -> DataFrame:
     """(item, least, sketch, dims, rest, ring) of every ring that may hold a cosine of ``least`` or more with the item.
 
     The angle to a member is at least the difference of both angles to the member's home centre.
@@ -173,13 +173,16 @@ def visits(rows: DataFrame, rings: DataFrame, centres: np.ndarray, item: str) ->
             a = _angles(b["sketch"], centres)
             width = np.arccos(np.clip(b["least"].to_numpy() - SLACK, -1.0, 1.0))[:, None] + SLACK
             r, h = np.nonzero((a + width >= lo[None, :]) & (a - width <= hi[None, :]))
-            out = b.iloc[r].reset_index(drop=True)
-            out["to_home"], out["from_"], out["until"] = h.astype("int32"), (a - width)[r, h], (a + width)[r, h]
-            yield out
+            low, high, slim = a - width, a + width, b.drop(columns="sketch")
+            for p in range(0, len(r), piece):  # a vector may visit every centre
+                x, y = r[p : p + piece], h[p : p + piece]
+                out = slim.iloc[x].reset_index(drop=True)
+                out["to_home"], out["from_"], out["until"] = y.astype("int32"), low[x, y], high[x, y]
+                yield out
 
     names = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in (item, "least")]
     slim = rows.select(item, "least", "sketch")
-    each = slim.mapInPandas(run, ", ".join([*names, "sketch array<double>", "to_home int", "from_ double", "until double"])).drop("sketch")
+    each = slim.mapInPandas(run, ", ".join([*names, "to_home int", "from_ double", "until double"]))
     table = rings.select("ring", F.col("home").alias("to_home"), F.col("least").alias("_lo"), F.col("most").alias("_hi"))
     return each.join(small(table), "to_home").filter("until >= _lo and from_ <= _hi").select(item, "ring")
 
@@ -226,16 +229,24 @@ def closest_pair(weights: DataFrame, item: str, feature: str, weight: str) -> Da
     return best.agg(F.max_by(F.struct("i", "j", "cosine"), F.struct("cosine", -F.col("i"), -F.col("j"))).alias("_b")).select("_b.*")
 
 
-def neighbour_profile(weights: DataFrame, items: DataFrame, item: str, feature: str, weight: str, copies: str, threshold: float, all_rows: bool = False) -> DataFrame:
+def neighbour_profile(weights: DataFrame, items: DataFrame, item: str, feature: str, weight: str, copies: str, threshold: float, all_rows: bool = False, nearest_of_all: bool = False) -> DataFrame:
     """Per item: how many other items lie above the threshold, their copies, the nearest cosine, and pairs looked at.
 
     Exact; items without any other above the threshold have no row
-    unless ``all_rows`` asks for those that looked at some. No pair leaves its
+    unless ``all_rows`` asks for those that looked at some. With
+    ``nearest_of_all`` every item that shares a feature with another one has
+    its row and the cosine of its nearest one, however far; the best in its own ring bounds
+    that search from below. No pair leaves its
     task, so a large group of near copies costs arithmetic, not rows.
     """
     kind = weights.schema[item].dataType.simpleString()
     rows, rings, centres = ringed(sketches(weights, item, feature, weight), item)
-    rows = durable(rows.join(items.select(item, copies), item).withColumn("least", F.lit(threshold)))
+    least = F.lit(float(threshold))
+    if nearest_of_all:
+        # 0 is the least that a pair without a shared feature has
+        rows = rows.join(_home_best(rows, item, kind), item)
+        least = F.least(least, F.greatest(F.col("known") - SLACK, F.lit(0.0)))
+    rows = durable(rows.join(items.select(item, copies), item).withColumn("least", least).drop("known"))
 
     def kernel(a, c):
         cols = [item, "similar_items", "similar_weight", "nearest", "looked"]
@@ -250,4 +261,6 @@ def neighbour_profile(weights: DataFrame, items: DataFrame, item: str, feature:
 
     part = _meet(rows, rings, centres, item, kernel, f"`{item}` {kind}, similar_items long, similar_weight long, nearest double, looked long")
     out = part.groupBy(item).agg(F.sum("similar_items").alias("similar_items"), F.sum("similar_weight").alias("similar_weight"), F.max("nearest").alias("nearest"), F.sum("looked").alias("looked"))
+    if nearest_of_all:
+        return out.filter("nearest > 0")
     return out if all_rows else out.filter("similar_items > 0")

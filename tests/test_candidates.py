@@ -149,3 +149,27 @@ def test_clustered_pool_skips_block_pairs(spark, threshold):
     _, table = cd.pivot_blocks(df, ["s"], "id", "n", "v", block=10)
     share = {r.decision: r["count"] for r in cd.block_pairs(table, ["s"], threshold).groupBy("decision").count().collect()}
     assert share["open"] < 0.25 * sum(share.values()) and share["below"] and share["above"], share
+
+
+def test_nearest_of_all_far_items(spark):
+    """Every item that shares a feature learns its nearest one, also far below the threshold; one that shares none has no row."""
+    rng = np.random.default_rng(8)
+    m = rng.random((60, 200)) * (rng.random((60, 200)) < 0.08)
+    m[7], m[7, 199], m[:7, 199], m[8:, 199] = 0, 1.0, 0, 0
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    items = spark.range(60).select("id", F.lit(2).cast("long").alias("copies"))
+    got = {r.id: r.nearest for r in sm.neighbour_profile(_vectors(spark, m), items, "id", "f", "w", "copies", 0.9, nearest_of_all=True).collect()}
+    cos = m @ m.T - 2 * np.eye(60)
+    want = {i: cos[i].max() for i in range(60) if cos[i].max() > 0}
+    assert 7 not in want and max(want.values()) < 0.9
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_visits_leave_in_pieces(spark):
+    """The hits of a batch leave its task in pieces of a given size, without sketches; pieces change no visit."""
+    m = np.random.default_rng(9).random((300, 160))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    rows, rings, centres = sm.ringed(sm.sketches(_vectors(spark, m), "id", "f", "w"), "id")
+    rows = rows.withColumn("least", F.lit(0.0))
+    a, b = (sm.visits(rows, rings, centres, "id", piece=p) for p in (7, 65_536))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
