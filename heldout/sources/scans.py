@@ -56,6 +56,21 @@ def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFra
     return files.select(_below(path, F.col("path")).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def table_manifest(files: DataFrame, suffix: str) -> DataFrame:
+    """Manifest of tables from that of their files: a table is a file, or a folder of part files, whose name ends with ``suffix``.
+
+    A table of one file keeps that file's hash; a folder has the bytes of all its parts and the hash of their names, sizes and hashes in order.
+    """
+    table = F.regexp_extract("name", "^(.*?" + re.escape(suffix) + ")(?:/|$)", 1)
+    part = F.substring(F.col("name"), F.length("_t") + 2, F.length("name"))
+    rows = files.select(F.when(table == "", F.col("name")).otherwise(table).alias("_t"), "name", "bytes", "sha256").select("*", part.alias("_p"))
+    one = F.struct("_p", "bytes", "sha256")
+    packed = rows.groupBy("_t").agg(F.sum("bytes").alias("bytes"), F.array_sort(F.collect_list(one)).alias("_f"))  # one small entry a file
+    lines = F.transform("_f", lambda f: F.concat_ws("|", f["_p"], f["bytes"].cast("string"), f["sha256"]))
+    alone = (F.size("_f") == 1) & (F.col("_f")[0]["_p"] == "")
+    return packed.select(F.col("_t").alias("name"), "bytes", F.when(alone, F.col("_f")[0]["sha256"]).otherwise(F.sha2(F.array_join(lines, "\n"), 256)).alias("sha256"))
+
+
 def reconcile(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     """Status of each file: missing, wrong size, wrong hash or verified, or not in the manifest."""
     o = listing.select("name", F.col("bytes").alias("_b"), F.col("sha256").alias("_s"))

@@ -214,3 +214,22 @@ def test_fold_violations_equal_those_of_the_roles(spark):
     members, cell = {"subject": "subject_id", "stimulus": "stimulus_id"}, ["cell_subject", "cell_text"]
     key = lambda df: sorted((r.cell_subject, r.cell_text, r.rule, r.violations) for r in df.collect())
     assert key(au.fold_violations(a, records, "record_id", members, 4, 3)) == key(au.role_violations(cell_roles(a, 4, 3), records, cell, "record_id", members))
+
+
+def test_table_manifest_takes_a_folder_of_parts_as_one_table(spark, tmp_path):
+    from heldout.sources import scans
+
+    (tmp_path / "b.parquet").mkdir()
+    for name, text in (("a.parquet", "one"), ("b.parquet/p0.parquet", "two"), ("b.parquet/p1.parquet", "three")):
+        (tmp_path / name).write_text(text)
+
+    def manifest():
+        files = scans.file_manifest(spark, str(tmp_path), "*.parquet")
+        return files, {r["name"]: (r["bytes"], r["sha256"]) for r in scans.table_manifest(files, ".parquet").collect()}
+
+    files, first = manifest()
+    assert first["a.parquet"] == tuple(files.filter("name = 'a.parquet'").select("bytes", "sha256").first())
+    assert {k: v[0] for k, v in first.items()} == {"a.parquet": 3, "b.parquet": 8}
+    (tmp_path / "b.parquet/p1.parquet").write_text("thr33")
+    _, second = manifest()
+    assert second["b.parquet"][0] == 8 and second["b.parquet"] != first["b.parquet"] and second["a.parquet"] == first["a.parquet"]
