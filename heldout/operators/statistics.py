@@ -145,6 +145,24 @@ def permutation_null(df: DataFrame, row: str, block: str, truth: str, prediction
     return every.join(per, "draw", "left").select("draw", F.coalesce("recall", F.lit(0.0)).alias("recall"))
 
 
+def shuffled_labels_null(df: DataFrame, row: str, block: str, truth: str, prediction: str, draws: int, seed) -> DataFrame:
+    """Balanced recall of fixed predictions when every row's label is dealt anew inside its block, one row per draw.
+
+    The class sizes of the unshuffled labels stay the denominators. The labels of
+    a block go in order of the hash of (seed, draw, row) to its predictions in
+    order of the row; a large block is ranked by range, not in one task.
+    """
+    rows = df.select(block, F.col(truth).alias("_label"), F.col(row).alias("_r")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    dealt = positions(rows.withColumn("_h", F.unhex(sha256(F.lit(seed), "draw", "_r"))), ["draw", block], ["_h", "_r"], "_p").select("draw", block, "_p", "_label")
+    slots = positions(df.select(row, block, prediction), [block], [row], "_p").select(block, "_p", prediction)
+    hit = dealt.join(slots, [block, "_p"]).filter(F.col("_label") == F.col(prediction)).groupBy("draw", "_label").agg(F.count(F.lit(1)).alias("_hits"))
+    sizes = df.groupBy(F.col(truth).alias("_label")).agg(F.count(F.lit(1)).alias("_size"))
+    classes = sizes.count()
+    per = hit.join(sizes, "_label").groupBy("draw").agg((F.sum(F.col("_hits") / F.col("_size")) / classes).alias("recall"))
+    every = df.sparkSession.range(draws).select(F.col("id").cast("int").alias("draw"))
+    return every.join(per, "draw", "left").select("draw", F.coalesce("recall", F.lit(0.0)).alias("recall"))
+
+
 def null_threshold(df: DataFrame, nulls: list[str], prob: float = 0.95) -> DataFrame:
     """Upper quantile of all pairwise null differences, both columns of each pair in order."""
     pairs = [F.col(a) - F.col(b) for i, a in enumerate(nulls) for b in nulls[i + 1:]]

@@ -92,9 +92,15 @@ PERM = PREDICTIONS + """, dr as (select unnest(range(100)) d), bl as (select sou
  rc as (select d, sum(hits / n) / (select count(*) from sz) recall from h join sz using (quality) group by 1)"""
 
 
-@query("permutation_null", "with " + PERM + """ select count(*)::bigint draws, round(quantile_cont(r, 0.95), 6) q95, round(avg(r), 6) mean_recall from (select coalesce(recall, 0) r from dr left join rc using (d))""")
+SHUFFLED = PREDICTIONS + """, dr as (select unnest(range(100)) d), sh as (select d, source, quality, row_number() over (partition by d, source order by sha256(concat_ws('|', 20260813, d, doc_id)), doc_id) p from preds, dr),
+ sl as (select source, prediction, row_number() over (partition by source order by doc_id) p from preds), sz as (select quality, count(*)::double n from preds group by 1),
+ h as (select d, quality, count(*) hits from sh join sl using (source, p) where quality = prediction group by 1, 2),
+ rc as (select d, sum(hits / n) / (select count(*) from sz) recall from h join sz using (quality) group by 1)"""
+
+
+@query("permutation_null", "with " + SHUFFLED + """ select count(*)::bigint draws, round(quantile_cont(r, 0.95), 6) q95, round(avg(r), 6) mean_recall from (select coalesce(recall, 0) r from dr left join rc using (d))""")
 def permutation_null(t):
-    p = st.permutation_null(predictions(t), "doc_id", "source", "quality", "prediction", 100, SEED)
+    p = st.shuffled_labels_null(predictions(t), "doc_id", "source", "quality", "prediction", 100, SEED)
     return p.agg(F.count(F.lit(1)).alias("draws"), r6(F.percentile("recall", F.lit(0.95)), "q95"), r6(F.avg("recall"), "mean_recall"))  # one value per draw
 
 

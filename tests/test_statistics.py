@@ -194,3 +194,21 @@ def test_permutation_null_matches_shuffles(spark):
             s[b == x] = rng.permutation(s[b == x])
         ref.append(np.mean([np.mean(p[s == k] == k) for k in range(3)]))
     assert abs(a.mean() - np.mean(ref)) < 0.006 and abs(np.quantile(a, 0.95) - np.quantile(ref, 0.95)) < 0.012
+
+
+def test_shuffled_labels_null_deals_every_row(spark):
+    """Each draw equals labels dealt row by row in hash order."""
+    import hashlib
+
+    rng = np.random.default_rng(4)
+    rows = [(i, "ab"[int(rng.integers(2))], int(rng.integers(3)), int(rng.integers(3))) for i in range(80)]
+    got = st.shuffled_labels_null(spark.createDataFrame(rows, "r int, b string, y int, p int"), "r", "b", "y", "p", 20, 7).orderBy("draw").toPandas()["recall"]
+    size = {y: sum(r[2] == y for r in rows) for y in range(3)}
+    for d in range(20):
+        hits = dict.fromkeys(size, 0)
+        for b in "ab":
+            mine = [r for r in rows if r[1] == b]
+            dealt = sorted(mine, key=lambda r: (hashlib.sha256(f"7|{d}|{r[0]}".encode()).hexdigest(), r[0]))
+            for x, slot in zip(dealt, mine):
+                hits[x[2]] += x[2] == slot[3]
+        assert abs(got[d] - sum(hits[y] / size[y] for y in size) / 3) < 1e-12
