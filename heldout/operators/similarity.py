@@ -124,6 +124,9 @@ def _rest_products(a: pd.DataFrame, c: pd.DataFrame, r: np.ndarray, k: np.ndarra
             return m
 
         x, y = dense(ra, da, wa, len(used_a)), dense(rc, dc, wc, len(used_c))
+        if 4 * len(r) > len(used_a) * len(used_c):  # most pairs: one matrix product is less work
+            out += (x @ y.T)[at, ct]
+            continue
         for p in range(0, len(r), pairs):
             out[p : p + pairs] += np.einsum("ij,ij->i", x[at[p : p + pairs]], y[ct[p : p + pairs]])
     return out
