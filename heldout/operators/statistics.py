@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_index, sha256
-from .durable import durable
+from .durable import durable, small
 from .ranking import average_ranks, exact_quantiles, neighbours, positions, value_ranks
 
 
@@ -28,13 +28,12 @@ def bootstrap_draws(values: DataFrame, entity: str, value: str, draws: int, seed
 
     Entities, never rows, are resampled: give one row per entity.
     """
-    ranked = durable(positions(values.select(entity, value), [], [entity], "_i"))
+    ranked = small(positions(values.select(entity, value), [], [entity], "_i").select("_i", value), rows=2_000_000)
     n = ranked.count()
-    slots = ranked.select(F.col("_i").alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    picked = slots.withColumn("_i", hash_index(n, F.lit(seed), "draw", "_s"))
-    # the same entity drawn several times merges before the join
-    times = picked.groupBy("draw", "_i").agg(F.count(F.lit(1)).alias("_c"))
-    return times.join(ranked, "_i").groupBy("draw").agg((F.sum(F.col(value) * F.col("_c")) / n).alias("estimate"))
+    # every task makes an even share of the places of all draws; after the join one sum per draw leaves it
+    slots = values.sparkSession.range(n * draws).select((F.col("id") % draws).cast("int").alias("draw"), F.expr(f"id div {draws}").alias("_s"))
+    picked = slots.select("draw", hash_index(n, F.lit(seed), "draw", "_s").alias("_i"))
+    return picked.join(ranked, "_i").groupBy("draw").agg((F.sum(value) / n).alias("estimate"))
 
 
 def cluster_bootstrap(values: DataFrame, entity: str, value: str, draws: int, seed, estimate: DataFrame | None = None) -> DataFrame:

@@ -212,3 +212,15 @@ def test_shuffled_labels_null_deals_every_row(spark):
             for x, slot in zip(dealt, mine):
                 hits[x[2]] += x[2] == slot[3]
         assert abs(got[d] - sum(hits[y] / size[y] for y in size) / 3) < 1e-12
+
+
+def test_bootstrap_draws_keep_one_sum_per_draw(spark):
+    """Draws are not merged per entity before the join: that table has entities x draws groups. Values equal the hash draws."""
+    import hashlib
+
+    values = [float(i * i % 17) for i in range(30)]
+    d = st.bootstrap_draws(spark.createDataFrame([(f"e{i:02d}", v) for i, v in enumerate(values)], "e string, v double"), "e", "v", 12, 5)
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+    got = {r["draw"]: r["estimate"] for r in d.collect()}
+    pick = lambda k, s: values[int(hashlib.sha256(f"5|{k}|{s}".encode()).hexdigest()[:15], 16) % 30]
+    assert got.keys() == set(range(12)) and all(abs(got[k] - sum(pick(k, s) for s in range(30)) / 30) < 1e-12 for k in got)
