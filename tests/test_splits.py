@@ -96,3 +96,11 @@ def test_inner_crossings_without_copies(spark, records):
             got = splits.inner_crossings(df, folds, member, 3)
             assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert splits.inner_crossings(spoiled, folds, "stimulus_id", 3).count() == 1
+
+
+def test_cell_role_totals_equal_the_role_table(spark, records):
+    a = splits.joint_split(records, seed=1, dataset="d", task="t")["assigned"].localCheckpoint()
+    want = splits.cell_roles(a, 6, 5).groupBy("cell_subject", "cell_text", "role").agg(
+        F.count_distinct("subject_id"), F.count_distinct("stimulus_id"), F.sum("trials"))
+    got = splits.cell_role_totals(a, 6, 5, {"subjects": "subject_id", "stimuli": "stimulus_id"}, "trials")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
