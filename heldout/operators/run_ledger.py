@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .audit import STAGE_TYPES
-from .profiles import n_rows
+from .durable import durable, small
+from .profiles import count_when, n_rows
 
 KINDS = ("fit", "selection", "outer_test_read", "calibration")
 
@@ -41,8 +42,9 @@ def validate_run_ledger(runs: DataFrame, stages: DataFrame, ids: DataFrame, oute
         F.when(blank("run_id"), "RUN_ID_EMPTY"), *_binding_errors(F.col("inputs"), expected, "RUN")])
     empty = runs.join(stages.select("run_id").distinct(), "run_id", "left_anti").select("run_id", none, F.lit("NO_STAGES").alias("error"))
 
-    outer = outer_roles.select("outer_cell").distinct().withColumn("_outer", F.lit(True))
-    inner = inner_roles.select("outer_cell", "inner_cell").distinct().withColumn("_inner", F.lit(True))
+    number = F.monotonically_increasing_id()
+    outer = small(outer_roles.select("outer_cell").distinct().withColumn("_outer", number))
+    inner = small(inner_roles.select("outer_cell", "inner_cell").distinct().withColumn("_inner", number))
     s = stages.join(outer, "outer_cell", "left").join(inner, ["outer_cell", "inner_cell"], "left")
     wrong = F.col("inner_cell").isNotNull() & F.col("_inner").isNull()
     body = _listed(s, ["run_id", "stage"], [
@@ -50,21 +52,32 @@ def validate_run_ledger(runs: DataFrame, stages: DataFrame, ids: DataFrame, oute
         F.when(F.col("_outer").isNull(), "UNKNOWN_OUTER_CELL"),
         *[F.when(F.col("_outer").isNotNull(), e) for e in (F.when(wrong, "UNKNOWN_OR_WRONG_PARENT_INNER_CELL"), *_binding_errors(F.col("inputs"), expected, "STAGE"))]])
 
-    open_ = s.filter("_outer").select("run_id", "stage", "stage_type", "outer_cell", F.when(F.col("_inner"), F.col("inner_cell")).alias("inner_cell"))
-    each = ids.groupBy("run_id", "stage", "kind", "record_id").agg(n_rows().alias("_n")).join(open_, ["run_id", "stage"])
-    o = outer_roles.select("outer_cell", "record_id", F.col("role").alias("_or"))
-    i = inner_roles.select("outer_cell", "inner_cell", "record_id", F.col("role").alias("_ir"))
-    j = each.join(o, ["outer_cell", "record_id"], "left").join(i, ["outer_cell", "inner_cell", "record_id"], "left")
-    kind, is_ = F.col("kind"), lambda c, v: F.coalesce(F.col(c) == v, F.lit(False))
+    # ids meet their stages by broadcast and the roles by numbers of cells, so no stage's ids are brought together
+    open_ = small(s.filter("_outer is not null").select("run_id", "stage", "stage_type", "_outer", "_inner", number.alias("_s")))
+    kind = F.col("kind")
+    known = F.coalesce(kind.isin(*KINDS), F.lit(False))
+    counts = [count_when(kind == k).alias(f"_{k}") for k in KINDS]
+    each = ids.join(open_.select("run_id", "stage", "_s"), ["run_id", "stage"]).withColumn("_other", F.when(~known, kind))
+    each = durable(each.groupBy("_s", "record_id", "_other").agg(*counts, count_when(~known).alias("_unknown")))
+    mixed = each.filter("_fit > 0 and _selection > 0").groupBy("_s").agg(n_rows().alias("records")).join(open_.select("_s", "run_id", "stage"), "_s")
+    mixed = mixed.select("run_id", "stage", F.lit("INNER_VALIDATION_ENTERS_FIT").alias("error"), "records")
+    o = outer_roles.join(outer, "outer_cell").select("_outer", "record_id", F.col("role").alias("_or"))
+    i = inner_roles.join(inner, ["outer_cell", "inner_cell"]).select("_inner", "record_id", F.col("role").alias("_ir"))
+    j = each.join(open_.select("_s", "_outer", "_inner"), "_s").join(o, ["_outer", "record_id"], "left").join(i, ["_inner", "record_id"], "left")
+    is_ = lambda c, v: F.coalesce(F.col(c) == v, F.lit(False))
+    entry = lambda k, n: F.when(F.col(n) > 0, F.struct(k.alias("kind"), F.least(n, F.lit(2).cast("long")).alias("n")))
+    entries = F.array_compact(F.array(*[entry(F.lit(k), f"_{k}") for k in KINDS], entry(F.col("_other"), "_unknown")))
+    # what a listed id breaks is told by these few values, so equal ones are counted before a rule is looked at
+    alike = j.groupBy("_s", blank("record_id").alias("_blank"), "_or", "_ir", entries.alias("_e")).agg(n_rows().alias("records"))
+    alike = alike.join(open_.select("_s", "run_id", "stage", "stage_type", "_inner"), "_s")
     fit, selection, scoring = kind == "fit", kind == "selection", F.coalesce(F.col("stage_type"), F.lit("")) == "final_scoring"
-    legal_fit = F.when(F.col("inner_cell").isNotNull(), is_("_ir", "train")).otherwise(is_("_or", "train"))
-    listed = _listed(j, ["run_id", "stage"], [
-        F.when(blank("record_id"), "EMPTY_ID"), F.when(F.col("_n") > 1, "REPEATED_ID"), F.when(~kind.isin(*KINDS), "UNKNOWN_KIND"),
+    legal_fit = F.when(F.col("_inner").isNotNull(), is_("_ir", "train")).otherwise(is_("_or", "train"))
+    listed = _listed(alike.select("*", F.explode("_e").alias("_k")).select("*", "_k.kind", "_k.n"), ["run_id", "stage", "records"], [
+        F.when(F.col("_blank"), "EMPTY_ID"), F.when(F.col("n") > 1, "REPEATED_ID"), F.when(~kind.isin(*KINDS), "UNKNOWN_KIND"),
         F.when(fit & ~legal_fit, "FIT_OUTSIDE_TRAIN"), F.when(selection & ~is_("_ir", "validation"), "SELECTION_OUTSIDE_INNER_VALIDATION"),
         F.when((fit | selection) & is_("_or", "test"), "OUTER_TEST_IN_FIT_OR_SELECTION"), F.when(kind == "calibration", "TEST_TIME_CALIBRATION"),
         F.when(scoring & (fit | selection), "FINAL_SCORING_FITS_OR_SELECTS"), F.when(scoring & (kind == "outer_test_read") & ~is_("_or", "test"), "FINAL_SCORING_READS_NON_TEST"),
         F.when(~scoring & (kind == "outer_test_read"), "OUTER_TEST_READ_EARLY")])
-    both = each.filter(fit | selection).groupBy("run_id", "stage", "record_id").agg(F.count_distinct("kind").alias("_k")).filter("_k > 1")
-    mixed = both.select("run_id", "stage", F.lit("INNER_VALIDATION_ENTERS_FIT").alias("error"))
-    faults = head.unionByName(empty).unionByName(body).unionByName(listed).unionByName(mixed)
-    return faults.groupBy("run_id", "stage", "error").agg(n_rows().alias("records"))
+    single = [x.withColumn("records", F.lit(1).cast("long")) for x in (head, empty, body)]
+    faults = single[0].unionByName(single[1]).unionByName(single[2]).unionByName(listed).unionByName(mixed)
+    return faults.groupBy("run_id", "stage", "error").agg(F.sum("records").alias("records"))

@@ -4,6 +4,7 @@ import copy
 
 import pytest
 
+from heldout.operators import run_ledger
 from heldout.operators.run_ledger import validate_run_ledger
 
 HASHES = {"split": "a1", "protocol": "b2"}
@@ -72,3 +73,24 @@ def found(spark):
 @pytest.mark.parametrize("name", CASES)
 def test_mutation(found, name):
     assert found.get(name, set()) == CASES[name][1]
+
+
+def test_ids_of_a_stage_are_not_brought_together(spark):
+    """Stages are broadcast: no exchange of the ids is dealt by run and stage alone, however large the roles are."""
+    ids = spark.range(100).selectExpr("'a' run_id", "0L stage", "'fit' kind", "cast(id as string) record_id")
+    roles = ids.selectExpr("'o' outer_cell", "record_id", "'test' role")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans, small_ = [], run_ledger.durable
+    try:
+        run_ledger.durable = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or small_(df)
+        out = validate_run_ledger(
+            spark.createDataFrame([("a", 1, "d", HASHES)], "run_id string, schema_version int, dataset string, inputs map<string,string>"),
+            spark.createDataFrame([("a", 0, "model_fit", "o", None, HASHES)], "run_id string, stage long, stage_type string, outer_cell string, inner_cell string, inputs map<string,string>"),
+            ids, roles, roles.selectExpr("outer_cell", "'i' inner_cell", "record_id", "role"), HASHES, 1, "d")
+        got = {(r.error, r.records) for r in out.collect()}
+    finally:
+        run_ledger.durable = small_
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {("FIT_OUTSIDE_TRAIN", 100), ("OUTER_TEST_IN_FIT_OR_SELECTION", 100)}
+    assert plans and all("SortMergeJoin [run_id" not in p for p in plans)
