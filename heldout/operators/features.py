@@ -95,6 +95,28 @@ def window_signals(df: DataFrame, record: str, value: str) -> DataFrame:
     return packed.select(record, "window_start", F.transform("_s", lambda s: s["x"]).alias("signal"))
 
 
+def sparse_window_signals(df: DataFrame, record: str, at: str, value: str, length: int, width: int, stride: int) -> DataFrame:
+    """``window_signals`` of all complete windows of records of ``length`` samples, of which ``df`` holds those that are not zero, one row each.
+
+    A record's samples travel once and the zeros not at all; samples at NULL or outside the record are left out, the record stays.
+    """
+    starts = range(0, length - width + 1, stride)
+
+    @F.pandas_udf("array<array<double>>")
+    def dense(ats: pd.Series, xs: pd.Series) -> pd.Series:
+        out = []
+        for places, x in zip(ats, xs, strict=True):
+            whole = np.zeros(length)
+            whole[np.asarray(places, int)] = x
+            out.append([whole[s:s + width] for s in starts])
+        return pd.Series(out, dtype=object)
+
+    inside = F.col(record).isNotNull() & F.col(at).between(0, length - 1) & F.col(value).isNotNull()
+    packed = df.groupBy(record).agg(F.collect_list(F.when(inside, F.struct(F.col(at).cast("int").alias("at"), F.col(value).cast("double").alias("x")))).alias("_s"))
+    signals = packed.select(record, F.posexplode(dense("_s.at", "_s.x")).alias("_w", "signal"))
+    return signals.select(record, (F.col("_w") * stride).cast("long").alias("window_start"), "signal")
+
+
 def band_power(df: DataFrame, signal: str, bands: list[tuple[float, float]], rate: float, out: str = "power") -> DataFrame:
     """Power in half-open bands: demean, Hann window, FFT padded to at least 512, summed density."""
     if rate <= 2 * max(hi for _, hi in bands):

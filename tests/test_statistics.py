@@ -224,3 +224,21 @@ def test_bootstrap_draws_keep_one_sum_per_draw(spark):
     got = {r["draw"]: r["estimate"] for r in d.collect()}
     pick = lambda k, s: values[int(hashlib.sha256(f"5|{k}|{s}".encode()).hexdigest()[:15], 16) % 30]
     assert got.keys() == set(range(12)) and all(abs(got[k] - sum(pick(k, s) for s in range(30)) / 30) < 1e-12 for k in got)
+
+
+def test_sparse_windows_equal_the_dense_ones(spark):
+    rows = [(1, 0, 1.5), (1, 5, 2.0), (1, 9, 3.0), (2, 3, -1.0), (2, 12, 8.0), (2, None, 4.0), (3, 40, 7.0), (None, 2, 6.0)]
+    df = spark.createDataFrame(rows, "u int, h int, v double")
+    sums = df.filter("u is not null").withColumnRenamed("v", "w")
+    grid = df.select("u").distinct().withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(9)))).join(sums, ["u", "h"], "left").select("u", "h", F.coalesce("w", F.lit(0.0)).alias("v"))
+    want = ft.window_signals(ft.complete_windows(grid, "u", "h", F.lit(10), 4, 2), "u", "v")
+    key = lambda d: sorted((str(r.u), r.window_start, r.signal) for r in d.collect())
+    got = ft.sparse_window_signals(df, "u", "h", "v", 10, 4, 2)
+    assert got.dtypes == want.dtypes and key(got) == key(want) and len(key(got)) == 16
+
+
+def test_sparse_windows_shuffle_no_zeros(spark):
+    """A record of one sample sends one row, however long it is."""
+    df = spark.createDataFrame([(1, 3, 2.0)], "u int, h int, v double")
+    plan = ft.sparse_window_signals(df, "u", "h", "v", 720, 48, 24)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("explode(") < plan.index("Exchange hashpartitioning(u") and plan.count("Exchange") == 1 and "Join" not in plan
