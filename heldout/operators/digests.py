@@ -45,8 +45,9 @@ def verify_digests(expected: DataFrame, observed: DataFrame, name: str, value: s
 
 
 def _sums(df: DataFrame, group: list[str]) -> DataFrame:
-    """Additive parts of a digest: rows and eight word sums of column ``digest``."""
-    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(_word(F.col("digest"), i)).alias(f"w{i}") for i in range(8)])
+    """Additive parts of a digest: rows and eight word sums of column ``digest``, as long numbers; a group holds less than 2^31 rows."""
+    word = lambda i: F.conv(F.substring("digest", 8 * i + 1, 8), 16, 10).cast("long")
+    return df.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(word(i)).alias(f"w{i}") for i in range(8)])
 
 
 def digest_tree(df: DataFrame, key: list[str], levels: tuple[int, ...] = (1, 3, 5)) -> tuple[DataFrame, dict[int, DataFrame]]:
@@ -58,7 +59,7 @@ def digest_tree(df: DataFrame, key: list[str], levels: tuple[int, ...] = (1, 3,
     rows = durable(df.select(*key, F.substring(sha256(*key), 1, max(levels)).alias("place"), row_digest(df.columns).alias("digest")))
     tree, below = {}, durable(_sums(rows, ["place"]))
     for level in sorted(levels, reverse=True):
-        parts = [F.sum(c).alias(c) for c in ("rows", *[f"w{i}" for i in range(8)])]
+        parts = [F.sum("rows").alias("rows"), *[F.sum(F.col(f"w{i}").cast("decimal(38,0)")).alias(f"w{i}") for i in range(8)]]
         below = tree[level] = durable(below.groupBy(F.substring("place", 1, level).alias("place")).agg(*parts))
     return rows, tree
 

@@ -19,3 +19,9 @@ def test_levels_add_up(spark):
     _, levels = dg.digest_tree(spark.createDataFrame([(i, "x") for i in range(300)], "id long, v string"), ["id"], (1, 2, 4))
     assert [levels[n].agg({"rows": "sum"}).first()[0] for n in (1, 2, 4)] == [300] * 3
     assert levels[1].count() == 16
+
+
+def test_words_of_a_leaf_are_summed_as_long_numbers(spark):
+    df = spark.createDataFrame([("a", "f" * 64), ("a", "f" * 64)], "place string, digest string")
+    out = dg._sums(df, ["place"])
+    assert dict(out.dtypes)["w0"] == "bigint" and out.first()["w7"] == 2 * (2**32 - 1)
