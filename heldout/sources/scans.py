@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.durable import durable
 from ..operators.ranking import positions
 
+#: Names of files that the line reader unpacks, and the bytes it leaves out at a file's start.
+PACKED, BOM = r"(?i)\.(gz|gzip|bz2|deflate|lz4|snappy|zstd?|passthrough)$", b"\xef\xbb\xbf"
+
 
 def _below(root: str, path: Column) -> Column:
     """The part of a file's path below ``root``; files of one name in two folders stay apart."""
@@ -50,10 +58,75 @@ def signature_counts(df: DataFrame, *signature: Column) -> DataFrame:
     return df.groupBy(*signature).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _run_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(run, sha256) of lines that follow one another in a file; no hash where they do not make the file's size.
+
+    Each ``line`` ends with a line feed, which the file's last one may lack, and
+    a byte order mark at a file's start is missing; its size tells both.
+    """
+    at = size = None
+
+    def done():
+        out = [h for h, more in ((plain, 0), (marked, 3)) if total + more in (size, size + 1)]
+        if out and total + (3 if out[0] is marked else 0) == size:
+            out[0].update(b"\n")
+        return pa.RecordBatch.from_pydict({"run": pa.array([at], pa.int64()), "sha256": pa.array([out[0].hexdigest() if out else None], pa.string())})
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        runs, sizes, lines = batch.column(0).to_numpy(), batch.column(1), batch.column(2).cast(pa.large_binary())
+        ends = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1]
+        content = memoryview(lines.buffers()[2])
+        cuts = [0, *(np.flatnonzero(runs[1:] != runs[:-1]) + 1), len(runs)]
+        for first, last in zip(cuts[:-1], cuts[1:]):
+            if runs[first] != at:
+                if at is not None:
+                    yield done()
+                at, size, total = int(runs[first]), sizes[int(first)].as_py(), 0
+                plain, marked = hashlib.sha256(), hashlib.sha256(BOM)
+            piece = content[ends[first] : ends[last]]
+            for h in (plain, marked):
+                if total:
+                    h.update(b"\n")
+                h.update(piece[:-1])
+            total += len(piece)
+    if at is not None:
+        yield done()
+
+
 def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Path below the folder (``name``), size and SHA-256 of every file there; a file is read as one value, so below 2 GB."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select(_below(path, F.col("path")).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """Path below the folder (``name``), size and SHA-256 of every file there.
+
+    A hash is one chain, so one task reads a file, but line by line: no file is
+    a value, and only a line has to stay below 2 GB. Files with names that the line
+    reader would unpack are read as one value each, as are those that did not come out whole.
+    """
+    under = lambda kind, **more: spark.read.format(kind).options(pathGlobFilter=pattern, recursiveFileLookup="true", **more).load(path)
+    at = F.col("_metadata.file_path")
+    values = under("binaryFile")
+    files = durable(values.select(at.alias("_at"), _below(path, F.col("path")).alias("name"), F.col("length").alias("bytes")))
+    run = lambda file, start: F.xxhash64(file, start.cast("long"))
+    lines = under("text", lineSep="\n").filter(~at.rlike(PACKED)).select(
+        run(at, F.col("_metadata.file_block_start")).alias("run"), F.col("_metadata.file_size").cast("long").alias("size"), F.concat(F.col("value").cast("binary"), F.lit(b"\n")).alias("line"))
+    # no file is cut, and small ones share a task
+    whole = {"spark.sql.files.maxPartitionBytes": f"{files.agg(F.max('bytes')).first()[0] or 1}b", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in whole}
+    try:
+        for k, v in whole.items():
+            spark.conf.set(k, v)
+        hashed = durable(lines.mapInArrow(_run_hashes, "run long, sha256 string"))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    hashed = hashed.filter("sha256 is not null")
+    known = files.join(hashed, run(F.col("_at"), F.lit(0)) == F.col("run"), "left").select("_at", "name", "bytes", "sha256")
+    rest = [r[0] for r in known.filter("sha256 is null").select("_at").collect()]
+    if not rest:
+        return known.drop("_at")
+    # a filter on the path leaves out files before they are read
+    others = values.filter(at.isin(rest)).select(at.alias("_at"), F.sha2("content", 256).alias("_other"))
+    return known.join(durable(others), "_at", "left").select("name", "bytes", F.coalesce("sha256", "_other").alias("sha256"))
 
 
 def table_manifest(files: DataFrame, suffix: str) -> DataFrame:

@@ -263,3 +263,28 @@ def test_no_record_is_copied_per_cell(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(au, "marked_cells", lambda df, *rest: seen.append(df.count()) or splits.marked_cells(df, *rest))
     au.validate_marked_ledger(a.withColumn("marks", splits.cell_marks(2, 3)), a, "marks", 3, "record_id", ["subject_fold", "text_fold"], "run").collect()
     assert seen == [6]
+
+
+def test_manifest_reads_no_file_as_one_value(spark, tmp_path):
+    """Hashes of odd bytes are right, and of plain names none is a value of the size of its file."""
+    import gzip
+    import hashlib
+
+    rnd = random.Random(3)
+    odd = {"feeds.bin": b"\n\n\r\r\n", "mark.txt": b"\xef\xbb\xbfa\n\xff\xfe", "mark_end.txt": b"\xef\xbb\xbfa\n", "mark_only.txt": b"\xef\xbb\xbf", "three.txt": b"a\nb", "noise.bin": rnd.randbytes(300_000),
+           "zeros.bin": bytes(70_000), "a [1] b%20#.bin": b"x\n", "ok.gz": gzip.compress(b"abc\n" * 99), "broken.gz": b"abc\n", "sub/f.txt": b"f"}
+    (tmp_path / "sub").mkdir()
+    for name, data in odd.items():
+        (tmp_path / name).write_bytes(data)
+
+    def manifest():
+        return {r["name"]: (r["bytes"], r["sha256"]) for r in scans.file_manifest(spark, str(tmp_path)).collect()}
+
+    want = {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in odd.items()}
+    assert manifest() == want
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 10_000)  # one value has a limit, as above 2 GB
+    try:
+        assert manifest() == want
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
