@@ -14,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ from .ranking import positions
 
 #: Dimensions of a sketch; centres at most, and vectors each stands for; vectors that centres are drawn from; vectors of a ring; steps of an angle.
 HEAD, CENTRES, PER_CENTRE, DRAWN, RING, STEPS = 128, 256, 512, 2048, 512, 1024
+#: Where all pairs are multiplied: items of a block at most, and least ones; blocks of a small table; dimensions at a time; blocks a vector meets in a round.
+BLOCK, LEAST, BLOCKS, SLICE, VISITED = 16_384, 512, 12, 512, 4
 #: Slack of angles and cosines, far above rounding.
 SLACK = 1e-7
 
@@ -232,24 +236,148 @@ def closest_pair(weights: DataFrame, item: str, feature: str, weight: str) -> Da
     return best.agg(F.max_by(F.struct("i", "j", "cosine"), F.struct("cosine", -F.col("i"), -F.col("j"))).alias("_b")).select("_b.*")
 
 
+def _every_cosine(tables: list[pa.Table], item: str, copies: str, features: int, threshold: float, row_tile: int = 1024, column_tile: int = 4096) -> pa.Table:
+    """Per item of both blocks (or of one, with itself): items above the threshold, their copies, and the largest cosine.
+
+    Tiles are multiplied in single precision. What lies within its error of the
+    threshold, or of the largest of a row or a column, is multiplied again in
+    double precision; a tile with much of that as a whole.
+    """
+    blocks = []
+    for t in tables:
+        sizes = np.asarray(pc.list_value_length(t["dims"]))
+        flat = lambda c: np.asarray(pc.list_flatten(t[c]))
+        blocks.append((np.concatenate([[0], np.cumsum(sizes)]), flat("dims"), flat("weights"), np.asarray(t[copies]), sizes.max(initial=0)))
+    alone = len(tables) == 1
+    ids = pa.chunked_array([chunk for t in tables for chunk in t[item].chunks], tables[0][item].type)
+    tables.clear()
+    x, y = blocks[0], blocks[-1]
+    error = 2.0**-22 * (min(x[4], y[4]) + 8)  # sums of rounded products of unit vectors, twice over
+    found = [(np.zeros(len(b[3]), np.int64), np.zeros(len(b[3]), np.int64), np.full(len(b[3]), -np.inf)) for b in blocks]
+    (ns, ws, best), (nt, wt, top) = found[0], found[-1]
+
+    def dense(b, rows: range, first: int, kind) -> np.ndarray:
+        at = slice(b[0][rows.start], b[0][rows.stop])
+        r, d, w = np.repeat(np.arange(len(rows)), np.diff(b[0][rows.start : rows.stop + 1])), b[1][at], b[2][at]
+        if features > SLICE:
+            ok = d // SLICE == first // SLICE
+            r, d, w = r[ok], d[ok] - first, w[ok]
+        m = np.zeros((len(rows), min(features, SLICE)), kind)
+        m[r, d] = w
+        return m
+
+    def product(rows: range, columns: range, kind, known: np.ndarray | None = None) -> np.ndarray:
+        out = 0.0
+        for first in range(0, features, SLICE):
+            out = out + dense(x, rows, first, kind) @ (dense(y, columns, first, kind) if known is None else known).T
+        return out
+
+    def exact(rows: range, columns: range, r: np.ndarray, k: np.ndarray, pairs: int = 2048) -> np.ndarray:
+        out = np.zeros(len(r))
+        for first in range(0, features, SLICE):
+            u, v = dense(x, rows, first, float), dense(y, columns, first, float)
+            for p in range(0, len(r), pairs):
+                out[p : p + pairs] += np.einsum("ij,ij->i", u[r[p : p + pairs]], v[k[p : p + pairs]])
+        return out
+
+    for c in range(0, len(y[3]), column_tile):
+        columns = range(c, min(c + column_tile, len(y[3])))
+        known = dense(y, columns, 0, np.float32) if features <= SLICE else None
+        for a in range(0, len(x[3]), row_tile):
+            rows = range(a, min(a + row_tile, len(x[3])))
+            r_, c_ = slice(rows.start, rows.stop), slice(columns.start, columns.stop)
+            same = np.arange(max(rows.start, columns.start), min(rows.stop, columns.stop)) if alone else np.empty(0, int)
+            cos = product(rows, columns, np.float32, known)
+            cos[same - a, same - c] = -2.0
+            again = cos >= (np.maximum(best[r_], cos.max(axis=1)) - error).astype(np.float32)[:, None]
+            if not alone:
+                again |= cos >= (np.maximum(top[c_], cos.max(axis=0)) - error).astype(np.float32)[None, :]
+            near = cos > np.float32(threshold - error)
+            if near.any():
+                unsure = near & (cos < np.float32(threshold + error))
+                again |= unsure
+                near &= ~unsure
+            r, k = np.nonzero(again)
+            if len(r) > 8 * sum(cos.shape):
+                cos = product(rows, columns, float)
+                cos[same - a, same - c] = -2.0
+                near = cos > threshold
+                best[r_] = np.maximum(best[r_], cos.max(axis=1))
+                if not alone:
+                    top[c_] = np.maximum(top[c_], cos.max(axis=0))
+            else:
+                value = exact(rows, columns, r, k)
+                value[cos[r, k] < -1.5] = -np.inf  # an item and itself
+                near[r, k] = value > threshold
+                np.maximum.at(best, r + a, value)
+                if not alone:
+                    np.maximum.at(top, k + c, value)
+            if near.any():
+                ns[r_] += near.sum(axis=1)
+                ws[r_] += near @ y[3][c_]
+                if not alone:
+                    nt[c_] += near.sum(axis=0)
+                    wt[c_] += x[3][r_] @ near
+    n, w, b = (np.concatenate(z) for z in zip(*found))
+    looked = np.concatenate([np.full(len(z[3]), len(o[3]) - alone) for z, o in zip(blocks, reversed(blocks))])
+    return pa.table({item: ids, "similar_items": n, "similar_weight": w, "nearest": np.where(b < -1.5, -np.inf, b), "looked": looked.astype(np.int64)})
+
+
+def _nearest_of_all(weights: DataFrame, items: DataFrame, item: str, feature: str, weight: str, copies: str, threshold: float) -> DataFrame:
+    """Sums of ``_every_cosine`` over all pairs of blocks of hashed items, in rounds that give a vector to ``VISITED`` pairs or so each.
+
+    Work is quadratic in the items; a task holds two blocks, and a round's shuffle is a few times the vectors.
+    """
+    kind = weights.schema[item].dataType.simpleString()
+    named = weights.select(feature).distinct()
+    numbered = durable(positions(named, [], [feature], "_d").select(feature, F.col("_d").cast("int").alias("_d")))
+    features = numbered.count()
+    entry = F.struct(F.col("_d"), F.col(weight).cast("double").alias("w"))
+    packed = weights.join(small(numbered), feature).groupBy(item).agg(F.collect_list(entry).alias("_e"))  # one entry per distinct feature of an item
+    packed = packed.select(item, F.transform("_e", lambda e: e["_d"].cast("short" if features < 1 << 15 else "int")).alias("dims"), F.transform("_e", lambda e: e["w"]).alias("weights"))
+    rows = durable(packed.join(items.select(item, F.col(copies).cast("long").alias(copies)), item))
+    n = rows.count()
+    blocks = max(1, -(-n // BLOCK), min(BLOCKS, -(-n // LEAST)))
+    mine = F.pmod(F.xxhash64(F.lit(3), item), F.lit(blocks)).cast("int")
+    each = rows.withColumn("_b", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    each = each.withColumn("_pair", F.least("_b", "_o") * F.lit(blocks) + F.greatest("_b", "_o"))
+    rounds = -(-blocks // VISITED)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ends = sorted({key[0].as_py() // blocks, key[0].as_py() % blocks})
+        both = [t for t in (table.filter(pc.equal(table["_b"], e)).drop_columns(["_b"]).combine_chunks() for e in ends)]
+        if not all(t.num_rows for t in both):
+            both = []
+        out = _every_cosine(both, item, copies, features, threshold) if both else None
+        return out if out is not None else pa.table({item: table[item].slice(0, 0), "similar_items": pa.array([], pa.int64()), "similar_weight": pa.array([], pa.int64()), "nearest": pa.array([], pa.float64()), "looked": pa.array([], pa.int64())})
+
+    schema = f"`{item}` {kind}, similar_items long, similar_weight long, nearest double, looked long"
+    parts = []
+    for k in range(rounds):
+        sent = each.filter(F.pmod(F.col("_b") + F.col("_o"), F.lit(rounds)) == k).drop("_o").repartition(min(2000, 2 * blocks * blocks // rounds + 1), "_pair")
+        parts.append(durable(sent.groupBy("_pair").applyInArrow(run, schema)))
+    part = parts[0]
+    for more in parts[1:]:
+        part = part.unionByName(more)
+    out = part.groupBy(item).agg(F.sum("similar_items").alias("similar_items"), F.sum("similar_weight").alias("similar_weight"), F.max("nearest").alias("nearest"), F.sum("looked").alias("looked"))
+    return out.filter("nearest > 0")
+
+
 def neighbour_profile(weights: DataFrame, items: DataFrame, item: str, feature: str, weight: str, copies: str, threshold: float, all_rows: bool = False, nearest_of_all: bool = False) -> DataFrame:
     """Per item: how many other items lie above the threshold, their copies, the nearest cosine, and pairs looked at.
 
     Exact; items without any other above the threshold have no row
     unless ``all_rows`` asks for those that looked at some. With
     ``nearest_of_all`` every item that shares a feature with another one has
-    its row and the cosine of its nearest one, however far; the best in its own ring bounds
-    that search from below. No pair leaves its
+    its row and the cosine of its nearest one, however far; bounds spare little
+    of that, so all pairs are multiplied. No pair leaves its
     task, so a large group of near copies costs arithmetic, not rows.
     """
+    if nearest_of_all:
+        return _nearest_of_all(weights, items, item, feature, weight, copies, threshold)
     kind = weights.schema[item].dataType.simpleString()
     rows, rings, centres = ringed(sketches(weights, item, feature, weight), item)
-    least = F.lit(float(threshold))
-    if nearest_of_all:
-        # 0 is the least that a pair without a shared feature has
-        rows = rows.join(_home_best(rows, item, kind), item)
-        least = F.least(least, F.greatest(F.col("known") - SLACK, F.lit(0.0)))
-    rows = durable(rows.join(items.select(item, copies), item).withColumn("least", least).drop("known"))
+    rows = durable(rows.join(items.select(item, copies), item).withColumn("least", F.lit(float(threshold))))
 
     def kernel(a, c):
         cols = [item, "similar_items", "similar_weight", "nearest", "looked"]
@@ -264,6 +392,4 @@ def neighbour_profile(weights: DataFrame, items: DataFrame, item: str, feature:
 
     part = _meet(rows, rings, centres, item, kernel, f"`{item}` {kind}, similar_items long, similar_weight long, nearest double, looked long")
     out = part.groupBy(item).agg(F.sum("similar_items").alias("similar_items"), F.sum("similar_weight").alias("similar_weight"), F.max("nearest").alias("nearest"), F.sum("looked").alias("looked"))
-    if nearest_of_all:
-        return out.filter("nearest > 0")
     return out if all_rows else out.filter("similar_items > 0")

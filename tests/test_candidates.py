@@ -173,3 +173,33 @@ def test_visits_leave_in_pieces(spark):
     rows = rows.withColumn("least", F.lit(0.0))
     a, b = (sm.visits(rows, rings, centres, "id", piece=p) for p in (7, 65_536))
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_all_pairs_in_rounds_of_blocks(spark, monkeypatch, seed):
+    """Several blocks, rounds, slices of dimensions and tiles give brute force; no round sends a vector to more than a few blocks."""
+    for name, value in {"BLOCK": 40, "LEAST": 8, "SLICE": 7, "VISITED": 2}.items():
+        monkeypatch.setattr(sm, name, value)
+    inner, sent = sm._every_cosine, []
+    monkeypatch.setattr(sm, "_every_cosine", lambda *a: inner(*a, row_tile=16, column_tile=24))
+    monkeypatch.setattr(sm, "durable", lambda df: sent.append(durable(df)) or sent[-1])
+    rng = np.random.default_rng(seed)
+    m = rng.random((300, 20)) * (rng.random((300, 20)) < 0.3)
+    m[200:240], m[260:290] = m[100:140], m[7]  # copies, and a group of equal vectors
+    m[240:260] = np.abs(m[100:120] + rng.normal(size=(20, 20)) * 0.02)
+    m[3], m[:, 19] = 0, 0
+    m[4], m[4, 19] = 0, 1.0
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    copies = rng.integers(1, 5, 300)
+    items = spark.createDataFrame([(i, int(c)) for i, c in enumerate(copies)], "id long, copies long")
+    got = {r.id: r for r in sm.neighbour_profile(_vectors(spark, m), items, "id", "f", "w", "copies", 0.9, nearest_of_all=True).collect()}
+    cos = m @ m.T
+    np.fill_diagonal(cos, -1)
+    near = cos > 0.9
+    assert set(got) == set(np.flatnonzero(cos.max(axis=1) > 0)) and 4 not in got
+    for i, r in got.items():
+        assert (r.similar_items, r.similar_weight) == (near[i].sum(), copies[near[i]].sum()) and abs(r.nearest - cos[i].max()) < 1e-12
+    n = int((m.max(axis=1) > 0).sum())
+    assert got[0].looked == n - 1
+    rounds = [t for t in sent if "looked" in t.columns]
+    assert len(rounds) == 6 and max(t.count() for t in rounds) <= 3 * n  # twelve blocks, two a round
