@@ -203,3 +203,25 @@ def test_all_pairs_in_rounds_of_blocks(spark, monkeypatch, seed):
     assert got[0].looked == n - 1
     rounds = [t for t in sent if "looked" in t.columns]
     assert len(rounds) == 6 and max(t.count() for t in rounds) <= 3 * n  # twelve blocks, two a round
+
+
+def test_a_large_pool_has_few_block_pairs(spark, monkeypatch):
+    """Small blocks grow with the pool, so calls do not; statistics stay those of brute force."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(4000, 3))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    n = np.exp(rng.normal(4, 1, 4000)).astype(int) + 1
+    df = spark.createDataFrame([("s", i, int(n[i]), v[i].tolist()) for i in range(4000)], "s string, id long, n long, v array<double>")
+    called, inner = [], cd._multiplied
+    monkeypatch.setattr(cd, "_multiplied", lambda rows, pairs, *rest: called.append(pairs.count()) or inner(rows, pairs, *rest))
+    got = {r.id: r for r in cd.pool_statistics(df, ["s"], "id", "n", "v", 0.3, block=4).collect()}
+    assert sum(called) < 4000
+    cos = v @ v.T
+    legal = (3 * n[:, None] <= 4 * n[None]) & (4 * n[None] <= 5 * n[:, None]) & ~np.eye(4000, dtype=bool)
+    assert set(got) == set(np.flatnonzero(legal.any(axis=1)))
+    for i in range(0, 4000, 7):
+        if i in got:
+            r, c = got[i], cos[i][legal[i]]
+            gap = np.abs(c - 0.3)
+            assert (r.evaluated, r.above, r.equal) == (legal[i].sum(), (c > 0.3).sum(), (c == 0.3).sum()) and r.closest == np.flatnonzero(legal[i])[gap.argmin()]
+            assert abs(r.maximum - c.max()) < 1e-12 and abs(r.distance - gap.min()) < 1e-12
