@@ -225,3 +225,25 @@ def test_a_large_pool_has_few_block_pairs(spark, monkeypatch):
             gap = np.abs(c - 0.3)
             assert (r.evaluated, r.above, r.equal) == (legal[i].sum(), (c > 0.3).sum(), (c == 0.3).sum()) and r.closest == np.flatnonzero(legal[i])[gap.argmin()]
             assert abs(r.maximum - c.max()) < 1e-12 and abs(r.distance - gap.min()) < 1e-12
+
+
+def test_a_meeting_of_blocks_gives_the_lowest_hashes():
+    """Legal pairs of two blocks are hashed in their task, which gives no more than so many of each target and repeat."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(40, 3))
+    n = rng.integers(5, 12, 40)
+    a = pa.table({"s": ["x"] * 40, "target": np.arange(40), "_tl": n, "_tv": v.tolist(), "_head": [f"9|t|x|{i}" for i in range(40)], "_cut": np.full(40, 1 << 31)})
+    c = pa.table({"negative": np.arange(40), "_nl": n, "_nv": v.tolist(), "_tail": [str(i) for i in range(40)]})
+    got = {}
+    for r in cd._drawn(a, c, ["s"], 0.3, 2, 4).to_pylist():
+        got.setdefault((r["target"], r["repeat"]), []).append((r["_h"], r["negative"]))
+    held = 0
+    for i in range(40):
+        for repeat in range(2):
+            digests = sorted((hashlib.sha256(f"9|t|x|{i}|{repeat}|{j}".encode()).digest(), j) for j in range(40) if j != i and 3 * n[i] <= 4 * n[j] <= 5 * n[i] and v[i] @ v[j] <= 0.3)
+            low = [d for d in digests if int.from_bytes(d[0][:4]) <= 1 << 31]
+            held += len(low) > 4
+            assert sorted(got.get((i, repeat), [])) == low[:4]
+    assert held > 10 and cd._drawn(a.slice(0, 0), c, ["s"], 0.3, 2, 4).num_rows == 0
